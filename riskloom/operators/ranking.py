@@ -1,11 +1,12 @@
 """Global ordered statistics without a single-task window.
 
-``cumulative_by_value`` collapses rows to distinct values first (partial
-aggregation, so a value held by a third of all rows is one row), then forms
-prefix sums over the distinct values.  When the number of distinct values is
-itself unbounded, values are pre-bucketed by approximate quantile edges (a
-bounded 1-row table): prefix sums run per bucket and bucket offsets come from
-a table with at most ``n_edges + 1`` rows.  Results are exact either way.
+``cumulative_by_value`` collapses rows to distinct ``(group, value)`` first
+(partial aggregation, so a value held by a third of all rows is one row), then
+forms prefix sums over the distinct values.  When the number of distinct
+values is itself unbounded, values are pre-bucketed by approximate quantile
+edges (a bounded 1-row table): prefix sums run per (group, bucket) and bucket
+offsets come from a table with at most ``groups x (n_edges + 2)`` rows.
+Results are exact either way.
 """
 
 from __future__ import annotations
@@ -17,24 +18,27 @@ from riskloom.operators.timewindow import quantile_edges
 
 
 def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], descending: bool = False,
-                        n_edges: int | None = 64) -> DataFrame:
-    """One row per distinct ``value`` with per-value sums and prefix sums.
+                        n_edges: int | None = 64, by: list[str] | None = None) -> DataFrame:
+    """One row per distinct ``(by..., value)`` with per-value sums and prefix sums.
 
-    Output columns: ``value``, for each name in ``sums``: ``name`` (at this value),
-    ``before_<name>`` (over values strictly earlier in the order) and ``total_<name>``.
-    ``n_edges=None`` uses one window over the distinct values (use only when the
-    value domain is known to be small, e.g. an integer score).
+    Output columns: ``by...``, ``value``, and for each name in ``sums``: ``name``
+    (at this value), ``before_<name>`` (over values strictly earlier in the order,
+    within the group) and ``total_<name>`` (whole group).  Nulls sort first
+    ascending, last descending.  ``n_edges=None`` runs one window per group over
+    its distinct values (only for value domains known to be small).
     """
-    hist = df.groupBy(value).agg(*[expr.alias(name) for name, expr in sums.items()])
+    by = list(by or [])
+    hist = df.groupBy(*by, value).agg(*[expr.alias(name) for name, expr in sums.items()])
     names = list(sums)
+    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_first()
+    gw = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     if n_edges is None:
-        order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_first()
-        w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        wall = Window.partitionBy(F.lit(1))
+        w = (Window.partitionBy(*by) if by else Window).orderBy(order) \
+            .rowsBetween(Window.unboundedPreceding, -1)
         out = hist
         for n in names:
             out = (out.withColumn(f"before_{n}", F.coalesce(F.sum(n).over(w), F.lit(0)))
-                      .withColumn(f"total_{n}", F.sum(n).over(wall)))
+                      .withColumn(f"total_{n}", F.sum(n).over(gw)))
         return out
 
     edges = quantile_edges(df.where(F.col(value).isNotNull()), value, n_edges)
@@ -45,18 +49,17 @@ def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], desc
     null_b = F.lit(n_edges + 1) if descending else F.lit(-1)
     hb = (hist.crossJoin(F.broadcast(edges))
               .withColumn("_cv_b", F.when(F.col(value).isNull(), null_b).otherwise(b)).drop("edges"))
-    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_first()
-    wl = Window.partitionBy("_cv_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    wl = Window.partitionBy(*by, "_cv_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     for n in names:
         hb = hb.withColumn(f"_cv_l_{n}", F.coalesce(F.sum(n).over(wl), F.lit(0)))
-    bt = hb.groupBy("_cv_b").agg(*[F.sum(n).alias(f"_cv_t_{n}") for n in names])
-    wb = Window.orderBy("_cv_b").rowsBetween(Window.unboundedPreceding, -1)   # <= n_edges + 2 rows
-    wall = Window.partitionBy(F.lit(1))
+    bt = hb.groupBy(*by, "_cv_b").agg(*[F.sum(n).alias(f"_cv_t_{n}") for n in names])
+    wb = (Window.partitionBy(*by) if by else Window).orderBy("_cv_b") \
+        .rowsBetween(Window.unboundedPreceding, -1)
     for n in names:
         bt = (bt.withColumn(f"_cv_o_{n}", F.coalesce(F.sum(f"_cv_t_{n}").over(wb), F.lit(0)))
-                .withColumn(f"total_{n}", F.sum(f"_cv_t_{n}").over(wall)))
-    j = hb.join(F.broadcast(bt), "_cv_b")
-    cols = [F.col(value)] + [F.col(n) for n in names]
+                .withColumn(f"total_{n}", F.sum(f"_cv_t_{n}").over(gw)))
+    j = hb.join(bt, [*by, "_cv_b"]) if by else hb.join(F.broadcast(bt), "_cv_b")
+    cols = [F.col(c) for c in by] + [F.col(value)] + [F.col(n) for n in names]
     for n in names:
         cols += [(F.col(f"_cv_o_{n}") + F.col(f"_cv_l_{n}")).alias(f"before_{n}"), F.col(f"total_{n}")]
     return j.select(*cols)
@@ -72,6 +75,34 @@ def percent_rank(df: DataFrame, value: str, out: str = "percent_rank", n_edges:
     return j.drop("_pr_v")
 
 
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None,
+                    n_edges: int | None = 64) -> DataFrame:
+    """Exact linear-interpolated quantiles (``percentile_cont``, pandas ``quantile``) per group.
+
+    Rows are reduced to distinct values with counts; cumulative counts locate the
+    two order statistics around ``(n - 1) * p`` for every requested ``p`` in one
+    pass; no group is ever gathered into one task.  Returns one row per group
+    with one column per entry of ``probs``."""
+    by = list(by or [])
+    d = df.where(F.col(value).isNotNull())
+    cum = cumulative_by_value(d, value, {"_q_n": F.count(F.lit(1))}, n_edges=n_edges, by=by)
+    want = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(p)).alias("p")) for k, p in probs.items()])
+    x = cum.select(*by, F.col(value).cast("double").alias("_q_v"), "before__q_n", "_q_n", "total__q_n",
+                   F.explode(want).alias("_q"))
+    pos = (F.col("total__q_n") - 1).cast("double") * F.col("_q.p")
+    lo, hi = F.floor(pos), F.ceil(pos)
+    start, end = F.col("before__q_n"), F.col("before__q_n") + F.col("_q_n")     # positions [start, end)
+    x = x.select(*by, F.col("_q.name").alias("_q_name"), "_q_v", ((lo >= start) & (lo < end)).alias("_q_lo"),
+                 ((hi >= start) & (hi < end)).alias("_q_hi"), (pos - lo).alias("_q_frac"))
+    x = x.where(F.col("_q_lo") | F.col("_q_hi"))
+    g = x.groupBy(*by, "_q_name").agg(
+        F.max(F.when(F.col("_q_lo"), F.col("_q_v"))).alias("_vlo"),
+        F.max(F.when(F.col("_q_hi"), F.col("_q_v"))).alias("_vhi"),
+        F.max("_q_frac").alias("_frac"))
+    g = g.withColumn("_q", F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
+    return g.groupBy(*by).pivot("_q_name", list(probs)).agg(F.first("_q"))
+
+
 def top_k_with_position(df: DataFrame, order: list[Column], k: int, position: str = "position") -> DataFrame:
     """First ``k`` rows by ``order`` (top-k per partition, then merge) numbered 1..k.
     ``order`` must end in a unique key so the result is deterministic."""

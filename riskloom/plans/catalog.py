@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.operators import reports
+from riskloom.operators import eda, reports
 from riskloom.sources import adapter
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,17 @@ CATALOG: dict[str, Job] = {
     "r06_time_of_day": lambda s, d: reports.time_of_day(_t(s, d)),
     "r07_alert_queue": lambda s, d: reports.alert_queue(_t(s, d), adapter.merchants(s, d)),
     "r08_cohorts": lambda s, d: reports.cohorts(_t(s, d)),
+    "d11_class_summary": lambda s, d: eda.class_summary(_t(s, d)),
+    "d12_rate_by_value": lambda s, d: eda.rate_by_value(_t(s, d)),
+    "d13_rate_by_quantile_bin": lambda s, d: eda.rate_by_quantile_bin(_t(s, d)),
+    "d14_hourly_rates": lambda s, d: eda.hourly_rates(_t(s, d)),
+    "d15_amount_percentiles": lambda s, d: eda.amount_percentiles(_t(s, d)),
+    "d16_correlations": lambda s, d: eda.correlations(_t(s, d)),
+    "d17_rate_by_flag_count": lambda s, d: eda.rate_by_flag_count(_t(s, d)),
+    "d18_key_findings": lambda s, d: eda.key_findings(_t(s, d)),
+    "d22_category_rollup": lambda s, d: eda.category_rollup(_t(s, d), adapter.merchants(s, d)),
+    "d23_burst_vs_fraud": lambda s, d: eda.burst_vs_fraud(reports.velocity_bursts(_t(s, d), limit=None)),
+    "d27_daily_peaks": lambda s, d: eda.daily_peaks(reports.rolling_fraud_rate(_t(s, d))),
 }
 
 
