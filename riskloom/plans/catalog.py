@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.operators import eda, reports
+from riskloom.operators import eda, evaluate, reports
 from riskloom.sources import adapter
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,11 @@ def _t(spark, d):
     return adapter.transactions(spark, d)
 
 
+def _scored(spark, d, col="amount_vs_avg_ratio"):
+    """(label, score) table: the transaction table scored by one of its columns."""
+    return _t(spark, d).withColumn("score", F.col(col))
+
+
 CATALOG: dict[str, Job] = {
     "adapter_transactions": lambda s, d: _t(s, d),
     "r01_fraud_overview": lambda s, d: reports.fraud_overview(_t(s, d)),
@@ -40,6 +46,17 @@ CATALOG: dict[str, Job] = {
     "d22_category_rollup": lambda s, d: eda.category_rollup(_t(s, d), adapter.merchants(s, d)),
     "d23_burst_vs_fraud": lambda s, d: eda.burst_vs_fraud(reports.velocity_bursts(_t(s, d), limit=None)),
     "d27_daily_peaks": lambda s, d: eda.daily_peaks(reports.rolling_fraud_rate(_t(s, d))),
+    "j01_summary": lambda s, d: evaluate.summary(_scored(s, d)),
+    "j03_ks_curve": lambda s, d: evaluate.ks_curve(_scored(s, d)),
+    "j04_at_threshold": lambda s, d: evaluate.at_threshold(_scored(s, d), threshold=1.5),
+    "j05_curve": lambda s, d: evaluate.curve(_scored(s, d)).select(
+        "threshold", "tp", "fp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "fpr", "f1")]),
+    "j06_best_f1": lambda s, d: evaluate.best_f1(_scored(s, d)),
+    "j07_separation": lambda s, d: evaluate.separation(_scored(s, d)),
+    "j08_calibration": lambda s, d: evaluate.calibration(_scored(s, d)),
+    "j09_lift": lambda s, d: evaluate.lift(_scored(s, d)),
+    "j10_deciles": lambda s, d: evaluate.deciles(_scored(s, d)),
+    "j11_compare": lambda s, d: evaluate.compare({"ratio": _scored(s, d), "amount": _scored(s, d, "amount")}),
 }
 
 
