@@ -17,7 +17,7 @@ Job = Callable[[SparkSession, str], DataFrame]
 
 
 def _t(spark, d):
-    return adapter.transactions(spark, d)
+    return adapter.transactions_table(spark, d)
 
 
 def _scored(spark, d, col="amount_vs_avg_ratio"):
@@ -26,7 +26,7 @@ def _scored(spark, d, col="amount_vs_avg_ratio"):
 
 
 CATALOG: dict[str, Job] = {
-    "adapter_transactions": lambda s, d: _t(s, d),
+    "adapter_transactions": lambda s, d: adapter.transactions(s, d),
     "r01_fraud_overview": lambda s, d: reports.fraud_overview(_t(s, d)),
     "r02_rolling_fraud_rate": lambda s, d: reports.rolling_fraud_rate(_t(s, d)),
     "r03_velocity_bursts": lambda s, d: reports.velocity_bursts(_t(s, d)),

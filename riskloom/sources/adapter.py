@@ -101,6 +101,13 @@ def transactions(spark: SparkSession, sf_dir: str, grain_seconds: int = HOUR) ->
     return t.select(*TRANSACTION_COLUMNS)
 
 
+def transactions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transaction table, built once per application and read back from the
+    shared checkpoint folder (see :mod:`riskloom.sources.store`)."""
+    from riskloom.sources.store import materialized
+    return materialized(spark, "transactions", sf_dir, lambda: transactions(spark, sf_dir))
+
+
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {"transactions": transactions(spark, sf_dir), "accounts": accounts(spark, sf_dir),
+    return {"transactions": transactions_table(spark, sf_dir), "accounts": accounts(spark, sf_dir),
             "merchants": merchants(spark, sf_dir)}
