@@ -47,6 +47,18 @@ BIN_SCHEMA = T.StructType([
     T.StructField("n_bad", T.LongType()), T.StructField("n_good", T.LongType())])
 
 
+MAX_STATE_ROWS = 100_000
+
+
+def freeze(df: DataFrame, limit: int = MAX_STATE_ROWS) -> DataFrame:
+    """Collect a *bounded* fitted-state table (bins, edges, trees) and rebuild it as a
+    local DataFrame, so later jobs do not re-run the fit.  Refuses unbounded input."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"fitted state has more than {limit} rows; refusing to collect it")
+    return df.sparkSession.createDataFrame(rows, schema=df.schema)
+
+
 def _woe(n_bad, n_good, total_bad, total_good):
     db = n_bad / F.greatest(total_bad, F.lit(1))
     dg = n_good / F.greatest(total_good, F.lit(1))
@@ -67,7 +79,7 @@ def categorical_features(df: DataFrame, cols: list[str], listed=CATEGORICAL, max
     others = [c for c in cols if c not in listed]
     small = set()
     if others:
-        row = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in others]).first()
+        row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in others]).first()
         small = {c for c in others if row[c] <= max_categories}
     return [c for c in cols if c in listed or c in small]
 
@@ -146,7 +158,7 @@ def fit_woe(df: DataFrame, cols: list[str], label: str = "is_fraud", n_bins: int
     else:
         bins = bins.withColumn("lo", F.lit(None).cast("double")).withColumn("hi", F.lit(None).cast("double"))
         edges = df.sparkSession.createDataFrame([], "feature string, edges array<double>")
-    return {"edges": edges, "bins": bins}
+    return {"edges": freeze(edges), "bins": freeze(bins)}
 
 
 def iv_summary(bins: DataFrame) -> DataFrame:
@@ -163,7 +175,8 @@ def woe_maps(model: dict[str, DataFrame]) -> DataFrame:
     cat = bins.where(F.col("kind") == "categorical").select(
         "feature", F.coalesce(F.col("category"), F.lit(float("nan"))).alias("k"), "woe")
     cont = bins.where(F.col("kind") == "continuous").select(
-        "feature", F.explode(F.sequence("first_bin", "last_bin")).cast("double").alias("k"), "woe")
+        "feature", F.explode(F.transform(F.sequence("first_bin", "last_bin"), lambda i: i.cast("double"))).alias("k"),
+        "woe")
     kv = cat.unionByName(cont).groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("k", "woe")))
                                                         .alias("m"))
     kinds = bins.select("feature", "kind").distinct()

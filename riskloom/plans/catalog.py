@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators import eda, evaluate, reports
+from riskloom.plans import models
 from riskloom.sources import adapter
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +58,13 @@ CATALOG: dict[str, Job] = {
     "j09_lift": lambda s, d: evaluate.lift(_scored(s, d)),
     "j10_deciles": lambda s, d: evaluate.deciles(_scored(s, d)),
     "j11_compare": lambda s, d: evaluate.compare({"ratio": _scored(s, d), "amount": _scored(s, d, "amount")}),
+    "i10_woe_bins": models.woe_bins,
+    "i13_woe_transform": models.woe_transform,
+    "i14_iv_summary": models.iv_table,
+    "i16_points_table": models.points,
+    "i17_scorecard_scores": models.scorecard_scores,
+    "i18_score_breakdown": models.score_breakdown,
+    "i_scorecard_metrics": models.scorecard_metrics,
 }
 
 
