@@ -65,6 +65,17 @@ CATALOG: dict[str, Job] = {
     "i17_scorecard_scores": models.scorecard_scores,
     "i18_score_breakdown": models.score_breakdown,
     "i_scorecard_metrics": models.scorecard_metrics,
+    "i03_forest_nodes": models.forest_nodes,
+    "i06_forest_scores": models.forest_scores,
+    "i20_forest_drivers": models.forest_drivers,
+    "i21_forest_importance": models.forest_importance,
+    "d19_tier_distribution": models.forest_tiers,
+    "d20_scan_summary": models.forest_scan_summary,
+    "d21_score_histogram": models.forest_score_histogram,
+    "d25_score_bands": models.forest_score_bands,
+    "i08_boosted_scores": models.boosted_scores,
+    "i09_boosted_search": models.boosted_search,
+    "j11_model_comparison": models.model_comparison,
 }
 
 

@@ -63,3 +63,96 @@ def score_breakdown(spark: SparkSession, d: str) -> DataFrame:
 
 def scorecard_metrics(spark: SparkSession, d: str) -> DataFrame:
     return trained_scorecard(spark, d)["metrics"]
+
+
+# ----------------------------------------------------------------------------- forest / boosted
+from riskloom.operators import boosted as B  # noqa: E402
+from riskloom.operators import eda  # noqa: E402
+from riskloom.operators import forest as FO  # noqa: E402
+from riskloom.operators.features import SYNTHETIC_FEATURES, stratified_split  # noqa: E402
+
+FOREST_TREES = 100
+FOREST_PSI = 256
+
+
+def trained_forest(spark: SparkSession, d: str) -> dict:
+    key = ("forest", spark.sparkContext.applicationId, d)
+    if key not in _TRAINED:
+        _TRAINED[key] = FO.fit_forest(adapter.transactions_table(spark, d), SYNTHETIC_FEATURES, "transaction_id",
+                                      n_trees=FOREST_TREES, psi=FOREST_PSI)
+    return _TRAINED[key]
+
+
+def forest_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return trained_forest(spark, d)["nodes"]
+
+
+def forest_scored(spark: SparkSession, d: str, attributions: bool = False) -> DataFrame:
+    return FO.score_batch(adapter.transactions_table(spark, d), trained_forest(spark, d), attributions=attributions)
+
+
+def forest_scores(spark: SparkSession, d: str) -> DataFrame:
+    return forest_scored(spark, d).select("transaction_id", "anomaly_score", "risk_score", "risk_tier",
+                                          "recommended_action", "is_fraud")
+
+
+def forest_drivers(spark: SparkSession, d: str) -> DataFrame:
+    s = FO.top_drivers(forest_scored(spark, d, attributions=True), SYNTHETIC_FEATURES)
+    return s.select("transaction_id", "risk_score", "risk_tier", "attributions", "top_drivers")
+
+
+def forest_importance(spark: SparkSession, d: str) -> DataFrame:
+    return FO.global_importance(forest_scored(spark, d, attributions=True), SYNTHETIC_FEATURES)
+
+
+def forest_tiers(spark: SparkSession, d: str) -> DataFrame:
+    return eda.tier_distribution(forest_scored(spark, d))
+
+
+def forest_scan_summary(spark: SparkSession, d: str) -> DataFrame:
+    return eda.scan_summary(forest_scored(spark, d))
+
+
+def forest_score_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return eda.histogram(forest_scored(spark, d), "risk_score", 50)
+
+
+def forest_score_bands(spark: SparkSession, d: str) -> DataFrame:
+    return eda.score_bands(forest_scored(spark, d), "risk_tier", "risk_score")
+
+
+def _splits(spark: SparkSession, d: str) -> DataFrame:
+    return stratified_split(adapter.transactions_table(spark, d), "transaction_id", "is_fraud", 0.2, 42, 0.2)
+
+
+def trained_boosted(spark: SparkSession, d: str):
+    key = ("gbt", spark.sparkContext.applicationId, d)
+    if key not in _TRAINED:
+        s = _splits(spark, d)
+        _TRAINED[key] = B.fit_boosted(s.where(F.col("split") == "train"), SYNTHETIC_FEATURES)
+    return _TRAINED[key]
+
+
+def boosted_scores(spark: SparkSession, d: str) -> DataFrame:
+    s = B.score_boosted(_splits(spark, d), trained_boosted(spark, d))
+    return s.select("transaction_id", "split", "risk_score", "risk_tier", "recommended_action", "is_fraud")
+
+
+def boosted_search(spark: SparkSession, d: str) -> DataFrame:
+    s = _splits(spark, d)
+    log, _ = B.random_search(s.where(F.col("split") == "train"), s.where(F.col("split") == "valid"),
+                             SYNTHETIC_FEATURES, trials=3)
+    return log
+
+
+def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """J11 on the test split: forest vs boosted vs the prevalence baseline; I22 ensemble as a third model."""
+    from riskloom.operators import evaluate
+    test_ids = _splits(spark, d).where(F.col("split") == "test").select("transaction_id")
+    fs = forest_scored(spark, d).join(test_ids, "transaction_id").select("transaction_id", "is_fraud",
+                                                                          F.col("risk_score").alias("score"))
+    bs = boosted_scores(spark, d).where(F.col("split") == "test").select("transaction_id", "is_fraud",
+                                                                           F.col("risk_score").alias("score"))
+    ens = fs.join(bs.select("transaction_id", F.col("score").alias("b")), "transaction_id").select(
+        "transaction_id", "is_fraud", F.greatest("score", "b").alias("score"))
+    return evaluate.compare({"isolation_forest": fs, "boosted_trees": bs, "ensemble_max": ens})
