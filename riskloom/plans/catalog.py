@@ -76,6 +76,12 @@ CATALOG: dict[str, Job] = {
     "i08_boosted_scores": models.boosted_scores,
     "i09_boosted_search": models.boosted_search,
     "j11_model_comparison": models.model_comparison,
+    "l00_chunks": models.chunks,
+    "c10_vector_topk": models.vector_topk,
+    "l1f_analyse_results": models.analyse_results,
+    "l1f_analyse_summary": models.analyse_summary,
+    "b07_quarantine": models.analyse_quarantine,
+    "l1d_prompts": models.prompts,
 }
 
 

@@ -156,3 +156,49 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     ens = fs.join(bs.select("transaction_id", F.col("score").alias("b")), "transaction_id").select(
         "transaction_id", "is_fraud", F.greatest("score", "b").alias("score"))
     return evaluate.compare({"isolation_forest": fs, "boosted_trees": bs, "ensemble_max": ens})
+
+
+# ----------------------------------------------------------------------------- text grounding
+from riskloom.operators import text as TX  # noqa: E402
+from riskloom.plans.analyse import analyse, chunk_corpus  # noqa: E402
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunk_corpus(adapter.read(spark, d, "documents"))
+
+
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Every embedding's 3 nearest other embeddings by cosine similarity (exact, blocked)."""
+    e = adapter.read(spark, d, "embeddings")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    c = e.select(F.col("vec_id").alias("doc_key"), "embedding")
+    h = TX.top_k(q, c, 3, exclude_self=True)
+    return h.select("query_id", "rank", F.col("doc_key").alias("neighbour_id"),
+                    F.round("similarity", 6).alias("similarity"))
+
+
+def _analysed(spark: SparkSession, d: str) -> dict:
+    key = ("analyse", spark.sparkContext.applicationId, d)
+    if key not in _TRAINED:
+        _TRAINED[key] = analyse(adapter.transactions_table(spark, d), trained_forest(spark, d),
+                                adapter.read(spark, d, "documents"))
+    return _TRAINED[key]
+
+
+def analyse_results(spark: SparkSession, d: str) -> DataFrame:
+    return _analysed(spark, d)["results"]
+
+
+def analyse_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _analysed(spark, d)["summary"]
+
+
+def analyse_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    return _analysed(spark, d)["quarantine"]
+
+
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    r = _analysed(spark, d)["results"].where(F.col("risk_tier").isin("HIGH", "CRITICAL"))
+    t = adapter.transactions_table(spark, d).select("transaction_id", "hour", "high_risk_country", "velocity_1h",
+                                                    "velocity_24h", "amount_vs_avg_ratio")
+    return TX.risk_prompt(r.join(t, "transaction_id")).select("transaction_id", "prompt")
