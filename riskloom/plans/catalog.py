@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import eda, evaluate, reports
 from riskloom.plans import models
 from riskloom.sources import adapter
+from riskloom.streaming import jobs as streams
 
 Job = Callable[[SparkSession, str], DataFrame]
 
@@ -82,6 +83,10 @@ CATALOG: dict[str, Job] = {
     "l1f_analyse_summary": models.analyse_summary,
     "b07_quarantine": models.analyse_quarantine,
     "l1d_prompts": models.prompts,
+    "l2_stream_velocity": streams.velocity,
+    "l3_stream_fraud_windows": streams.fraud_windows,
+    "l4_stream_sessions": streams.sessions,
+    "l5_stream_alerts": streams.alerts,
 }
 
 
