@@ -49,13 +49,14 @@ def _keys_equal(left: DataFrame, right: DataFrame, cols: list[str]):
     return cond
 
 
-def trailing_stats(df: DataFrame, key: str, ts: str, value: str | None,
+def trailing_stats(df: DataFrame, key: str, ts: str, value: str | list[str] | None,
                    widths: dict[str, int], grain_seconds: int = 3600) -> DataFrame:
     """Add ``{name}_n`` (rows), ``{name}_s`` (sum of value), ``{name}_c`` (non-null values)
     for rows of the same key with event time in ``[t - width, t]`` (ties included).
 
-    ``widths`` maps an output prefix to a window width in seconds; each width must
-    be a multiple of ``grain_seconds``.
+    ``value`` may be a list of columns; then the sums are ``{name}_s__{col}`` and the
+    counts ``{name}_c__{col}``, all from the same single shuffle.  ``widths`` maps an
+    output prefix to a width in seconds; each must be a multiple of ``grain_seconds``.
     """
     g = grain_seconds * MICROS
     mults = {}
@@ -63,28 +64,33 @@ def trailing_stats(df: DataFrame, key: str, ts: str, value: str | None,
         if w % grain_seconds:
             raise ValueError(f"window {name}={w}s is not a multiple of the grain {grain_seconds}s")
         mults[name] = w // grain_seconds
-    val = F.col(value) if value else F.lit(None).cast("long")
+    values = [] if value is None else ([value] if isinstance(value, str) else list(value))
+    single = isinstance(value, str)
+    vcols = [f"_tw_v{i}" for i in range(len(values))]
     base = (df.withColumn("_tw_us", epoch_micros(df, ts))
               .withColumn("_tw_b", F.floor(F.col("_tw_us") / F.lit(g)).cast("long"))
-              .withColumn("_tw_p", F.col("_tw_us") - F.col("_tw_b") * F.lit(g))
-              .withColumn("_tw_v", val))
+              .withColumn("_tw_p", F.col("_tw_us") - F.col("_tw_b") * F.lit(g)))
+    for vc, v in zip(vcols, values):
+        base = base.withColumn(vc, F.col(v))
 
     # One row per (key, bucket): bounded by active buckets, tiny next to the rows.
-    totals = base.groupBy(key, "_tw_b").agg(
-        F.count(F.lit(1)).alias("_tw_tn"), F.sum("_tw_v").alias("_tw_ts"), F.count("_tw_v").alias("_tw_tc"))
+    aggs = [F.count(F.lit(1)).alias("_tw_tn")]
+    for vc in vcols:
+        aggs += [F.sum(vc).alias(f"{vc}_ts"), F.count(vc).alias(f"{vc}_tc")]
+    totals = base.groupBy(key, "_tw_b").agg(*aggs)
     wk = Window.partitionBy(key).orderBy("_tw_b")
     for name, m in mults.items():
         frame = wk.rangeBetween(-m, -1)
-        totals = (totals
-                  .withColumn(f"_tw_Sn_{name}", F.coalesce(F.sum("_tw_tn").over(frame), F.lit(0)))
-                  .withColumn(f"_tw_Ss_{name}", F.sum("_tw_ts").over(frame))
-                  .withColumn(f"_tw_Sc_{name}", F.coalesce(F.sum("_tw_tc").over(frame), F.lit(0))))
-    totals = totals.drop("_tw_tn", "_tw_ts", "_tw_tc")
+        totals = totals.withColumn(f"_tw_Sn_{name}", F.coalesce(F.sum("_tw_tn").over(frame), F.lit(0)))
+        for vc in vcols:
+            totals = (totals.withColumn(f"_tw_Ss_{name}{vc}", F.sum(f"{vc}_ts").over(frame))
+                            .withColumn(f"_tw_Sc_{name}{vc}", F.coalesce(F.sum(f"{vc}_tc").over(frame), F.lit(0))))
+    totals = totals.drop("_tw_tn", *[f"{vc}_ts" for vc in vcols], *[f"{vc}_tc" for vc in vcols])
 
     real = base.withColumn("_tw_k", F.lit(0))
     parts = [real]
     for m in sorted(set(mults.values())):
-        parts.append(base.select(F.col(key), (F.col("_tw_b") + F.lit(m)).alias("_tw_b"), "_tw_p", "_tw_v",
+        parts.append(base.select(F.col(key), (F.col("_tw_b") + F.lit(m)).alias("_tw_b"), "_tw_p", *vcols,
                                  F.lit(m).alias("_tw_k")))
     u = parts[0]
     for p in parts[1:]:
@@ -94,32 +100,35 @@ def trailing_stats(df: DataFrame, key: str, ts: str, value: str | None,
     own = w.rangeBetween(Window.unboundedPreceding, 0)
     before = w.rangeBetween(Window.unboundedPreceding, -1)
     is_own = F.col("_tw_k") == 0
-    u = (u.withColumn("_tw_on", F.sum(F.when(is_own, 1).otherwise(0)).over(own))
-          .withColumn("_tw_os", F.sum(F.when(is_own, F.col("_tw_v"))).over(own))
-          .withColumn("_tw_oc", F.sum(F.when(is_own & F.col("_tw_v").isNotNull(), 1).otherwise(0)).over(own)))
+
+    def cnt(cond, frame):
+        return F.coalesce(F.sum(F.when(cond, 1).otherwise(0)).over(frame), F.lit(0))
+    u = u.withColumn("_tw_on", cnt(is_own, own))
+    for vc in vcols:
+        u = (u.withColumn(f"_tw_os{vc}", F.sum(F.when(is_own, F.col(vc))).over(own))
+              .withColumn(f"_tw_oc{vc}", cnt(is_own & F.col(vc).isNotNull(), own)))
     for m in sorted(set(mults.values())):
         is_h = F.col("_tw_k") == m
-        u = (u.withColumn(f"_tw_hn_{m}", F.sum(F.when(is_h, 1).otherwise(0)).over(before))
-              .withColumn(f"_tw_hs_{m}", F.sum(F.when(is_h, F.col("_tw_v"))).over(before))
-              .withColumn(f"_tw_hc_{m}", F.sum(F.when(is_h & F.col("_tw_v").isNotNull(), 1).otherwise(0))
-                          .over(before)))
+        u = u.withColumn(f"_tw_hn_{m}", cnt(is_h, before))
+        for vc in vcols:
+            u = (u.withColumn(f"_tw_hs_{m}{vc}", F.sum(F.when(is_h, F.col(vc))).over(before))
+                  .withColumn(f"_tw_hc_{m}{vc}", cnt(is_h & F.col(vc).isNotNull(), before)))
     u = u.filter(is_own)
 
     j = u.join(totals, _keys_equal(u, totals, [key, "_tw_b"]), "left")
     out_cols = [u[c] for c in u.columns]
     extra = []
     for name, m in mults.items():
-        zero_s = F.lit(0).cast(base.schema["_tw_v"].dataType) if value else F.lit(None)
-        extra += [
-            (F.coalesce(totals[f"_tw_Sn_{name}"], F.lit(0)) + F.col("_tw_on")
-             - F.coalesce(F.col(f"_tw_hn_{m}"), F.lit(0)))
-            .cast("long").alias(f"{name}_n"),
-            (F.coalesce(totals[f"_tw_Ss_{name}"], zero_s) + F.coalesce(F.col("_tw_os"), zero_s)
-             - F.coalesce(F.col(f"_tw_hs_{m}"), zero_s)).alias(f"{name}_s"),
-            (F.coalesce(totals[f"_tw_Sc_{name}"], F.lit(0)) + F.col("_tw_oc")
-             - F.coalesce(F.col(f"_tw_hc_{m}"), F.lit(0)))
-            .cast("long").alias(f"{name}_c"),
-        ]
+        extra.append((F.coalesce(totals[f"_tw_Sn_{name}"], F.lit(0)) + F.col("_tw_on")
+                      - F.col(f"_tw_hn_{m}")).cast("long").alias(f"{name}_n"))
+        for vc, v in zip(vcols, values):
+            zero = F.lit(0).cast(base.schema[vc].dataType)
+            suffix = "" if single else f"__{v}"
+            extra += [
+                (F.coalesce(totals[f"_tw_Ss_{name}{vc}"], zero) + F.coalesce(F.col(f"_tw_os{vc}"), zero)
+                 - F.coalesce(F.col(f"_tw_hs_{m}{vc}"), zero)).alias(f"{name}_s{suffix}"),
+                (F.coalesce(totals[f"_tw_Sc_{name}{vc}"], F.lit(0)) + F.col(f"_tw_oc{vc}")
+                 - F.col(f"_tw_hc_{m}{vc}")).cast("long").alias(f"{name}_c{suffix}")]
     res = j.select(*out_cols, *extra)
     drop = [c for c in res.columns if c.startswith("_tw_")]
     return res.drop(*drop)

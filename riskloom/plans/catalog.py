@@ -87,6 +87,13 @@ CATALOG: dict[str, Job] = {
     "l3_stream_fraud_windows": streams.fraud_windows,
     "l4_stream_sessions": streams.sessions,
     "l5_stream_alerts": streams.alerts,
+    "m_rule_flags": models.rule_flags,
+    "m_rule_summary": models.rule_summary,
+    "m08_psi": models.psi_inputs,
+    "m08_score_psi": models.score_psi,
+    "m09_performance_drift": models.performance_drift,
+    "m10_volume_fp": models.volume_fp,
+    "m12_rank_shift": models.rank_shift,
 }
 
 

@@ -202,3 +202,42 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
     t = adapter.transactions_table(spark, d).select("transaction_id", "hour", "high_risk_country", "velocity_1h",
                                                     "velocity_24h", "amount_vs_avg_ratio")
     return TX.risk_prompt(r.join(t, "transaction_id")).select("transaction_id", "prompt")
+
+
+# ----------------------------------------------------------------------------- rules and monitoring
+from riskloom.operators import monitor as MO  # noqa: E402
+from riskloom.operators import rules as RU  # noqa: E402
+
+PSI_COLUMNS = ["amount", "hour", "velocity_24h", "amount_vs_avg_ratio", "days_since_account_open"]
+
+
+def rule_flags(spark: SparkSession, d: str) -> DataFrame:
+    return RU.rule_flags(adapter.transactions_table(spark, d), adapter.merchants(spark, d))
+
+
+def rule_summary(spark: SparkSession, d: str) -> DataFrame:
+    return RU.rule_summary(rule_flags(spark, d))
+
+
+def psi_inputs(spark: SparkSession, d: str) -> DataFrame:
+    return MO.psi(MO.split_periods(adapter.transactions_table(spark, d)), PSI_COLUMNS)
+
+
+def score_psi(spark: SparkSession, d: str) -> DataFrame:
+    s = MO.split_periods(forest_scored(spark, d))
+    return MO.psi_alerts(MO.psi(s, ["risk_score"]), "risk_score")
+
+
+def performance_drift(spark: SparkSession, d: str) -> DataFrame:
+    return MO.performance_drift(MO.split_periods(forest_scored(spark, d)), "is_fraud", "risk_score")
+
+
+def volume_fp(spark: SparkSession, d: str) -> DataFrame:
+    return MO.volume_and_fp(forest_scored(spark, d))
+
+
+def rank_shift(spark: SparkSession, d: str) -> DataFrame:
+    s = MO.split_periods(forest_scored(spark, d, attributions=True))
+    b = FO.global_importance(s.where(F.col("period") == "baseline"), SYNTHETIC_FEATURES)
+    c = FO.global_importance(s.where(F.col("period") == "current"), SYNTHETIC_FEATURES)
+    return MO.attribution_rank_shift(b, c)
