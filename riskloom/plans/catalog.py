@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators import eda, evaluate, reports
+from riskloom.operators import eda, evaluate, features, reports
 from riskloom.plans import models
 from riskloom.sources import adapter
 from riskloom.streaming import jobs as streams
@@ -94,6 +94,9 @@ CATALOG: dict[str, Job] = {
     "m09_performance_drift": models.performance_drift,
     "m10_volume_fp": models.volume_fp,
     "m12_rank_shift": models.rank_shift,
+    "a08_row_counts": lambda s, d: features.row_counts(adapter.tables(s, d)),
+    "a09_constraints": lambda s, d: features.constraint_report(_t(s, d), adapter.accounts(s, d),
+                                                               adapter.merchants(s, d)),
 }
 
 
