@@ -213,3 +213,44 @@ def daily_peaks(rolling: DataFrame) -> DataFrame:
                        F.max("daily_fraud_rate_pct").alias("peak_rate_pct"),
                        F.max("cumulative_fraud_count").alias("total_fraud"),
                        F.round(F.avg("daily_fraud_rate_pct"), 4).alias("mean_daily_rate_pct"))
+
+
+def queue_by_sla(queue: DataFrame) -> DataFrame:
+    """Alerts, confirmed fraud and fraud rate per review band of the alert queue,
+    all four bands present (zero-filled)."""
+    spark = queue.sparkSession
+    bands = spark.createDataFrame([(v,) for v in X.REVIEW_SLA_LABELS.values()], ["review_sla"])
+    g = queue.groupBy("review_sla").agg(F.count(F.lit(1)).alias("alerts"),
+                                        F.sum("confirmed_fraud").cast("long").alias("fraud_confirmed"))
+    j = bands.join(g, "review_sla", "left")
+    return j.select("review_sla", F.coalesce("alerts", F.lit(0)).cast("long").alias("alerts"),
+                    F.coalesce("fraud_confirmed", F.lit(0)).cast("long").alias("fraud_confirmed"),
+                    F.round(F.coalesce(X.ratio(F.col("fraud_confirmed"), F.col("alerts")), F.lit(0.0)), 6)
+                    .alias("fraud_rate"))
+
+
+def points_range(points: DataFrame) -> DataFrame:
+    """Min / max / range of points per scorecard feature (offset row excluded)."""
+    d = points.where(F.col("feature") != "__OFFSET__")
+    return d.groupBy("feature").agg(F.min("points").alias("min_pts"), F.max("points").alias("max_pts")) \
+            .withColumn("range", F.col("max_pts") - F.col("min_pts"))
+
+
+def class_sample(df: DataFrame, key: str, label: str = "is_fraud", n_negative: int = 500, seed: int = 42) -> DataFrame:
+    """every positive row plus ``n_negative`` negatives chosen by a seeded hash order
+    (a per-partition top-n merged by Spark; portable: md5 prefix, tie-broken by key)."""
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    neg = df.where(F.col(label) == 0).withColumn("_h", h).orderBy("_h", key).limit(n_negative).drop("_h")
+    return df.where(F.col(label) == 1).unionByName(neg)
+
+
+def spearman(a: DataFrame, b: DataFrame, key: str = "feature", va: str = "a", vb: str = "b") -> DataFrame:
+    """Spearman correlation of two importance vectors (average ranks for ties)."""
+    j = a.select(key, F.col(va).alias("_a")).join(b.select(key, F.col(vb).alias("_b")), key)
+
+    def avg_rank(c):
+        w = Window.orderBy(F.col(c).desc())           # one row per feature: a handful of rows
+        n_eq = F.count(F.lit(1)).over(Window.partitionBy(c))
+        return F.rank().over(w) + (n_eq - 1) / 2.0
+    r = j.select(key, avg_rank("_a").alias("ra"), avg_rank("_b").alias("rb"))
+    return r.agg(F.round(F.corr("ra", "rb"), 6).alias("spearman_rho"), F.count(F.lit(1)).alias("n_features"))

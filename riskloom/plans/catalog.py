@@ -97,6 +97,10 @@ CATALOG: dict[str, Job] = {
     "a08_row_counts": lambda s, d: features.row_counts(adapter.tables(s, d)),
     "a09_constraints": lambda s, d: features.constraint_report(_t(s, d), adapter.accounts(s, d),
                                                                adapter.merchants(s, d)),
+    "d24_queue_by_sla": models.queue_sla,
+    "d26_points_range": models.points_range,
+    "f04_class_sample": models.class_sample,
+    "i21_importance_agreement": models.importance_agreement,
 }
 
 

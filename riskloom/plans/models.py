@@ -241,3 +241,24 @@ def rank_shift(spark: SparkSession, d: str) -> DataFrame:
     b = FO.global_importance(s.where(F.col("period") == "baseline"), SYNTHETIC_FEATURES)
     c = FO.global_importance(s.where(F.col("period") == "current"), SYNTHETIC_FEATURES)
     return MO.attribution_rank_shift(b, c)
+
+
+def queue_sla(spark: SparkSession, d: str) -> DataFrame:
+    from riskloom.operators import reports
+    q = reports.alert_queue(adapter.transactions_table(spark, d), adapter.merchants(spark, d))
+    return eda.queue_by_sla(q)
+
+
+def points_range(spark: SparkSession, d: str) -> DataFrame:
+    return eda.points_range(trained_scorecard(spark, d)["points"])
+
+
+def class_sample(spark: SparkSession, d: str) -> DataFrame:
+    return eda.class_sample(adapter.transactions_table(spark, d), "transaction_id")
+
+
+def importance_agreement(spark: SparkSession, d: str) -> DataFrame:
+    fi = FO.global_importance(forest_scored(spark, d, attributions=True), SYNTHETIC_FEATURES)
+    gi = B.gain_importance(trained_boosted(spark, d), SYNTHETIC_FEATURES)
+    return eda.spearman(fi.select("feature", F.col("mean_abs_attribution").alias("a")),
+                        gi.select("feature", F.col("gain_importance").alias("b")))
