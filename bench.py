@@ -48,8 +48,29 @@ def main() -> None:
     total = round(sum(times.values()), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_seconds", "value": total, "unit": "sec", "queries": times,
+                      "duckdb_same_sql": duckdb_times(sf_dir, names),
                       "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
 
 
+def duckdb_times(sf_dir: str, names: list[str]) -> dict:
+    """Single-node reference point: the oracle SQL of the same jobs in DuckDB on the same files."""
+    try:
+        import duckdb
+        from riskloom.oracle import SQL
+    except Exception:  # noqa: BLE001
+        return {}
+    con = duckdb.connect()
+    for t in ("region nation customer supplier part orders lineitem events documents embeddings pages "
+              "benchmark labels conversations").split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    out = {}
+    for name in names:
+        if name in SQL:
+            t0 = time.time()
+            con.execute(SQL[name]).fetchall()
+            out[name] = round(time.time() - t0, 3)
+    return out
+
+
 if __name__ == "__main__":
     main()

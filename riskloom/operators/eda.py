@@ -83,7 +83,7 @@ def rate_by_quantile_bin(t: DataFrame, bins: dict[str, int] = BINNED_COLUMNS, la
     edges = q.select("feature", F.array_sort(F.array_distinct(F.transform(want, lambda w: pmap[w]))).alias("edges"))
     x = F.col("value")
     b = lg.join(F.broadcast(edges), "feature").select(
-        "feature", bin_index(x).alias("bin"), F.element_at("edges", bin_index(x) + 1).alias("lo"),
+        "feature", bin_index(x).cast("long").alias("bin"), F.element_at("edges", bin_index(x) + 1).alias("lo"),
         F.element_at("edges", bin_index(x) + 2).alias("hi"), label)
     return b.groupBy("feature", "bin", "lo", "hi").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(label) * 100.0, 4).alias("fraud_rate_pct"))

@@ -96,7 +96,7 @@ def calibration(df: DataFrame, label: str = "is_fraud", score: str = "score", n_
     """Reliability per score quantile bin (empty bins absent)."""
     edges = quantile_edges_exact(df, score, n_bins)
     x = F.col(score).cast("double")
-    b = df.crossJoin(F.broadcast(edges)).select(bin_index(x).alias("bin"), x.alias("s"), label)
+    b = df.crossJoin(F.broadcast(edges)).select(bin_index(x).cast("long").alias("bin"), x.alias("s"), label)
     return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), ROUND).alias("mean_score"),
                                 F.round(F.avg(label), ROUND).alias("fraud_rate"))
 
@@ -122,7 +122,7 @@ def deciles(df: DataFrame, label: str = "is_fraud", score: str = "score", n_bins
     """Decile table (1 = lowest scores) and the gains curve from the top decile down."""
     edges = quantile_edges_exact(df, score, n_bins)
     x = F.col(score).cast("double")
-    b = df.crossJoin(F.broadcast(edges)).select((bin_index(x) + 1).alias("decile"), x.alias("s"), label)
+    b = df.crossJoin(F.broadcast(edges)).select((bin_index(x) + 1).cast("long").alias("decile"), x.alias("s"), label)
     g = b.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.sum(label).cast("long").alias("n_fraud"),
                                 F.round(F.avg("s"), ROUND).alias("avg_score"))
     w = Window.orderBy(F.col("decile").desc()).rowsBetween(Window.unboundedPreceding, 0)   # <= n_bins rows

@@ -14,18 +14,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.timewindow import quantile_edges
+from riskloom.operators.timewindow import auto_edges, bucket_of, quantile_edges
 
 
 def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], descending: bool = False,
-                        n_edges: int | None = 64, by: list[str] | None = None) -> DataFrame:
+                        n_edges: int | str | None = "auto", by: list[str] | None = None) -> DataFrame:
     """One row per distinct ``(by..., value)`` with per-value sums and prefix sums.
 
     Output columns: ``by...``, ``value``, and for each name in ``sums``: ``name``
     (at this value), ``before_<name>`` (over values strictly earlier in the order,
     within the group) and ``total_<name>`` (whole group).  Nulls sort first
     ascending, last descending.  ``n_edges=None`` runs one window per group over
-    its distinct values (only for value domains known to be small).
+    its distinct values (only for value domains known to be small); ``"auto"`` sizes the
+    buckets from an approximate distinct count (about a million values per bucket).
     """
     by = list(by or [])
     hist = df.groupBy(*by, value).agg(*[expr.alias(name) for name, expr in sums.items()])
@@ -41,9 +42,11 @@ def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], desc
                       .withColumn(f"total_{n}", F.sum(n).over(gw)))
         return out
 
+    if n_edges == "auto":
+        n_edges = auto_edges(df, value)
     edges = quantile_edges(df.where(F.col(value).isNotNull()), value, n_edges)
     x = F.col(value).cast("double")
-    b = F.size(F.filter(F.col("edges"), lambda e: e < x))
+    b = bucket_of(x, F.col("edges"), n_edges)
     if descending:
         b = F.lit(n_edges) - b
     null_b = F.lit(n_edges + 1) if descending else F.lit(-1)
@@ -65,7 +68,7 @@ def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], desc
     return j.select(*cols)
 
 
-def percent_rank(df: DataFrame, value: str, out: str = "percent_rank", n_edges: int | None = 64) -> DataFrame:
+def percent_rank(df: DataFrame, value: str, out: str = "percent_rank", n_edges: int | str | None = "auto") -> DataFrame:
     """SQL ``PERCENT_RANK() OVER (ORDER BY value)`` appended to every row."""
     cum = cumulative_by_value(df, value, {"_pr_n": F.count(F.lit(1))}, n_edges=n_edges)
     pr = F.when(F.col("total__pr_n") <= 1, F.lit(0.0)).otherwise(
@@ -76,7 +79,7 @@ def percent_rank(df: DataFrame, value: str, out: str = "percent_rank", n_edges:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None,
-                    n_edges: int | None = 64) -> DataFrame:
+                    n_edges: int | str | None = "auto") -> DataFrame:
     """Exact linear-interpolated quantiles (``percentile_cont``, pandas ``quantile``) per group.
 
     Rows are reduced to distinct values with counts; cumulative counts locate the

@@ -132,8 +132,8 @@ def fit_woe(df: DataFrame, cols: list[str], label: str = "is_fraud", n_bins: int
         lc = _long(d.select(label, *cont), cont)
         probs = {f"q{i}": i / n_bins for i in range(n_bins + 1)}
         q = exact_quantiles(lc, "value", probs, by=["feature"])
-        edges = q.select("feature", F.array_sort(F.array_distinct(F.array(*[F.col(k) for k in probs])))
-                         .alias("edges"))
+        edges = freeze(q.select("feature", F.array_sort(F.array_distinct(F.array(*[F.col(k) for k in probs])))
+                                .alias("edges")))
         fine = (lc.join(F.broadcast(edges), "feature")
                   .select("feature", bin_index(F.col("value")).alias("bin"), label)
                   .where(F.col("bin").isNotNull())

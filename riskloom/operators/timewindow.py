@@ -26,6 +26,8 @@ All results equal the single-partition window functions exactly.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -180,21 +182,52 @@ def sequence(df: DataFrame, key: str, ts: str, tiebreak: str, lag_cols: list[str
     return j.select(*cols)
 
 
-def quantile_edges(df: DataFrame, col: str, n_edges: int = 64, accuracy: int = 10000) -> DataFrame:
+ROWS_PER_BUCKET = 1_000_000     # target rows (or distinct values) per bucketed window partition
+MIN_EDGES, MAX_EDGES = 64, 65_536
+
+
+def auto_edges(df: DataFrame, col: str | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Number of quantile edges so that a bucket holds about ``rows_per_bucket`` rows (``col=None``)
+    or distinct values of ``col``; one aggregate, clamped to [64, 65536]."""
+    agg = F.count(F.lit(1)) if col is None else F.approx_count_distinct(col)
+    n = df.agg(agg).first()[0] or 0
+    return int(min(MAX_EDGES, max(MIN_EDGES, math.ceil(n / rows_per_bucket))))
+
+
+def quantile_edges(df: DataFrame, col: str, n_edges: int = 64, accuracy: int | None = None) -> DataFrame:
     """1-row DataFrame ``edges: array<double>`` of approximate quantiles (sorted, distinct).
     The size is bounded by ``n_edges`` whatever the data size."""
     probs = [i / (n_edges + 1) for i in range(1, n_edges + 1)]
+    acc = accuracy or max(10_000, 4 * n_edges)
     return df.agg(F.array_sort(F.array_distinct(
-        F.percentile_approx(F.col(col).cast("double"), probs, accuracy))).alias("edges"))
+        F.percentile_approx(F.col(col).cast("double"), probs, acc))).alias("edges"))
+
+
+def bucket_of(x: Column, edges: Column, max_edges: int) -> Column:
+    """Number of ``edges`` (sorted ascending) strictly below ``x``: a binary search of
+    ``ceil(log2(max_edges + 1))`` steps inside one ``aggregate`` expression (stays in codegen-able
+    JVM expressions; O(log n) per row instead of scanning all edges)."""
+    steps = max(1, math.ceil(math.log2(max_edges + 1)))
+    init = F.struct(F.lit(0).alias("lo"), F.size(edges).alias("hi"))
+
+    def step(acc, _):
+        active = acc["lo"] < acc["hi"]
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        less = F.coalesce(F.element_at(edges, mid + 1) < x, F.lit(False))
+        return F.struct(F.when(active & less, mid + 1).otherwise(acc["lo"]).alias("lo"),
+                        F.when(active & ~less, mid).otherwise(acc["hi"]).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
 
 
 def rank_within_key(df: DataFrame, key: str, value: str, out: str, descending: bool = True,
-                    n_edges: int = 64) -> DataFrame:
+                    n_edges: int | None = None) -> DataFrame:
     """SQL ``RANK() OVER (PARTITION BY key ORDER BY value DESC|ASC)`` (nulls last for DESC,
-    first for ASC, as Spark and SQLite do) without one task per key."""
+    first for ASC, as Spark and SQLite do) without one task per key.  Buckets come from
+    global value quantiles; ``n_edges=None`` sizes them from the row count."""
+    n_edges = n_edges or auto_edges(df)
     edges = quantile_edges(df, value, n_edges)
     x = F.col(value).cast("double")
-    b = F.size(F.filter(F.col("edges"), lambda e: e < x))
+    b = bucket_of(x, F.col("edges"), n_edges)
     null_bucket = F.lit(-1) if descending else F.lit(n_edges + 1)
     if not descending:
         # ascending ranks count rows below; reuse the descending machinery on -value buckets

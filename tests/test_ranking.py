@@ -40,3 +40,16 @@ def test_cumulative_totals(spark):
         sub = sub.sort_values("v", ascending=False)
         assert (sub["before_n"].to_numpy() == np.concatenate([[0], np.cumsum(sub["n"].to_numpy())[:-1]])).all()
         assert (sub["total_n"] == (pdf["g"] == g).sum()).all()
+
+
+@pytest.mark.parametrize("n_edges", [1, 2, 7, 64, 1000])
+def test_bucket_of_matches_searchsorted(spark, n_edges):
+    from riskloom.operators.timewindow import bucket_of
+    rng = np.random.default_rng(n_edges)
+    edges = np.unique(np.round(rng.normal(size=n_edges), 2))
+    xs = np.concatenate([rng.normal(size=300), edges[:5], [-10.0, 10.0]])
+    df = spark.createDataFrame(pd.DataFrame({"x": xs})).crossJoin(
+        spark.createDataFrame([(edges.tolist(),)], "edges array<double>"))
+    got = df.select("x", bucket_of(F.col("x"), F.col("edges"), n_edges).alias("b")).toPandas()
+    exp = np.searchsorted(edges, got["x"].to_numpy(), side="left")
+    assert (got["b"].to_numpy() == exp).all()
