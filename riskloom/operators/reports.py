@@ -79,7 +79,7 @@ def rolling_fraud_rate(t: DataFrame, days: int = 7) -> DataFrame:
         .orderBy("txn_date"))
 
 
-def velocity_sequence(t: DataFrame, grain_seconds: int = 86400) -> DataFrame:
+def velocity_sequence(t: DataFrame, grain_seconds: int = 300) -> DataFrame:
     """Per-account previous transaction, sequence number and amount rank."""
     s = sequence(t, "account_id", "txn_timestamp", "transaction_id",
                  lag_cols=["txn_timestamp", "amount", "merchant_id"], row_number="txn_seq_num",

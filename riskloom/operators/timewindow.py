@@ -138,7 +138,7 @@ def trailing_stats(df: DataFrame, key: str, ts: str, value: str | list[str] | No
 
 def sequence(df: DataFrame, key: str, ts: str, tiebreak: str, lag_cols: list[str],
              lead_cols: list[str] | None = None, row_number: str | None = "seq_num",
-             grain_seconds: int = 86400) -> DataFrame:
+             grain_seconds: int = 300) -> DataFrame:
     """LAG (``prev_<c>``), LEAD (``next_<c>``) and ROW_NUMBER within ``key`` ordered by
     ``(ts, tiebreak)``, computed per (key, time bucket) and stitched across buckets."""
     lead_cols = lead_cols or []

@@ -10,7 +10,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 FAST = ["adapter_transactions", "r01_fraud_overview", "r02_rolling_fraud_rate", "r03_velocity_bursts",
         "r04_account_tiers", "r05_merchant_exposure", "r06_time_of_day", "r07_alert_queue", "r08_cohorts",
-        "d13_rate_by_quantile_bin", "j01_summary", "j09_lift", "c10_vector_topk", "m_rule_flags", "i10_woe_bins"]
+        "d13_rate_by_quantile_bin", "j01_summary", "j09_lift", "c10_vector_topk", "m_rule_flags", "i10_woe_bins", "l2_stream_velocity", "d24_queue_by_sla",
+        "a09_constraints"]
 
 
 @pytest.fixture(scope="module")
