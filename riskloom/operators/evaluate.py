@@ -28,34 +28,37 @@ def _counts(df: DataFrame, label: str, score: str, descending: bool) -> DataFram
                                descending=descending)
 
 
-def curve(df: DataFrame, label: str = "is_fraud", score: str = "score") -> DataFrame:
-    """One row per distinct score threshold (rows with score >= threshold predicted positive):
-    tp, fp, precision, recall (= TPR), FPR, F1."""
-    c = _counts(df, label, score, descending=True)
-    tp = F.col("before_pos") + F.col("pos")
-    fp = F.col("before_neg") + F.col("neg")
+def _curve_from(c: DataFrame, score: str) -> DataFrame:
+    """Threshold table from *ascending* cumulative counts: rows at or above a threshold are
+    everything except the rows strictly below it."""
     P, N = F.col("total_pos"), F.col("total_neg")
+    tp = P - F.col("before_pos")
+    fp = N - F.col("before_neg")
     prec = X.ratio(tp, tp + fp)
     rec = X.ratio(tp, P)
     return c.select(F.col(score).alias("threshold"), tp.alias("tp"), fp.alias("fp"),
                     F.coalesce(prec, F.lit(0.0)).alias("precision"), F.coalesce(rec, F.lit(0.0)).alias("recall"),
                     F.coalesce(X.ratio(fp, N), F.lit(0.0)).alias("fpr"),
                     F.coalesce(X.ratio(2 * tp, 2 * tp + fp + (P - tp)), F.lit(0.0)).alias("f1"),
-                    "pos", "neg", P.alias("n_pos"), N.alias("n_neg"))
+                    "pos", "neg", "before_neg", P.alias("n_pos"), N.alias("n_neg"))
+
+
+def curve(df: DataFrame, label: str = "is_fraud", score: str = "score") -> DataFrame:
+    """One row per distinct score threshold (rows with score >= threshold predicted positive):
+    tp, fp, precision, recall (= TPR), FPR, F1."""
+    return _curve_from(_counts(df, label, score, descending=False), score).drop("before_neg")
 
 
 def summary(df: DataFrame, label: str = "is_fraud", score: str = "score") -> DataFrame:
-    """Average precision (step-wise), ROC AUC (ties count one half), Gini, KS, prevalence."""
-    cv = curve(df, label, score)
-    asc = _counts(df, label, score, descending=False)
-    auc = asc.agg(
-        F.sum(F.col("pos").cast("double") * (F.col("before_neg").cast("double") + 0.5 * F.col("neg")))
-        .alias("_u"), F.max("total_pos").alias("_p"), F.max("total_neg").alias("_n"))
-    ap = cv.agg(F.sum(F.when(F.col("n_pos") > 0, F.col("pos") / F.col("n_pos") * F.col("precision"))).alias("ap"),
-                F.max(F.abs(F.col("recall") - F.col("fpr"))).alias("ks"))
-    j = ap.crossJoin(auc)
+    """Average precision (step-wise), ROC AUC (ties count one half), Gini, KS, prevalence --
+    all from one pass of cumulative counts over the distinct scores."""
+    cv = _curve_from(_counts(df, label, score, descending=False), score)
+    a = cv.agg(F.sum(F.when(F.col("n_pos") > 0, F.col("pos") / F.col("n_pos") * F.col("precision"))).alias("ap"),
+               F.max(F.abs(F.col("recall") - F.col("fpr"))).alias("ks"),
+               F.sum(F.col("pos").cast("double") * (F.col("before_neg").cast("double") + 0.5 * F.col("neg")))
+               .alias("_u"), F.max("n_pos").alias("_p"), F.max("n_neg").alias("_n"))
     roc = X.ratio(F.col("_u"), F.col("_p").cast("double") * F.col("_n").cast("double"))
-    return j.select(F.round("ap", ROUND).alias("auc_pr"), F.round(roc, ROUND).alias("auc_roc"),
+    return a.select(F.round("ap", ROUND).alias("auc_pr"), F.round(roc, ROUND).alias("auc_roc"),
                     F.round(roc * 2 - 1, ROUND).alias("gini"), F.round("ks", ROUND).alias("ks"),
                     F.round(X.ratio(F.col("_p"), F.col("_p") + F.col("_n")), ROUND).alias("prevalence"),
                     F.col("_p").alias("n_pos"), F.col("_n").alias("n_neg"))
