@@ -101,6 +101,10 @@ CATALOG: dict[str, Job] = {
     "d26_points_range": models.points_range,
     "f04_class_sample": models.class_sample,
     "i21_importance_agreement": models.importance_agreement,
+    "b14_profile": models.profile_missing,
+    "b15_winsorised_amounts": models.winsorised_amounts,
+    "i01_scaler": models.scaler_stats,
+    "i02_split_counts": models.split_counts,
 }
 
 

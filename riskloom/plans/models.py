@@ -262,3 +262,32 @@ def importance_agreement(spark: SparkSession, d: str) -> DataFrame:
     gi = B.gain_importance(trained_boosted(spark, d), SYNTHETIC_FEATURES)
     return eda.spearman(fi.select("feature", F.col("mean_abs_attribution").alias("a")),
                         gi.select("feature", F.col("gain_importance").alias("b")))
+
+
+# ----------------------------------------------------------------------------- profile, winsorise, scaler, split
+from riskloom.operators import features as FE  # noqa: E402
+
+
+def profile_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Missing values per column of the transaction table."""
+    return FE.profile(adapter.transactions_table(spark, d)).select("column_name", "missing")
+
+
+def winsorised_amounts(spark: SparkSession, d: str) -> DataFrame:
+    """Amount clipped at its P99, summarised by class."""
+    w = FE.winsorise(adapter.transactions_table(spark, d), "amount", 0.99, out="amount_capped")
+    return w.groupBy("is_fraud").agg(F.round(F.avg("amount_capped"), 6).alias("mean_capped"),
+                                     F.max("amount_capped").alias("max_capped"),
+                                     F.sum((F.col("amount") > F.col("amount_capped")).cast("long")).alias("n_clipped"))
+
+
+def scaler_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and population std per model feature."""
+    s = FE.scaler_long(FE.fit_scaler(adapter.transactions_table(spark, d), SYNTHETIC_FEATURES), SYNTHETIC_FEATURES)
+    return s.select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+def split_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows per (split, class) of the seeded stratified split."""
+    s = stratified_split(adapter.transactions_table(spark, d), "transaction_id", "is_fraud", 0.2, 42)
+    return s.groupBy("split", "is_fraud").agg(F.count(F.lit(1)).alias("n"))
