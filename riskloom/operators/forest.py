@@ -106,7 +106,7 @@ def _tree_builder(cols: list[str], psi: int, max_features: float, seed: int):
 
 def fit_forest(df: DataFrame, cols: list[str], key: str, n_trees: int = 100, psi: int = 256,
                max_features: float = 1.0, seed: int = 42, scale: bool = True) -> dict:
-    """Fit the forest.  Returns ``{"nodes", "scaler", "cols", "psi", "n_trees", "train_range"}``."""
+    """Fit the forest.  Returns ``{"nodes", "scaler", "cols", "psi", "n_trees", "key"}``."""
     scaler = freeze(fit_scaler(df, cols)) if scale else None
     z = apply_scaler(df, scaler, cols, prefix="z_") if scale else df.select(
         key, *[F.col(c).alias(f"z_{c}") for c in cols])
@@ -120,9 +120,9 @@ def fit_forest(df: DataFrame, cols: list[str], key: str, n_trees: int = 100, psi
     sample = (z.select(F.col(key).cast("string").alias("_key"), *zc, F.explode(trees).alias("_tree")))
     nodes = sample.groupBy("_tree").applyInPandas(
         _tree_builder(zc, psi_eff, max_features, seed), NODE_SCHEMA)
-    model = {"nodes": freeze(nodes), "scaler": scaler, "cols": cols, "psi": psi_eff, "n_trees": n_trees,
-             "key": key}
-    return model
+    # bounded state: a tree on psi rows has < 2 psi nodes
+    nodes = freeze(nodes, limit=n_trees * 2 * max(psi_eff, 1))
+    return {"nodes": nodes, "scaler": scaler, "cols": cols, "psi": psi_eff, "n_trees": n_trees, "key": key}
 
 
 def _pack(nodes: pd.DataFrame, n_trees: int):
