@@ -84,6 +84,7 @@ CATALOG: dict[str, Job] = {
     "b07_quarantine": models.analyse_quarantine,
     "l1d_prompts": models.prompts,
     "l2_stream_velocity": streams.velocity,
+    "l2b_stream_velocity_microbatch": streams.velocity_microbatch,
     "l3_stream_fraud_windows": streams.fraud_windows,
     "l4_stream_sessions": streams.sessions,
     "l5_stream_alerts": streams.alerts,
