@@ -36,11 +36,10 @@ def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], desc
     if n_edges is None:
         w = (Window.partitionBy(*by) if by else Window).orderBy(order) \
             .rowsBetween(Window.unboundedPreceding, -1)
-        out = hist
+        cols = []
         for n in names:
-            out = (out.withColumn(f"before_{n}", F.coalesce(F.sum(n).over(w), F.lit(0)))
-                      .withColumn(f"total_{n}", F.sum(n).over(gw)))
-        return out
+            cols += [F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"before_{n}"), F.sum(n).over(gw).alias(f"total_{n}")]
+        return hist.select("*", *cols)
 
     if n_edges == "auto":
         n_edges = auto_edges(df, value)
@@ -53,14 +52,15 @@ def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], desc
     hb = (hist.crossJoin(F.broadcast(edges))
               .withColumn("_cv_b", F.when(F.col(value).isNull(), null_b).otherwise(b)).drop("edges"))
     wl = Window.partitionBy(*by, "_cv_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    for n in names:
-        hb = hb.withColumn(f"_cv_l_{n}", F.coalesce(F.sum(n).over(wl), F.lit(0)))
+    hb = hb.select("*", *[F.coalesce(F.sum(n).over(wl), F.lit(0)).alias(f"_cv_l_{n}") for n in names])
     bt = hb.groupBy(*by, "_cv_b").agg(*[F.sum(n).alias(f"_cv_t_{n}") for n in names])
     wb = (Window.partitionBy(*by) if by else Window).orderBy("_cv_b") \
         .rowsBetween(Window.unboundedPreceding, -1)
+    bcols = []
     for n in names:
-        bt = (bt.withColumn(f"_cv_o_{n}", F.coalesce(F.sum(f"_cv_t_{n}").over(wb), F.lit(0)))
-                .withColumn(f"total_{n}", F.sum(f"_cv_t_{n}").over(gw)))
+        bcols += [F.coalesce(F.sum(f"_cv_t_{n}").over(wb), F.lit(0)).alias(f"_cv_o_{n}"),
+                  F.sum(f"_cv_t_{n}").over(gw).alias(f"total_{n}")]
+    bt = bt.select("*", *bcols)
     j = hb.join(bt, [*by, "_cv_b"]) if by else hb.join(F.broadcast(bt), "_cv_b")
     cols = [F.col(c) for c in by] + [F.col(value)] + [F.col(n) for n in names]
     for n in names:

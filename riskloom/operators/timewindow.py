@@ -81,12 +81,14 @@ def trailing_stats(df: DataFrame, key: str, ts: str, value: str | list[str] | No
         aggs += [F.sum(vc).alias(f"{vc}_ts"), F.count(vc).alias(f"{vc}_tc")]
     totals = base.groupBy(key, "_tw_b").agg(*aggs)
     wk = Window.partitionBy(key).orderBy("_tw_b")
+    tcols = []                       # all bucket-window columns in one select -> one Window operator
     for name, m in mults.items():
         frame = wk.rangeBetween(-m, -1)
-        totals = totals.withColumn(f"_tw_Sn_{name}", F.coalesce(F.sum("_tw_tn").over(frame), F.lit(0)))
+        tcols.append(F.coalesce(F.sum("_tw_tn").over(frame), F.lit(0)).alias(f"_tw_Sn_{name}"))
         for vc in vcols:
-            totals = (totals.withColumn(f"_tw_Ss_{name}{vc}", F.sum(f"{vc}_ts").over(frame))
-                            .withColumn(f"_tw_Sc_{name}{vc}", F.coalesce(F.sum(f"{vc}_tc").over(frame), F.lit(0))))
+            tcols += [F.sum(f"{vc}_ts").over(frame).alias(f"_tw_Ss_{name}{vc}"),
+                      F.coalesce(F.sum(f"{vc}_tc").over(frame), F.lit(0)).alias(f"_tw_Sc_{name}{vc}")]
+    totals = totals.select("*", *tcols)
     totals = totals.drop("_tw_tn", *[f"{vc}_ts" for vc in vcols], *[f"{vc}_tc" for vc in vcols])
 
     real = base.withColumn("_tw_k", F.lit(0))
@@ -105,16 +107,17 @@ def trailing_stats(df: DataFrame, key: str, ts: str, value: str | list[str] | No
 
     def cnt(cond, frame):
         return F.coalesce(F.sum(F.when(cond, 1).otherwise(0)).over(frame), F.lit(0))
-    u = u.withColumn("_tw_on", cnt(is_own, own))
+    wcols = [cnt(is_own, own).alias("_tw_on")]      # one select -> one Window operator
     for vc in vcols:
-        u = (u.withColumn(f"_tw_os{vc}", F.sum(F.when(is_own, F.col(vc))).over(own))
-              .withColumn(f"_tw_oc{vc}", cnt(is_own & F.col(vc).isNotNull(), own)))
+        wcols += [F.sum(F.when(is_own, F.col(vc))).over(own).alias(f"_tw_os{vc}"),
+                  cnt(is_own & F.col(vc).isNotNull(), own).alias(f"_tw_oc{vc}")]
     for m in sorted(set(mults.values())):
         is_h = F.col("_tw_k") == m
-        u = u.withColumn(f"_tw_hn_{m}", cnt(is_h, before))
+        wcols.append(cnt(is_h, before).alias(f"_tw_hn_{m}"))
         for vc in vcols:
-            u = (u.withColumn(f"_tw_hs_{m}{vc}", F.sum(F.when(is_h, F.col(vc))).over(before))
-                  .withColumn(f"_tw_hc_{m}{vc}", cnt(is_h & F.col(vc).isNotNull(), before)))
+            wcols += [F.sum(F.when(is_h, F.col(vc))).over(before).alias(f"_tw_hs_{m}{vc}"),
+                      cnt(is_h & F.col(vc).isNotNull(), before).alias(f"_tw_hc_{m}{vc}")]
+    u = u.select("*", *wcols)
     u = u.filter(is_own)
 
     j = u.join(totals, _keys_equal(u, totals, [key, "_tw_b"]), "left")
@@ -146,12 +149,11 @@ def sequence(df: DataFrame, key: str, ts: str, tiebreak: str, lag_cols: list[str
     base = df.withColumn("_sq_b", F.floor(epoch_micros(df, ts) / F.lit(g)).cast("long"))
     order = [F.col(ts), F.col(tiebreak)]
     w = Window.partitionBy(key, "_sq_b").orderBy(*order)
-    out = base.withColumn("_sq_rn", F.row_number().over(w))
-    for c in lag_cols:
-        out = out.withColumn(f"_sq_lag_{c}", F.lag(c).over(w))
-    for c in lead_cols:
-        out = out.withColumn(f"_sq_lead_{c}", F.lead(c).over(w))
-    out = out.withColumn("_sq_cnt", F.count(F.lit(1)).over(Window.partitionBy(key, "_sq_b")))
+    sel = [F.row_number().over(w).alias("_sq_rn"),
+           F.count(F.lit(1)).over(Window.partitionBy(key, "_sq_b")).alias("_sq_cnt")]
+    sel += [F.lag(c).over(w).alias(f"_sq_lag_{c}") for c in lag_cols]
+    sel += [F.lead(c).over(w).alias(f"_sq_lead_{c}") for c in lead_cols]
+    out = base.select("*", *sel)
 
     ordkey = F.struct(F.col(ts).alias("t"), F.col(tiebreak).alias("i"))
     agg = [F.count(F.lit(1)).alias("_sq_n")]
@@ -161,12 +163,12 @@ def sequence(df: DataFrame, key: str, ts: str, tiebreak: str, lag_cols: list[str
         agg.append(F.min_by(F.struct(*[F.col(c) for c in lead_cols]), ordkey).alias("_sq_first"))
     per_b = base.groupBy(key, "_sq_b").agg(*agg)
     wk = Window.partitionBy(key).orderBy("_sq_b")
-    per_b = per_b.withColumn("_sq_off", F.coalesce(
-        F.sum("_sq_n").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    pcols = [F.coalesce(F.sum("_sq_n").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_sq_off")]
     if lag_cols:
-        per_b = per_b.withColumn("_sq_prev", F.lag("_sq_last").over(wk))
+        pcols.append(F.lag("_sq_last").over(wk).alias("_sq_prev"))
     if lead_cols:
-        per_b = per_b.withColumn("_sq_next", F.lead("_sq_first").over(wk))
+        pcols.append(F.lead("_sq_first").over(wk).alias("_sq_next"))
+    per_b = per_b.select("*", *pcols)
     per_b = per_b.drop("_sq_n", "_sq_last", "_sq_first")
 
     j = out.join(per_b, _keys_equal(out, per_b, [key, "_sq_b"]), "left")
