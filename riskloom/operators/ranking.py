@@ -29,6 +29,8 @@ def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], desc
     buckets from an approximate distinct count (about a million values per bucket).
     """
     by = list(by or [])
+    if n_edges == "auto":
+        n_edges = auto_edges(df, value) or None      # None: proven <= 1M distinct values, one window
     hist = df.groupBy(*by, value).agg(*[expr.alias(name) for name, expr in sums.items()])
     names = list(sums)
     order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_first()
@@ -41,8 +43,6 @@ def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], desc
             cols += [F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"before_{n}"), F.sum(n).over(gw).alias(f"total_{n}")]
         return hist.select("*", *cols)
 
-    if n_edges == "auto":
-        n_edges = auto_edges(df, value)
     edges = quantile_edges(df.where(F.col(value).isNotNull()), value, n_edges)
     x = F.col(value).cast("double")
     b = bucket_of(x, F.col("edges"), n_edges)

@@ -190,9 +190,12 @@ MIN_EDGES, MAX_EDGES = 64, 65_536
 
 def auto_edges(df: DataFrame, col: str | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     """Number of quantile edges so that a bucket holds about ``rows_per_bucket`` rows (``col=None``)
-    or distinct values of ``col``; one aggregate, clamped to [64, 65536]."""
+    or distinct values of ``col``; one aggregate, clamped to [64, 65536].  Returns 0 when the
+    whole input is within one bucket's bound (callers then use a single window: size-checked)."""
     agg = F.count(F.lit(1)) if col is None else F.approx_count_distinct(col)
     n = df.agg(agg).first()[0] or 0
+    if n <= rows_per_bucket:
+        return 0
     return int(min(MAX_EDGES, max(MIN_EDGES, math.ceil(n / rows_per_bucket))))
 
 
@@ -226,7 +229,10 @@ def rank_within_key(df: DataFrame, key: str, value: str, out: str, descending: b
     """SQL ``RANK() OVER (PARTITION BY key ORDER BY value DESC|ASC)`` (nulls last for DESC,
     first for ASC, as Spark and SQLite do) without one task per key.  Buckets come from
     global value quantiles; ``n_edges=None`` sizes them from the row count."""
-    n_edges = n_edges or auto_edges(df)
+    n_edges = n_edges if n_edges is not None else auto_edges(df)
+    ordc = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_first()
+    if n_edges == 0:     # proven small (<= ROWS_PER_BUCKET rows in total): one window per key
+        return df.withColumn(out, F.rank().over(Window.partitionBy(key).orderBy(ordc)).cast("int"))
     edges = quantile_edges(df, value, n_edges)
     x = F.col(value).cast("double")
     b = bucket_of(x, F.col("edges"), n_edges)
