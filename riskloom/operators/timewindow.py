@@ -43,12 +43,20 @@ def epoch_micros(df: DataFrame, ts: str) -> Column:
     return F.unix_micros(F.col(ts))
 
 
-def _keys_equal(left: DataFrame, right: DataFrame, cols: list[str]):
-    cond = None
-    for c in cols:
-        e = left[c].eqNullSafe(right[c])
-        cond = e if cond is None else (cond & e)
-    return cond
+def _null_safe_key(df: DataFrame, key: str, prefix: str) -> tuple[DataFrame, list[str]]:
+    """Add ``{prefix}kk = coalesce(key, default)`` and ``{prefix}kn = key IS NULL``: partitioning,
+    windows and joins use these two plain columns, so the final equi-join needs no re-shuffle of
+    the big side (a ``<=>`` join would be re-keyed on coalesce/isnull expressions)."""
+    dtype = df.schema[key].dataType
+    if isinstance(dtype, (T.IntegralType, T.FractionalType)):
+        default = F.lit(0).cast(dtype)
+        kk = F.coalesce(F.col(key), default)
+    elif isinstance(dtype, T.StringType):
+        kk = F.coalesce(F.col(key), F.lit(""))
+    else:
+        kk = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    out = df.withColumn(f"{prefix}kk", kk).withColumn(f"{prefix}kn", F.col(key).isNull())
+    return out, [f"{prefix}kk", f"{prefix}kn"]
 
 
 def trailing_stats(df: DataFrame, key: str, ts: str, value: str | list[str] | None,
@@ -74,13 +82,26 @@ def trailing_stats(df: DataFrame, key: str, ts: str, value: str | list[str] | No
               .withColumn("_tw_p", F.col("_tw_us") - F.col("_tw_b") * F.lit(g)))
     for vc, v in zip(vcols, values):
         base = base.withColumn(vc, F.col(v))
+    base, kcols = _null_safe_key(base, key, "_tw_")
+
+    real = base.withColumn("_tw_k", F.lit(0))
+    parts = [real]
+    for m in sorted(set(mults.values())):
+        parts.append(base.select(*kcols, (F.col("_tw_b") + F.lit(m)).alias("_tw_b"), "_tw_p", *vcols,
+                                 F.lit(m).alias("_tw_k")))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p, allowMissingColumns=True)
+    # one shuffle by (key, bucket) feeds both the per-bucket totals and the bucket windows,
+    # so the input is computed once
+    u = u.repartition(*kcols, "_tw_b")
 
     # One row per (key, bucket): bounded by active buckets, tiny next to the rows.
     aggs = [F.count(F.lit(1)).alias("_tw_tn")]
     for vc in vcols:
         aggs += [F.sum(vc).alias(f"{vc}_ts"), F.count(vc).alias(f"{vc}_tc")]
-    totals = base.groupBy(key, "_tw_b").agg(*aggs)
-    wk = Window.partitionBy(key).orderBy("_tw_b")
+    totals = u.where(F.col("_tw_k") == 0).groupBy(*kcols, "_tw_b").agg(*aggs)
+    wk = Window.partitionBy(*kcols).orderBy("_tw_b")
     tcols = []                       # all bucket-window columns in one select -> one Window operator
     for name, m in mults.items():
         frame = wk.rangeBetween(-m, -1)
@@ -91,16 +112,7 @@ def trailing_stats(df: DataFrame, key: str, ts: str, value: str | list[str] | No
     totals = totals.select("*", *tcols)
     totals = totals.drop("_tw_tn", *[f"{vc}_ts" for vc in vcols], *[f"{vc}_tc" for vc in vcols])
 
-    real = base.withColumn("_tw_k", F.lit(0))
-    parts = [real]
-    for m in sorted(set(mults.values())):
-        parts.append(base.select(F.col(key), (F.col("_tw_b") + F.lit(m)).alias("_tw_b"), "_tw_p", *vcols,
-                                 F.lit(m).alias("_tw_k")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p, allowMissingColumns=True)
-
-    w = Window.partitionBy(key, "_tw_b").orderBy("_tw_p")
+    w = Window.partitionBy(*kcols, "_tw_b").orderBy("_tw_p")
     own = w.rangeBetween(Window.unboundedPreceding, 0)
     before = w.rangeBetween(Window.unboundedPreceding, -1)
     is_own = F.col("_tw_k") == 0
@@ -120,19 +132,19 @@ def trailing_stats(df: DataFrame, key: str, ts: str, value: str | list[str] | No
     u = u.select("*", *wcols)
     u = u.filter(is_own)
 
-    j = u.join(totals, _keys_equal(u, totals, [key, "_tw_b"]), "left")
-    out_cols = [u[c] for c in u.columns]
+    j = u.join(totals, [*kcols, "_tw_b"], "left")
+    out_cols = [F.col(c) for c in u.columns]
     extra = []
     for name, m in mults.items():
-        extra.append((F.coalesce(totals[f"_tw_Sn_{name}"], F.lit(0)) + F.col("_tw_on")
+        extra.append((F.coalesce(F.col(f"_tw_Sn_{name}"), F.lit(0)) + F.col("_tw_on")
                       - F.col(f"_tw_hn_{m}")).cast("long").alias(f"{name}_n"))
         for vc, v in zip(vcols, values):
             zero = F.lit(0).cast(base.schema[vc].dataType)
             suffix = "" if single else f"__{v}"
             extra += [
-                (F.coalesce(totals[f"_tw_Ss_{name}{vc}"], zero) + F.coalesce(F.col(f"_tw_os{vc}"), zero)
+                (F.coalesce(F.col(f"_tw_Ss_{name}{vc}"), zero) + F.coalesce(F.col(f"_tw_os{vc}"), zero)
                  - F.coalesce(F.col(f"_tw_hs_{m}{vc}"), zero)).alias(f"{name}_s{suffix}"),
-                (F.coalesce(totals[f"_tw_Sc_{name}{vc}"], F.lit(0)) + F.col(f"_tw_oc{vc}")
+                (F.coalesce(F.col(f"_tw_Sc_{name}{vc}"), F.lit(0)) + F.col(f"_tw_oc{vc}")
                  - F.col(f"_tw_hc_{m}{vc}")).cast("long").alias(f"{name}_c{suffix}")]
     res = j.select(*out_cols, *extra)
     drop = [c for c in res.columns if c.startswith("_tw_")]
@@ -146,11 +158,13 @@ def sequence(df: DataFrame, key: str, ts: str, tiebreak: str, lag_cols: list[str
     ``(ts, tiebreak)``, computed per (key, time bucket) and stitched across buckets."""
     lead_cols = lead_cols or []
     g = grain_seconds * MICROS
-    base = df.withColumn("_sq_b", F.floor(epoch_micros(df, ts) / F.lit(g)).cast("long"))
+    base, kcols = _null_safe_key(df.withColumn("_sq_b", F.floor(epoch_micros(df, ts) / F.lit(g)).cast("long")),
+                                 key, "_sq_")
+    base = base.repartition(*kcols, "_sq_b")          # one shuffle feeds both branches below
     order = [F.col(ts), F.col(tiebreak)]
-    w = Window.partitionBy(key, "_sq_b").orderBy(*order)
+    w = Window.partitionBy(*kcols, "_sq_b").orderBy(*order)
     sel = [F.row_number().over(w).alias("_sq_rn"),
-           F.count(F.lit(1)).over(Window.partitionBy(key, "_sq_b")).alias("_sq_cnt")]
+           F.count(F.lit(1)).over(Window.partitionBy(*kcols, "_sq_b")).alias("_sq_cnt")]
     sel += [F.lag(c).over(w).alias(f"_sq_lag_{c}") for c in lag_cols]
     sel += [F.lead(c).over(w).alias(f"_sq_lead_{c}") for c in lead_cols]
     out = base.select("*", *sel)
@@ -161,26 +175,26 @@ def sequence(df: DataFrame, key: str, ts: str, tiebreak: str, lag_cols: list[str
         agg.append(F.max_by(F.struct(*[F.col(c) for c in lag_cols]), ordkey).alias("_sq_last"))
     if lead_cols:
         agg.append(F.min_by(F.struct(*[F.col(c) for c in lead_cols]), ordkey).alias("_sq_first"))
-    per_b = base.groupBy(key, "_sq_b").agg(*agg)
-    wk = Window.partitionBy(key).orderBy("_sq_b")
-    pcols = [F.coalesce(F.sum("_sq_n").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_sq_off")]
+    per_b = base.groupBy(*kcols, "_sq_b").agg(*agg)
+    wk = Window.partitionBy(*kcols).orderBy("_sq_b")
+    pcols = [F.coalesce(F.sum("_sq_n").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+             .alias("_sq_off")]
     if lag_cols:
         pcols.append(F.lag("_sq_last").over(wk).alias("_sq_prev"))
     if lead_cols:
         pcols.append(F.lead("_sq_first").over(wk).alias("_sq_next"))
-    per_b = per_b.select("*", *pcols)
-    per_b = per_b.drop("_sq_n", "_sq_last", "_sq_first")
+    per_b = per_b.select("*", *pcols).drop("_sq_n", "_sq_last", "_sq_first")
 
-    j = out.join(per_b, _keys_equal(out, per_b, [key, "_sq_b"]), "left")
-    cols = [out[c] for c in df.columns]
+    j = out.join(per_b, [*kcols, "_sq_b"], "left")
+    cols = [F.col(c) for c in df.columns]
     for c in lag_cols:
-        cols.append(F.when(out["_sq_rn"] == 1, per_b["_sq_prev"][c]).otherwise(out[f"_sq_lag_{c}"])
+        cols.append(F.when(F.col("_sq_rn") == 1, F.col("_sq_prev")[c]).otherwise(F.col(f"_sq_lag_{c}"))
                     .alias(f"prev_{c}"))
     for c in lead_cols:
-        cols.append(F.when(out["_sq_rn"] == out["_sq_cnt"], per_b["_sq_next"][c])
-                    .otherwise(out[f"_sq_lead_{c}"]).alias(f"next_{c}"))
+        cols.append(F.when(F.col("_sq_rn") == F.col("_sq_cnt"), F.col("_sq_next")[c])
+                    .otherwise(F.col(f"_sq_lead_{c}")).alias(f"next_{c}"))
     if row_number:
-        cols.append((per_b["_sq_off"] + out["_sq_rn"]).cast("int").alias(row_number))
+        cols.append((F.col("_sq_off") + F.col("_sq_rn")).cast("int").alias(row_number))
     return j.select(*cols)
 
 
@@ -241,14 +255,15 @@ def rank_within_key(df: DataFrame, key: str, value: str, out: str, descending: b
         # ascending ranks count rows below; reuse the descending machinery on -value buckets
         b = F.lit(n_edges) - b
         null_bucket = F.lit(n_edges + 1)
-    base = (df.crossJoin(F.broadcast(edges))
-              .withColumn("_rk_b", F.when(F.col(value).isNull(), null_bucket).otherwise(b))
-              .drop("edges"))
-    ordc = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_first()
-    local = base.withColumn("_rk_local", F.rank().over(Window.partitionBy(key, "_rk_b").orderBy(ordc)))
-    counts = base.groupBy(key, "_rk_b").agg(F.count(F.lit(1)).alias("_rk_n"))
-    counts = counts.withColumn("_rk_above", F.coalesce(F.sum("_rk_n").over(
-        Window.partitionBy(key).orderBy("_rk_b").rangeBetween(1, Window.unboundedFollowing)), F.lit(0)))
-    j = local.join(counts, _keys_equal(local, counts, [key, "_rk_b"]), "left")
-    return j.select(*[local[c] for c in df.columns],
-                    (counts["_rk_above"] + local["_rk_local"]).cast("int").alias(out))
+    base, kcols = _null_safe_key(df, key, "_rk_")
+    base = (base.crossJoin(F.broadcast(edges))
+                .withColumn("_rk_b", F.when(F.col(value).isNull(), null_bucket).otherwise(b))
+                .drop("edges").repartition(*kcols, "_rk_b"))     # one shuffle feeds both branches
+    local = base.withColumn("_rk_local", F.rank().over(Window.partitionBy(*kcols, "_rk_b").orderBy(ordc)))
+    counts = base.groupBy(*kcols, "_rk_b").agg(F.count(F.lit(1)).alias("_rk_n"))
+    counts = counts.select("*", F.coalesce(F.sum("_rk_n").over(
+        Window.partitionBy(*kcols).orderBy("_rk_b").rangeBetween(1, Window.unboundedFollowing)), F.lit(0))
+        .alias("_rk_above"))
+    j = local.join(counts, [*kcols, "_rk_b"], "left")
+    return j.select(*[F.col(c) for c in df.columns],
+                    (F.col("_rk_above") + F.col("_rk_local")).cast("int").alias(out))

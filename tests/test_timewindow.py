@@ -14,6 +14,8 @@ def _events(spark, n=3000, seed=7):
     rows = []
     for i in range(n):
         key = 0 if rng.random() < 0.4 else rng.randint(1, 20)          # one hot key with 40 % of rows
+        if i % 61 == 5:
+            key = None                                                 # NULL keys form their own group
         ts = t0 + dt.timedelta(seconds=rng.randint(0, 40 * 86400))
         if i % 97 == 0 and rows:                                       # exact timestamp ties
             ts = rows[-1][2]
