@@ -128,3 +128,14 @@ def ntile_of_position(position: Column, n: Column, buckets: int) -> Column:
     big = r * (q + 1)
     return F.when(position <= big, F.floor((position - 1) / (q + 1)) + 1) \
             .otherwise(r + F.floor((position - big - 1) / q) + 1).cast("int")
+
+
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def bounded_broadcast(df, max_rows: int = BROADCAST_MAX_ROWS):
+    """Broadcast hint only when the table is proven to have at most ``max_rows`` rows (counted
+    with a limit, so the check itself is bounded); otherwise a plain join that the planner/AQE
+    may still broadcast from runtime statistics."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

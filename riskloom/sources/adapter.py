@@ -49,7 +49,7 @@ def tier_of_balance(balance: F.Column) -> F.Column:
 def merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "supplier")
     n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return (s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey, "left")
+    return (s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey, "left")      # nation: 25 rows by definition
              .select(F.col("s_suppkey").alias("merchant_id"), F.col("s_name").alias("merchant_name"),
                      F.col("n_name").alias("merchant_category"),
                      tier_of_balance(F.col("s_acctbal")).alias("risk_tier")))
@@ -74,7 +74,7 @@ def transactions(spark: SparkSession, sf_dir: str, grain_seconds: int = WINDOW_G
     # merchant = k mod (number of suppliers); the count is a 1-row aggregate
     n_sup = sup.agg(F.count(F.lit(1)).alias("_n_sup"))
     tiers = sup.select(F.col("s_suppkey").alias("_mid"), tier_of_balance(F.col("s_acctbal")).alias("merchant_risk_tier"))
-    country = (cust.join(F.broadcast(nat), cust.c_nationkey == nat.n_nationkey, "left")
+    country = (cust.join(F.broadcast(nat), cust.c_nationkey == nat.n_nationkey, "left")   # 25-row nation
                    .select(F.col("c_custkey").alias("_aid"),
                            (F.col("n_regionkey") == HIGH_RISK_REGION).cast("int").alias("high_risk_country")))
 

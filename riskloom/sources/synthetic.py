@@ -136,9 +136,11 @@ def enrich(txns: DataFrame, merchants: DataFrame, seed: int = 42, days: int = 90
     counts = per_tier.groupBy("risk_tier").agg(F.count(F.lit(1)).alias("_cnt"))
     t = (txns.withColumn("account_id", F.format_string("ACC-%06d", (F.floor(uniform(k, seed, 30) * n_acc) + 1)
                                                        .cast("long")))
-             .join(F.broadcast(counts), txns.merchant_risk_tier == counts.risk_tier, "left").drop("risk_tier")
+             .join(F.broadcast(counts), txns.merchant_risk_tier == counts.risk_tier, "left")   # one row per tier
+             .drop("risk_tier")
              .withColumn("_i", F.floor(uniform(k, seed, 31) * F.col("_cnt")).cast("long")))
-    t = t.join(F.broadcast(per_tier.select(F.col("risk_tier").alias("merchant_risk_tier"), "_i", "merchant_id")),
+    from riskloom.functions.expressions import bounded_broadcast
+    t = t.join(bounded_broadcast(per_tier.select(F.col("risk_tier").alias("merchant_risk_tier"), "_i", "merchant_id")),
                ["merchant_risk_tier", "_i"], "left").drop("_i", "_cnt")
     secs = (F.floor(uniform(k, seed, 32) * days) * 86400 + F.col("hour") * 3600
             + F.floor(uniform(k, seed, 33) * 60) * 60 + F.floor(uniform(k, seed, 34) * 60)).cast("long")
