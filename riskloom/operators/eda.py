@@ -167,12 +167,19 @@ def scan_summary(scored: DataFrame, tier: str = "risk_tier", score: str = "risk_
                       F.round(F.avg(score), ROUND).alias("mean_score"))
 
 
-def histogram(df: DataFrame, col: str, n_bins: int, by: list[str] | None = None) -> DataFrame:
-    """Fixed-width histogram over [min, max] (numpy semantics: last bin closed)."""
+def histogram(df: DataFrame, col: str | F.Column, n_bins: int, by: list[str] | None = None,
+              range_per_group: bool = False) -> DataFrame:
+    """Fixed-width histogram over [min, max] (numpy semantics: last bin closed).  With
+    ``range_per_group`` each group of ``by`` uses its own min/max (one row per group, joined)."""
     by = by or []
-    x = F.col(col).cast("double")
-    rng = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    j = df.select(*by, x.alias("_x")).where(F.col("_x").isNotNull()).crossJoin(F.broadcast(rng))
+    x = (F.col(col) if isinstance(col, str) else col).cast("double")
+    base = df.select(*by, x.alias("_x")).where(F.col("_x").isNotNull())
+    if range_per_group and by:
+        rng = base.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        j = base.join(rng, by)
+    else:
+        rng = base.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        j = base.crossJoin(F.broadcast(rng))
     width = (F.col("_hi") - F.col("_lo")) / n_bins
     b = F.when(F.col("_hi") == F.col("_lo"), 0).otherwise(
         F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(n_bins - 1))).cast("int")

@@ -106,6 +106,8 @@ CATALOG: dict[str, Job] = {
     "b15_winsorised_amounts": models.winsorised_amounts,
     "i01_scaler": models.scaler_stats,
     "i02_split_counts": models.split_counts,
+    "d21_log_amount_histogram": models.log_amount_histogram,
+    "m05_escalated_tiers": models.escalated_tiers,
 }
 
 

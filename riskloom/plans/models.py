@@ -291,3 +291,19 @@ def split_counts(spark: SparkSession, d: str) -> DataFrame:
     """Rows per (split, class) of the seeded stratified split."""
     s = stratified_split(adapter.transactions_table(spark, d), "transaction_id", "is_fraud", 0.2, 42)
     return s.groupBy("split", "is_fraud").agg(F.count(F.lit(1)).alias("n"))
+
+
+def log_amount_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """40-bin histogram of log1p(amount) per class, each class over its own range."""
+    t = adapter.transactions_table(spark, d)
+    return eda.histogram(t, F.log1p("amount"), 40, by=["is_fraud"], range_per_group=True).select(
+        "is_fraud", F.col("bin").cast("long").alias("bin"), F.round("bin_start", 6).alias("bin_start"), "n")
+
+
+def escalated_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """M5 (TM-030): forest tiers raised to at least MEDIUM for high-risk countries and HIGH with
+    velocity; counts per (model tier, escalated tier)."""
+    s = forest_scored(spark, d)
+    esc = RU.escalate_tier(F.col("risk_tier"), F.col("high_risk_country") == 1,
+                           (F.col("velocity_1h") >= RU.FREQ_HOUR_COUNT) | (F.col("velocity_24h") >= RU.FREQ_DAY_COUNT))
+    return s.groupBy("risk_tier", esc.alias("escalated_tier")).agg(F.count(F.lit(1)).alias("n"))
