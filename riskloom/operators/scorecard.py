@@ -204,7 +204,7 @@ def apply_woe(df: DataFrame, model: dict[str, DataFrame], cols: list[str], prefi
 def fit_logistic(woe_df: DataFrame, cols: list[str], label: str = "is_fraud", C: float = 1.0,
                  max_iter: int = 1000, prefix: str = "woe_"):
     """L2 logistic regression on WoE columns with balanced class weights.
-    sklearn's ``C`` maps to ``regParam = 1 / (C * sum(weights))`` (= 1/(C n) for balanced weights)."""
+    An inverse-strength ``C`` (loss weighted by C) maps to ``regParam = 1 / (C * sum(weights))`` (= 1/(C n) here)."""
     cnt = woe_df.groupBy(label).count()
     n = woe_df.count()
     w = F.lit(float(n)) / (2.0 * F.col("count"))

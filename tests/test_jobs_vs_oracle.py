@@ -57,3 +57,14 @@ def test_entry_smoke(spark):
 
 def test_every_oracle_has_a_job():
     assert set(oracle_sql()) <= set(queries())
+
+
+@pytest.mark.parametrize("name", ["adapter_transactions", "r03_velocity_bursts", "l4_stream_sessions"])
+def test_results_do_not_depend_on_session_zone(spark, sf_small, con, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = queries()[name](spark, sf_small).toPandas()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert _canon(got) == _canon(con.execute(oracle_sql()[name]).df())
