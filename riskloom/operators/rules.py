@@ -50,7 +50,8 @@ def rule_flags(t: DataFrame, m: DataFrame, grain_seconds: int = HOUR) -> DataFra
           .withColumn("_amt", X.money("amount")))
     x = trailing_stats(x, "account_id", "txn_timestamp", ["_band8", "_band9", "_amt"],
                        {"_w48": STRUCTURING_WINDOW, "_w24": POLICY_NEAR_WINDOW, "_w90": UNUSUAL_WINDOW},
-                       grain_seconds=grain_seconds)
+                       grain_seconds=grain_seconds,
+                       only={"_w48": ["_band8"], "_w24": ["_band9"], "_w90": ["_amt"]})
     avg90 = F.try_divide(c("_w90_s___amt").cast("double"), c("_w90_c___amt").cast("double"))
     x = (x.withColumn("tm003_structuring", X.flag((c("_band8") == 1) & (c("_w48_s___band8") >= STRUCTURING_COUNT)))
           .withColumn("tm004_unusual_amount", X.flag(c("amount") > F.lit(UNUSUAL_MULT) * avg90))

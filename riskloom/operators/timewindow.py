@@ -60,13 +60,15 @@ def _null_safe_key(df: DataFrame, key: str, prefix: str) -> tuple[DataFrame, lis
 
 
 def trailing_stats(df: DataFrame, key: str, ts: str, value: str | list[str] | None,
-                   widths: dict[str, int], grain_seconds: int = 3600) -> DataFrame:
+                   widths: dict[str, int], grain_seconds: int = 3600,
+                   only: dict[str, list[str]] | None = None) -> DataFrame:
     """Add ``{name}_n`` (rows), ``{name}_s`` (sum of value), ``{name}_c`` (non-null values)
     for rows of the same key with event time in ``[t - width, t]`` (ties included).
 
     ``value`` may be a list of columns; then the sums are ``{name}_s__{col}`` and the
     counts ``{name}_c__{col}``, all from the same single shuffle.  ``widths`` maps an
     output prefix to a width in seconds; each must be a multiple of ``grain_seconds``.
+    ``only`` restricts the value columns summed for a width (default: all of them).
     """
     g = grain_seconds * MICROS
     mults = {}
@@ -77,6 +79,11 @@ def trailing_stats(df: DataFrame, key: str, ts: str, value: str | list[str] | No
     values = [] if value is None else ([value] if isinstance(value, str) else list(value))
     single = isinstance(value, str)
     vcols = [f"_tw_v{i}" for i in range(len(values))]
+    vmap = dict(zip(values, vcols))
+    per_w = {name: [vmap[v] for v in (only or {}).get(name, values)] for name in mults}
+    per_m: dict[int, set] = {}
+    for name, m in mults.items():
+        per_m.setdefault(m, set()).update(per_w[name])
     base = (df.withColumn("_tw_us", epoch_micros(df, ts))
               .withColumn("_tw_b", F.floor(F.col("_tw_us") / F.lit(g)).cast("long"))
               .withColumn("_tw_p", F.col("_tw_us") - F.col("_tw_b") * F.lit(g)))
@@ -87,8 +94,8 @@ def trailing_stats(df: DataFrame, key: str, ts: str, value: str | list[str] | No
     real = base.withColumn("_tw_k", F.lit(0))
     parts = [real]
     for m in sorted(set(mults.values())):
-        parts.append(base.select(*kcols, (F.col("_tw_b") + F.lit(m)).alias("_tw_b"), "_tw_p", *vcols,
-                                 F.lit(m).alias("_tw_k")))
+        parts.append(base.select(*kcols, (F.col("_tw_b") + F.lit(m)).alias("_tw_b"), "_tw_p", *sorted(per_m[m]),
+                                 F.lit(m).alias("_tw_k")))          # halo rows: only the values this width sums
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p, allowMissingColumns=True)
@@ -106,7 +113,7 @@ def trailing_stats(df: DataFrame, key: str, ts: str, value: str | list[str] | No
     for name, m in mults.items():
         frame = wk.rangeBetween(-m, -1)
         tcols.append(F.coalesce(F.sum("_tw_tn").over(frame), F.lit(0)).alias(f"_tw_Sn_{name}"))
-        for vc in vcols:
+        for vc in per_w[name]:
             tcols += [F.sum(f"{vc}_ts").over(frame).alias(f"_tw_Ss_{name}{vc}"),
                       F.coalesce(F.sum(f"{vc}_tc").over(frame), F.lit(0)).alias(f"_tw_Sc_{name}{vc}")]
     totals = totals.select("*", *tcols)
@@ -126,7 +133,7 @@ def trailing_stats(df: DataFrame, key: str, ts: str, value: str | list[str] | No
     for m in sorted(set(mults.values())):
         is_h = F.col("_tw_k") == m
         wcols.append(cnt(is_h, before).alias(f"_tw_hn_{m}"))
-        for vc in vcols:
+        for vc in sorted(per_m[m]):
             wcols += [F.sum(F.when(is_h, F.col(vc))).over(before).alias(f"_tw_hs_{m}{vc}"),
                       cnt(is_h & F.col(vc).isNotNull(), before).alias(f"_tw_hc_{m}{vc}")]
     u = u.select("*", *wcols)
@@ -139,6 +146,8 @@ def trailing_stats(df: DataFrame, key: str, ts: str, value: str | list[str] | No
         extra.append((F.coalesce(F.col(f"_tw_Sn_{name}"), F.lit(0)) + F.col("_tw_on")
                       - F.col(f"_tw_hn_{m}")).cast("long").alias(f"{name}_n"))
         for vc, v in zip(vcols, values):
+            if vc not in per_w[name]:
+                continue
             zero = F.lit(0).cast(base.schema[vc].dataType)
             suffix = "" if single else f"__{v}"
             extra += [
