@@ -211,10 +211,11 @@ ROWS_PER_BUCKET = 1_000_000     # target rows (or distinct values) per bucketed
 MIN_EDGES, MAX_EDGES = 64, 65_536
 
 
-def auto_edges(df: DataFrame, col: str | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+def auto_edges(df: DataFrame, col: str | None = None, rows_per_bucket: int | None = None) -> int:
     """Number of quantile edges so that a bucket holds about ``rows_per_bucket`` rows (``col=None``)
     or distinct values of ``col``; one aggregate, clamped to [64, 65536].  Returns 0 when the
     whole input is within one bucket's bound (callers then use a single window: size-checked)."""
+    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
     agg = F.count(F.lit(1)) if col is None else F.approx_count_distinct(col)
     n = df.agg(agg).first()[0] or 0
     if n <= rows_per_bucket:

@@ -54,3 +54,26 @@ def test_alert_queue_uses_topk_not_global_window(spark, sf_small):
     t = adapter.transactions_table(spark, sf_small)
     p = _plan(reports.alert_queue(t, adapter.merchants(spark, sf_small)))
     assert "TakeOrderedAndProject" in p
+
+
+def _window_partitions(plan: str):
+    import re
+    return re.findall(r"windowspecdefinition\(([^)]*?)(?:,\s*\w+#\d+L? (?:ASC|DESC)|,\s*specifiedwindowframe|\))", plan)
+
+
+def test_no_per_account_window_without_time_bucket(spark, sf_small, monkeypatch):
+    """A hot account must never land in one window partition: every window keyed by the
+    account also carries a time (or value) bucket.  The size-checked single-window path for
+    inputs under the bucket bound is disabled here so the large-data plan is inspected."""
+    from riskloom.operators import timewindow
+    monkeypatch.setattr(timewindow, "ROWS_PER_BUCKET", 10)
+    t = adapter.transactions_table(spark, sf_small)
+    for df in (adapter.transactions(spark, sf_small), reports.velocity_bursts(t)):
+        p = _plan(df)
+        for line in p.split("\n"):
+            if "Window [" not in line or "windowspecdefinition(" not in line:
+                continue
+            spec = line.split("windowspecdefinition(", 1)[1]
+            if "account_id" in spec.split(",")[0] or "_kk" in spec.split(",")[0]:
+                head = spec.split("specifiedwindowframe")[0]
+                assert "_b#" in head or "_rk_b" in head or "_sq_b" in head or "_tw_b" in head, line[:300]
