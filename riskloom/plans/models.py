@@ -180,8 +180,9 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 def _analysed(spark: SparkSession, d: str) -> dict:
     key = ("analyse", spark.sparkContext.applicationId, d)
     if key not in _TRAINED:
+        # every analysed row gets its policy context, as in the reference's analyse step
         _TRAINED[key] = analyse(adapter.transactions_table(spark, d), trained_forest(spark, d),
-                                adapter.read(spark, d, "documents"))
+                                adapter.read(spark, d, "documents"), retrieve_tiers=None)
     return _TRAINED[key]
 
 
