@@ -8,14 +8,12 @@ false-positive checks are windows over the daily aggregate (one row per day).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import expressions as X
 from riskloom.operators import evaluate
-from riskloom.operators.eda import quantile_edges_exact
+from riskloom.operators.eda import _long, quantile_edges_exact
 
 # Alert thresholds from the model card.
 PSI_INPUT_ALERT, PSI_SCORE_ALERT = 0.25, 0.20
@@ -27,23 +25,25 @@ PSI_EPS = 1e-6
 
 
 def psi(df: DataFrame, cols: list[str], period: str = "period", n_bins: int = 10) -> DataFrame:
-    """M8: population stability index per column between ``baseline`` and ``current``."""
-    parts = []
-    for col in cols:
-        base = df.where(F.col(period) == "baseline")
-        edges = quantile_edges_exact(base, col, n_bins)
-        x = F.col(col).cast("double")
-        inner = F.size(F.filter(F.slice(F.col("edges"), 2, 1_000_000), lambda v: v < x))
-        b = F.when(x < F.element_at("edges", 1), 0).otherwise(F.least(inner, F.size("edges") - 2))
-        h = (df.crossJoin(F.broadcast(edges)).where(x.isNotNull())
-               .groupBy(b.alias("bin")).agg(F.sum(X.flag(F.col(period) == "baseline")).alias("nb"),
-                                            F.sum(X.flag(F.col(period) == "current")).alias("nc")))
-        w = Window.partitionBy(F.lit(1))          # <= n_bins rows
-        p = F.col("nb") / F.sum("nb").over(w) + PSI_EPS
-        q = F.col("nc") / F.sum("nc").over(w) + PSI_EPS
-        parts.append(h.select(F.lit(col).alias("feature"), ((q - p) * F.log(q / p)).alias("term"))
-                     .groupBy("feature").agg(F.round(F.sum("term"), 6).alias("psi")))
-    return reduce(DataFrame.unionByName, parts)
+    """M8: population stability index per column between ``baseline`` and ``current``, all
+    columns in one pass: melt, exact baseline quantile edges per feature (one row per feature,
+    broadcast), bin (values below the first edge go to bin 0, above the last to the last bin),
+    count per (feature, bin, period), sum the PSI terms."""
+    lg = _long(df.select(period, *cols), cols)
+    lg = lg.where(F.col("value").isNotNull())
+    edges = quantile_edges_exact(lg.where(F.col(period) == "baseline"), "value", n_bins, by=["feature"])
+    x = F.col("value")
+    inner = F.size(F.filter(F.slice(F.col("edges"), 2, 1_000_000), lambda v: v < x))
+    b = F.when(x < F.element_at("edges", 1), 0).otherwise(F.least(inner, F.size("edges") - 2))
+    h = (lg.join(F.broadcast(edges), "feature")
+           .groupBy("feature", b.alias("bin"))
+           .agg(F.sum(X.flag(F.col(period) == "baseline")).alias("nb"),
+                F.sum(X.flag(F.col(period) == "current")).alias("nc")))
+    w = Window.partitionBy("feature")          # <= n_bins rows per feature
+    p = F.col("nb") / F.sum("nb").over(w) + PSI_EPS
+    q = F.col("nc") / F.sum("nc").over(w) + PSI_EPS
+    return (h.select("feature", ((q - p) * F.log(q / p)).alias("term"))
+             .groupBy("feature").agg(F.round(F.sum("term"), 6).alias("psi")))
 
 
 def psi_alerts(psi_table: DataFrame, score_col: str) -> DataFrame:
