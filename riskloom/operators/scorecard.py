@@ -114,11 +114,21 @@ def fit_woe(df: DataFrame, cols: list[str], label: str = "is_fraud", n_bins: int
 
     Returns ``{"edges": (feature, edges), "bins": one row per (feature, bin) with counts,
     WoE, IV contribution and the fine-bin range it covers}``."""
-    cat = categorical if categorical is not None else categorical_features(df, cols)
-    cont = [c for c in cols if c not in cat]
     d = df.select(label, *cols).where(F.col(label).isNotNull())
-    tot = d.agg(F.sum(F.col(label).cast("long")).alias("total_bad"),
-                F.sum((1 - F.col(label)).cast("long")).alias("total_good"))
+    # one pass: class totals and the distinct counts that decide categorical features (1 row)
+    others = [c for c in cols if c not in CATEGORICAL] if categorical is None else []
+    row = d.agg(F.sum(F.col(label).cast("long")).alias("total_bad"),
+                F.sum((1 - F.col(label)).cast("long")).alias("total_good"),
+                *[F.approx_count_distinct(c).alias(f"_nd_{c}") for c in others]).first()
+    if categorical is not None:
+        cat = categorical
+    else:
+        cat = [c for c in cols if c in CATEGORICAL or row[f"_nd_{c}"] <= MAX_CATEGORIES]
+    cont = [c for c in cols if c not in cat]
+    if not row["total_bad"] or not row["total_good"]:
+        raise ValueError("labels must contain both fraud (1) and legitimate (0) rows")
+    tot = df.sparkSession.createDataFrame([(int(row["total_bad"]), int(row["total_good"]))],
+                                          "total_bad long, total_good long")
     parts = []
     edges = None
     if cat:
@@ -205,8 +215,8 @@ def fit_logistic(woe_df: DataFrame, cols: list[str], label: str = "is_fraud", C:
                  max_iter: int = 1000, prefix: str = "woe_"):
     """L2 logistic regression on WoE columns with balanced class weights.
     An inverse-strength ``C`` (loss weighted by C) maps to ``regParam = 1 / (C * sum(weights))`` (= 1/(C n) here)."""
-    cnt = woe_df.groupBy(label).count()
-    n = woe_df.count()
+    cnt = freeze(woe_df.groupBy(label).count(), limit=16)        # one row per class
+    n = sum(r["count"] for r in cnt.collect())
     w = F.lit(float(n)) / (2.0 * F.col("count"))
     d = woe_df.join(F.broadcast(cnt.select(label, w.alias("_w"))), label)
     va = VectorAssembler(inputCols=[f"{prefix}{c}" for c in cols], outputCol="_x")
