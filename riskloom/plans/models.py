@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,13 +34,15 @@ def iv_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TRAINED: dict = {}
+_TRAIN_LOCK = threading.RLock()      # one fit per (model, application, data set), whatever the threads
 
 
 def trained_scorecard(spark: SparkSession, d: str) -> dict:
     key = (spark.sparkContext.applicationId, d)
-    if key not in _TRAINED:
-        _TRAINED[key] = S.train_scorecard(adapter.transactions_table(spark, d), min_iv=REGISTRY_MIN_IV)
-    return _TRAINED[key]
+    with _TRAIN_LOCK:
+        if key not in _TRAINED:
+            _TRAINED[key] = S.train_scorecard(adapter.transactions_table(spark, d), min_iv=REGISTRY_MIN_IV)
+        return _TRAINED[key]
 
 
 def woe_transform(spark: SparkSession, d: str) -> DataFrame:
@@ -77,10 +81,11 @@ FOREST_PSI = 256
 
 def trained_forest(spark: SparkSession, d: str) -> dict:
     key = ("forest", spark.sparkContext.applicationId, d)
-    if key not in _TRAINED:
-        _TRAINED[key] = FO.fit_forest(adapter.transactions_table(spark, d), SYNTHETIC_FEATURES, "transaction_id",
-                                      n_trees=FOREST_TREES, psi=FOREST_PSI)
-    return _TRAINED[key]
+    with _TRAIN_LOCK:
+        if key not in _TRAINED:
+            _TRAINED[key] = FO.fit_forest(adapter.transactions_table(spark, d), SYNTHETIC_FEATURES, "transaction_id",
+                                          n_trees=FOREST_TREES, psi=FOREST_PSI)
+        return _TRAINED[key]
 
 
 def forest_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -127,10 +132,11 @@ def _splits(spark: SparkSession, d: str) -> DataFrame:
 
 def trained_boosted(spark: SparkSession, d: str):
     key = ("gbt", spark.sparkContext.applicationId, d)
-    if key not in _TRAINED:
-        s = _splits(spark, d)
-        _TRAINED[key] = B.fit_boosted(s.where(F.col("split") == "train"), SYNTHETIC_FEATURES)
-    return _TRAINED[key]
+    with _TRAIN_LOCK:
+        if key not in _TRAINED:
+            s = _splits(spark, d)
+            _TRAINED[key] = B.fit_boosted(s.where(F.col("split") == "train"), SYNTHETIC_FEATURES)
+        return _TRAINED[key]
 
 
 def boosted_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -179,6 +185,11 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _analysed(spark: SparkSession, d: str) -> dict:
     key = ("analyse", spark.sparkContext.applicationId, d)
+    with _TRAIN_LOCK:
+        return _analysed_locked(spark, d, key)
+
+
+def _analysed_locked(spark: SparkSession, d: str, key) -> dict:
     if key not in _TRAINED:
         # every analysed row gets its policy context, as in the reference's analyse step
         _TRAINED[key] = analyse(adapter.transactions_table(spark, d), trained_forest(spark, d),

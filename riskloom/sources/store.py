@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.session import ensure_checkpoint_dir
 
 _BUILT: dict[tuple[str, str], str] = {}
+_LOCK = threading.Lock()          # jobs may be started from several driver threads
 
 
 def _root(spark: SparkSession) -> str:
@@ -28,10 +30,11 @@ def materialized(spark: SparkSession, name: str, source: str, build) -> DataFram
     in this application, afterwards read the written files."""
     app = spark.sparkContext.applicationId
     key = (app, f"{name}@{os.path.abspath(source) if '://' not in source else source}")
-    path = _BUILT.get(key)
-    if path is None:
-        digest = hashlib.sha1(key[1].encode()).hexdigest()[:12]
-        path = f"{_root(spark)}/{name}-{digest}"
-        build().write.mode("overwrite").parquet(path)
-        _BUILT[key] = path
+    with _LOCK:
+        path = _BUILT.get(key)
+        if path is None:
+            digest = hashlib.sha1(key[1].encode()).hexdigest()[:12]
+            path = f"{_root(spark)}/{name}-{digest}"
+            build().write.mode("overwrite").parquet(path)
+            _BUILT[key] = path
     return spark.read.parquet(path)
