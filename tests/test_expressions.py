@@ -47,3 +47,13 @@ def test_time_window_labels(spark):
            .select("h", X.time_window("h").alias("w")).collect()}
     assert got[6].startswith("1_") and got[11].startswith("1_") and got[12].startswith("2_")
     assert got[18].startswith("3_") and got[22].startswith("3_") and got[23].startswith("4_") and got[5].startswith("4_")
+
+
+def test_bounded_broadcast_only_under_the_bound(spark):
+    small = spark.range(10)
+    big = spark.range(50)
+    j_small = spark.range(100).join(X.bounded_broadcast(small, max_rows=20), "id")
+    j_big = spark.range(100).join(X.bounded_broadcast(big, max_rows=20), "id")
+    assert "broadcast" in j_small._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" not in j_big._jdf.queryExecution().analyzed().toString().lower()
+    assert j_small.count() == 10 and j_big.count() == 50
