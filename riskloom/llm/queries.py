@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, site_templates
 
 QUERIES = {
+    "op2_site_templates": site_templates.op2_site_templates,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
 }
 
