@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, site_templates
+from . import bpe_transducer, exact_dedup, site_templates
 
 QUERIES = {
     "op2_site_templates": site_templates.op2_site_templates,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op8_bpe_transducer": bpe_transducer.op8_bpe_transducer,
 }
 
 ORACLE_SQL = {
