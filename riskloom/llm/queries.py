@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe_transducer, exact_dedup, site_templates
+from . import bpe_transducer, exact_dedup, site_templates, toxic_passages
 
 QUERIES = {
     "op2_site_templates": site_templates.op2_site_templates,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_toxic_passages": toxic_passages.op4_toxic_passages,
     "op8_bpe_transducer": bpe_transducer.op8_bpe_transducer,
 }
 
