@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe_transducer, exact_dedup, site_templates, toxic_passages
+from . import bpe_transducer, exact_dedup, quality_gam, site_templates, toxic_passages
 
 QUERIES = {
     "op2_site_templates": site_templates.op2_site_templates,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_toxic_passages": toxic_passages.op4_toxic_passages,
+    "op5_quality_gam": quality_gam.op5_quality_gam,
     "op8_bpe_transducer": bpe_transducer.op8_bpe_transducer,
 }
 
