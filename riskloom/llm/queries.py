@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_transducer, exact_dedup, quality_gam, site_templates, toxic_passages
+from . import bpe_transducer, exact_dedup, language_zstd, quality_gam, site_templates, toxic_passages
 
 QUERIES = {
     "op2_site_templates": site_templates.op2_site_templates,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_toxic_passages": toxic_passages.op4_toxic_passages,
     "op5_quality_gam": quality_gam.op5_quality_gam,
     "op8_bpe_transducer": bpe_transducer.op8_bpe_transducer,
+    "op9_language_zstd": language_zstd.op9_language_zstd,
 }
 
 ORACLE_SQL = {
