@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_transducer, exact_dedup, language_zstd, quality_gam, site_templates, toxic_passages
+from . import bpe_transducer, exact_dedup, language_zstd, quality_gam, site_templates, toxic_passages, vector_shards
 
 QUERIES = {
     "op2_site_templates": site_templates.op2_site_templates,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_toxic_passages": toxic_passages.op4_toxic_passages,
     "op5_quality_gam": quality_gam.op5_quality_gam,
+    "op6_vector_shards": vector_shards.op6_vector_shards,
     "op8_bpe_transducer": bpe_transducer.op8_bpe_transducer,
     "op9_language_zstd": language_zstd.op9_language_zstd,
 }
