@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_transducer, exact_dedup, language_zstd, quality_gam, site_templates, toxic_passages, vector_shards
+from . import bpe_transducer, exact_dedup, genetic_packing, language_zstd, quality_gam, site_templates, toxic_passages, vector_shards
 
 QUERIES = {
     "op2_site_templates": site_templates.op2_site_templates,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_vector_shards": vector_shards.op6_vector_shards,
     "op8_bpe_transducer": bpe_transducer.op8_bpe_transducer,
     "op9_language_zstd": language_zstd.op9_language_zstd,
+    "op10_genetic_packing": genetic_packing.op10_genetic_packing,
 }
 
 ORACLE_SQL = {
