@@ -86,3 +86,12 @@ def test_query_against_brute_force(make_docs, block):
 
 def test_empty(make_docs):
     assert gp.pack(make_docs([])).count() == 0
+
+
+def test_exact_fill():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        lengths = np.sort(rng.integers(1, 60, rng.integers(1, 80)))[::-1].copy()
+        valid(lengths, gp.exact_fill(lengths, 100), 100)
+    assert gp.exact_fill(np.array([70, 50, 30, 25, 25]), 100).max() == 1
+    assert gp.exact_fill(np.array([80, 60, 20, 10, 10, 10]), 100).max() == 1
