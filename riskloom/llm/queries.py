@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_transducer, exact_dedup, genetic_packing, language_zstd, quality_gam, site_templates, toxic_passages, vector_shards
+from . import bpe_transducer, exact_dedup, genetic_packing, language_zstd, quality_gam, site_templates, spot_signatures, toxic_passages, vector_shards
 
 QUERIES = {
+    "op1_spot_signatures": spot_signatures.op1_spot_signatures,
     "op2_site_templates": site_templates.op2_site_templates,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_toxic_passages": toxic_passages.op4_toxic_passages,
