@@ -243,7 +243,7 @@ def _canonical(items: pd.DataFrame) -> pd.DataFrame:
 
 
 def _epoch(epoch: int, capacity: int, members: int, generations: int, islands: int):
-    def run(key, items: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, items: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         block, island = int(key[0]), int(key[1])
         lengths = _canonical(items)["length"].to_numpy(np.int64)
         if not len(lengths):
@@ -265,7 +265,7 @@ def _epoch(epoch: int, capacity: int, members: int, generations: int, islands: i
     return run
 
 
-def _decode(key, items: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
+def _decode(key: tuple, items: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
     items = _canonical(items)
     bins = np.frombuffer(best["genes"].iloc[0], "<i4").astype(np.int64)
     order = np.argsort(bins, kind="stable")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_transducer, exact_dedup, genetic_packing, language_zstd, quality_gam, site_templates, spot_signatures, toxic_passages, vector_shards
+from . import bpe_transducer, exact_dedup, genetic_packing, language_zstd, ngram_join, quality_gam, site_templates, spot_signatures, toxic_passages, vector_shards
 
 QUERIES = {
     "op1_spot_signatures": spot_signatures.op1_spot_signatures,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxic_passages": toxic_passages.op4_toxic_passages,
     "op5_quality_gam": quality_gam.op5_quality_gam,
     "op6_vector_shards": vector_shards.op6_vector_shards,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_bpe_transducer": bpe_transducer.op8_bpe_transducer,
     "op9_language_zstd": language_zstd.op9_language_zstd,
     "op10_genetic_packing": genetic_packing.op10_genetic_packing,
