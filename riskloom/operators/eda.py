@@ -64,7 +64,7 @@ def quantile_edges_exact(df: DataFrame, value: str, n_bins: int, by: list[str] |
 def bin_index(x, edges_col: str = "edges"):
     """K2: right-closed bin (0-based) with the lowest edge included; NULL outside the range."""
     e = F.col(edges_col)
-    idx = F.size(F.filter(F.slice(e, 2, 1_000_000), lambda v: v < x))
+    idx = F.size(F.filter(F.slice(e, 2, F.greatest(F.size(e) - 1, F.lit(0))), lambda v: v < x))
     inside = (x >= F.element_at(e, 1)) & (x <= F.element_at(e, -1))
     return F.when(inside, idx)
 

@@ -117,7 +117,7 @@ def validate_records(df: DataFrame) -> DataFrame:
         else:
             out = out.withColumn(c, F.lit(v))
     checks = [F.when(F.col("amount").isNull(), F.lit("amount missing")),
-              F.when(F.col("amount") <= 0, F.lit("amount must be > 0"))]
+              F.when((F.col("amount") <= 0) | F.isnan(F.col("amount").cast("double")), F.lit("amount must be > 0"))]
     for c, (lo, hi) in RECORD_BOUNDS.items():
         checks.append(F.when(F.col(c) < lo, F.lit(f"{c} must be >= {lo}")))
         if hi is not None:

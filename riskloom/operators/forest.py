@@ -1,7 +1,7 @@
 """Isolation forest: fit, score, normalise, tier, attributions.
 
-* Fit: each row joins tree ``t`` when ``xxhash64(key, seed, t)`` falls under
-  ``psi / n`` -- seeded, independent per tree, and independent of partitioning.
+* Fit: each row joins tree ``t`` when ``xxhash64(key, seed, t)``, over its whole 64-bit
+  range, falls under ``psi / n`` -- seeded, independent per tree, and independent of partitioning.
   Only the chosen (row, tree) pairs are exploded, so each tree group holds about
   ``psi`` rows; ``groupBy(tree).applyInPandas`` builds one tree per group with
   numpy.  The node table (trees x < 2 psi rows) is the bounded fitted state.
@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from riskloom.functions import expressions as X
 from riskloom.operators.features import apply_scaler, fit_scaler
 from riskloom.operators.scorecard import freeze
+from riskloom.sources.store import spill
 
 EULER = 0.5772156649015329
 
@@ -104,6 +105,11 @@ def _tree_builder(cols: list[str], psi: int, max_features: float, seed: int):
     return build
 
 
+def draw_limit(share: float) -> int:
+    """Largest signed 64-bit hash that a draw of ``share`` accepts (never below one hash in 2^64)."""
+    return max(-(1 << 63), min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63) - 1))
+
+
 def fit_forest(df: DataFrame, cols: list[str], key: str, n_trees: int = 100, psi: int = 256,
                max_features: float = 1.0, seed: int = 42, scale: bool = True) -> dict:
     """Fit the forest.  Returns ``{"nodes", "scaler", "cols", "psi", "n_trees", "key"}``."""
@@ -115,8 +121,7 @@ def fit_forest(df: DataFrame, cols: list[str], key: str, n_trees: int = 100, psi
     frac = min(1.0, psi / max(n, 1))
     psi_eff = int(min(psi, n))
     trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                     lambda t: (F.abs(F.xxhash64(F.col(key), F.lit(seed), t)) % F.lit(1_000_000_007))
-                     < F.lit(int(frac * 1_000_000_007)))
+                     lambda t: F.xxhash64(F.col(key), F.lit(seed), t) <= F.lit(draw_limit(frac)))
     sample = (z.select(F.col(key).cast("string").alias("_key"), *zc, F.explode(trees).alias("_tree")))
     nodes = sample.groupBy("_tree").applyInPandas(
         _tree_builder(zc, psi_eff, max_features, seed), NODE_SCHEMA)
@@ -218,17 +223,13 @@ def score_batch(df: DataFrame, model: dict, thresholds=X.TIER_THRESHOLDS, attrib
                 bounds: tuple[float, float] | None = None) -> DataFrame:
     """Inputs kept, plus ``risk_score``, ``risk_tier``, ``recommended_action``."""
     s = score_forest(df, model, attributions=attributions)
+    if bounds is None:                   # the batch's range is needed first: trees are walked once, not twice
+        s = spill(s, "forest-scores")
     s = normalise(s, "anomaly_score", "risk_score", bounds)
     return (s.withColumn("risk_tier", X.risk_tier("risk_score", thresholds))
              .withColumn("recommended_action", X.tier_action("risk_tier")))
 
 
-def training_bounds(df: DataFrame, model: dict) -> tuple[float, float]:
-    """Min/max anomaly score on a reference table (for ``mode="frozen"`` scoring)."""
-    r = score_forest(df, model).agg(F.min("anomaly_score"), F.max("anomaly_score")).first()
-    return float(r[0]), float(r[1])
-
-
 # Driver descriptions (exact wording).
 DRIVER_DESCRIPTIONS = {
     "amount": "transaction amount is unusually large",
@@ -243,7 +244,6 @@ DRIVER_DESCRIPTIONS = {
     "days_since_account_open": "account is relatively new",
     "is_weekend": "transaction occurred on a weekend",
 }
-DRIVER_FALLBACK = "{feat} contributed to the anomaly score"
 
 
 def top_drivers(df: DataFrame, names: list[str], values: str = "attributions", n: int = 3,

@@ -33,7 +33,7 @@ def psi(df: DataFrame, cols: list[str], period: str = "period", n_bins: int = 10
     lg = lg.where(F.col("value").isNotNull())
     edges = quantile_edges_exact(lg.where(F.col(period) == "baseline"), "value", n_bins, by=["feature"])
     x = F.col("value")
-    inner = F.size(F.filter(F.slice(F.col("edges"), 2, 1_000_000), lambda v: v < x))
+    inner = F.size(F.filter(F.slice(F.col("edges"), F.lit(2), F.greatest(F.size("edges") - 1, F.lit(0))), lambda v: v < x))
     b = F.when(x < F.element_at("edges", 1), 0).otherwise(F.least(inner, F.size("edges") - 2))
     h = (lg.join(F.broadcast(edges), "feature")
            .groupBy("feature", b.alias("bin"))

@@ -25,12 +25,12 @@ def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], desc
     (at this value), ``before_<name>`` (over values strictly earlier in the order,
     within the group) and ``total_<name>`` (whole group).  Nulls sort first
     ascending, last descending.  ``n_edges=None`` runs one window per group over
-    its distinct values (only for value domains known to be small); ``"auto"`` sizes the
-    buckets from an approximate distinct count (about a million values per bucket).
+    its distinct values (only for value domains known to be small); ``"auto"`` takes four
+    buckets per shuffle partition.  Edges come from the distinct values that the windows run over.
     """
     by = list(by or [])
     if n_edges == "auto":
-        n_edges = auto_edges(df, value) or None      # None: proven <= 1M distinct values, one window
+        n_edges = auto_edges(df)
     hist = df.groupBy(*by, value).agg(*[expr.alias(name) for name, expr in sums.items()])
     names = list(sums)
     order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_first()
@@ -43,7 +43,7 @@ def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], desc
             cols += [F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"before_{n}"), F.sum(n).over(gw).alias(f"total_{n}")]
         return hist.select("*", *cols)
 
-    edges = quantile_edges(df.where(F.col(value).isNotNull()), value, n_edges)
+    edges = quantile_edges(hist.where(F.col(value).isNotNull()), value, n_edges)
     x = F.col(value).cast("double")
     b = bucket_of(x, F.col("edges"), n_edges)
     if descending:
@@ -90,11 +90,16 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list
     d = df.where(F.col(value).isNotNull())
     cum = cumulative_by_value(d, value, {"_q_n": F.count(F.lit(1))}, n_edges=n_edges, by=by)
     want = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(p)).alias("p")) for k, p in probs.items()])
-    x = cum.select(*by, F.col(value).cast("double").alias("_q_v"), "before__q_n", "_q_n", "total__q_n",
-                   F.explode(want).alias("_q"))
+    start, end = F.col("before__q_n"), F.col("before__q_n") + F.col("_q_n")     # positions [start, end)
+
+    def hits(q):                     # order statistics of this probability that fall on this value
+        at = (F.col("total__q_n") - 1).cast("double") * q["p"]
+        return ((F.floor(at) >= start) & (F.floor(at) < end)) | ((F.ceil(at) >= start) & (F.ceil(at) < end))
+    x = cum.withColumn("_q_want", F.filter(want, hits)).where(F.size("_q_want") > 0)      # at most 2 x probs rows per group
+    x = x.select(*by, F.col(value).cast("double").alias("_q_v"), "before__q_n", "_q_n", "total__q_n",
+                 F.explode("_q_want").alias("_q"))
     pos = (F.col("total__q_n") - 1).cast("double") * F.col("_q.p")
     lo, hi = F.floor(pos), F.ceil(pos)
-    start, end = F.col("before__q_n"), F.col("before__q_n") + F.col("_q_n")     # positions [start, end)
     x = x.select(*by, F.col("_q.name").alias("_q_name"), "_q_v", ((lo >= start) & (lo < end)).alias("_q_lo"),
                  ((hi >= start) & (hi < end)).alias("_q_hi"), (pos - lo).alias("_q_frac"))
     x = x.where(F.col("_q_lo") | F.col("_q_hi"))
@@ -106,6 +111,18 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list
     return g.groupBy(*by).pivot("_q_name", list(probs)).agg(F.first("_q"))
 
 
+def numbered(df: DataFrame, order: list[Column], position: str) -> DataFrame:
+    """Every row with its place (1 ..) in a total order: a distributed sort, written once, whose partitions
+    are numbered locally and shifted by the sizes of the partitions before them (one row per partition)."""
+    from riskloom.sources.store import spill
+    s = spill(df.orderBy(*order).withColumn("_nb_id", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("_nb_id", 33), F.col("_nb_id").bitwiseAND(F.lit((1 << 33) - 1))
+    before = F.sum("count").over(Window.orderBy("_nb_p").rowsBetween(Window.unboundedPreceding, -1))
+    shift = s.groupBy(part.alias("_nb_p")).count().select("_nb_p", F.coalesce(before, F.lit(0)).alias("_nb_s"))
+    return (s.withColumn("_nb_p", part).join(F.broadcast(shift), "_nb_p")
+            .withColumn(position, F.col("_nb_s") + place + 1).drop("_nb_id", "_nb_p", "_nb_s"))
+
+
 def top_k_with_position(df: DataFrame, order: list[Column], k: int, position: str = "position") -> DataFrame:
     """First ``k`` rows by ``order`` (top-k per partition, then merge) numbered 1..k.
     ``order`` must end in a unique key so the result is deterministic."""

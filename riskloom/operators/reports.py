@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import expressions as X
-from riskloom.operators.ranking import percent_rank, top_k_with_position
+from riskloom.operators.ranking import numbered, percent_rank, top_k_with_position
 from riskloom.operators.timewindow import MICROS, rank_within_key, sequence
 
 r = F.round
@@ -288,14 +288,15 @@ def alert_candidates(t: DataFrame, mch: DataFrame) -> DataFrame:
         alert_score(amount="amount", tier="m_risk_tier").alias("alert_priority_score"))
 
 
-def alert_queue(t: DataFrame, mch: DataFrame, bands: int = 4, limit: int = 50) -> DataFrame:
-    """The first ``limit`` queue positions.  NTILE needs only the position and
+def alert_queue(t: DataFrame, mch: DataFrame, bands: int = 4, limit: int | None = 50) -> DataFrame:
+    """The first ``limit`` queue positions (``None``: the whole queue, by a distributed sort).  NTILE needs only the position and
     the candidate count, so the full ordering is never materialised: a global
     count plus a top-k (per-partition top-k, merged) give exact results."""
     c = alert_candidates(t, mch)
     n = c.agg(F.count(F.lit(1)).alias("_n"))
     order = [F.col("alert_priority_score").desc(), F.col("transaction_id").asc()]
-    top = top_k_with_position(c, order, limit, "queue_position").crossJoin(F.broadcast(n))
+    placed = numbered(c, order, "queue_position") if limit is None else top_k_with_position(c, order, limit, "queue_position")
+    top = placed.crossJoin(F.broadcast(n))
     band = X.ntile_of_position(F.col("queue_position"), F.col("_n"), bands)
     return top.orderBy("queue_position").select(
         "queue_position", X.review_sla(band).alias("review_sla"), "alert_priority_score",

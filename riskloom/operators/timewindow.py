@@ -18,8 +18,9 @@ stitch buckets together through a small per-bucket aggregate:
 * ``sequence``        -- LAG / LEAD / ROW_NUMBER by time within key: local
   window per bucket, then the last (first) row and the row count of the
   neighbouring bucket from the per-bucket aggregate.
-* ``rank_within_key`` -- RANK by a value within key, bucketed by global value
-  quantile edges (a bounded 1-row table, broadcast).
+* ``rank_within_key`` -- RANK by a value within key, from counts of distinct
+  (key, value) pairs bucketed by value quantile edges (a bounded 1-row table,
+  broadcast).
 
 All results equal the single-partition window functions exactly.
 """
@@ -207,20 +208,10 @@ def sequence(df: DataFrame, key: str, ts: str, tiebreak: str, lag_cols: list[str
     return j.select(*cols)
 
 
-ROWS_PER_BUCKET = 1_000_000     # target rows (or distinct values) per bucketed window partition
-MIN_EDGES, MAX_EDGES = 64, 65_536
-
-
-def auto_edges(df: DataFrame, col: str | None = None, rows_per_bucket: int | None = None) -> int:
-    """Number of quantile edges so that a bucket holds about ``rows_per_bucket`` rows (``col=None``)
-    or distinct values of ``col``; one aggregate, clamped to [64, 65536].  Returns 0 when the
-    whole input is within one bucket's bound (callers then use a single window: size-checked)."""
-    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    agg = F.count(F.lit(1)) if col is None else F.approx_count_distinct(col)
-    n = df.agg(agg).first()[0] or 0
-    if n <= rows_per_bucket:
-        return 0
-    return int(min(MAX_EDGES, max(MIN_EDGES, math.ceil(n / rows_per_bucket))))
+def auto_edges(df: DataFrame) -> int:
+    """Number of quantile edges of the bucketed windows: four per shuffle partition, the setting that is
+    sized with the data.  The plan is the same at every size and needs no count beforehand."""
+    return max(8, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def quantile_edges(df: DataFrame, col: str, n_edges: int = 64, accuracy: int | None = None) -> DataFrame:
@@ -251,29 +242,29 @@ def bucket_of(x: Column, edges: Column, max_edges: int) -> Column:
 def rank_within_key(df: DataFrame, key: str, value: str, out: str, descending: bool = True,
                     n_edges: int | None = None) -> DataFrame:
     """SQL ``RANK() OVER (PARTITION BY key ORDER BY value DESC|ASC)`` (nulls last for DESC,
-    first for ASC, as Spark and SQLite do) without one task per key.  Buckets come from
-    global value quantiles; ``n_edges=None`` sizes them from the row count."""
-    n_edges = n_edges if n_edges is not None else auto_edges(df)
-    ordc = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_first()
-    if n_edges == 0:     # proven small (<= ROWS_PER_BUCKET rows in total): one window per key
-        return df.withColumn(out, F.rank().over(Window.partitionBy(key).orderBy(ordc)).cast("int"))
-    edges = quantile_edges(df, value, n_edges)
-    x = F.col(value).cast("double")
-    b = bucket_of(x, F.col("edges"), n_edges)
-    null_bucket = F.lit(-1) if descending else F.lit(n_edges + 1)
-    if not descending:
-        # ascending ranks count rows below; reuse the descending machinery on -value buckets
-        b = F.lit(n_edges) - b
-        null_bucket = F.lit(n_edges + 1)
+    first for ASC, as Spark and SQLite do) without one task per key.
+
+    Ranks are formed over the distinct (key, value) pairs with their counts, so a value that a
+    third of the rows share is one row; the pairs are cut into buckets by quantile edges of those
+    distinct values, and ranks are joined back to the rows."""
+    n_edges = n_edges if n_edges else auto_edges(df)
     base, kcols = _null_safe_key(df, key, "_rk_")
-    base = (base.crossJoin(F.broadcast(edges))
-                .withColumn("_rk_b", F.when(F.col(value).isNull(), null_bucket).otherwise(b))
-                .drop("edges").repartition(*kcols, "_rk_b"))     # one shuffle feeds both branches
-    local = base.withColumn("_rk_local", F.rank().over(Window.partitionBy(*kcols, "_rk_b").orderBy(ordc)))
-    counts = base.groupBy(*kcols, "_rk_b").agg(F.count(F.lit(1)).alias("_rk_n"))
-    counts = counts.select("*", F.coalesce(F.sum("_rk_n").over(
-        Window.partitionBy(*kcols).orderBy("_rk_b").rangeBetween(1, Window.unboundedFollowing)), F.lit(0))
-        .alias("_rk_above"))
-    j = local.join(counts, [*kcols, "_rk_b"], "left")
-    return j.select(*[F.col(c) for c in df.columns],
-                    (F.col("_rk_above") + F.col("_rk_local")).cast("int").alias(out))
+    base = base.withColumn("_rk_v", F.col(value)).withColumn("_rk_vn", F.col(value).isNull())
+    zero = F.lit(0).cast(df.schema[value].dataType)
+    base = base.withColumn("_rk_v", F.coalesce("_rk_v", zero))
+    counts = base.groupBy(*kcols, "_rk_vn", "_rk_v").agg(F.count(F.lit(1)).alias("_rk_n"))
+    edges = quantile_edges(counts.where(~F.col("_rk_vn")), "_rk_v", n_edges)
+    b = bucket_of(F.col("_rk_v").cast("double"), F.col("edges"), n_edges)
+    ordc = F.col("_rk_v").desc() if descending else F.col("_rk_v").asc()
+    # buckets ascend in rank order; nulls come last (descending) or first (ascending)
+    place = F.when(F.col("_rk_vn"), F.lit(n_edges + 1 if descending else -1)).otherwise(F.lit(n_edges) - b if descending else b)
+    hist = counts.crossJoin(F.broadcast(edges)).withColumn("_rk_b", place).drop("edges")
+    earlier = Window.unboundedPreceding, -1
+    local = Window.partitionBy(*kcols, "_rk_b").orderBy(ordc).rowsBetween(*earlier)
+    hist = hist.withColumn("_rk_local", F.coalesce(F.sum("_rk_n").over(local), F.lit(0)))
+    above = (hist.groupBy(*kcols, "_rk_b").agg(F.sum("_rk_n").alias("_rk_t"))
+             .withColumn("_rk_above", F.coalesce(F.sum("_rk_t").over(
+                 Window.partitionBy(*kcols).orderBy("_rk_b").rowsBetween(*earlier)), F.lit(0))).drop("_rk_t"))
+    ranks = hist.join(above, [*kcols, "_rk_b"]).select(
+        *kcols, "_rk_vn", "_rk_v", (F.col("_rk_above") + F.col("_rk_local") + 1).cast("int").alias(out))
+    return base.join(ranks, [*kcols, "_rk_vn", "_rk_v"]).select(*[F.col(c) for c in df.columns], out)

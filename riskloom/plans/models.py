@@ -93,7 +93,12 @@ def forest_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def forest_scored(spark: SparkSession, d: str, attributions: bool = False) -> DataFrame:
-    return FO.score_batch(adapter.transactions_table(spark, d), trained_forest(spark, d), attributions=attributions)
+    """Scores and attributions of every transaction, computed once per application and read by every job."""
+    key = ("forest-scored", spark.sparkContext.applicationId, d)
+    with _TRAIN_LOCK:
+        if key not in _TRAINED:
+            _TRAINED[key] = FO.score_batch(adapter.transactions_table(spark, d), trained_forest(spark, d), attributions=True)
+        return _TRAINED[key] if attributions else _TRAINED[key].drop("attributions")
 
 
 def forest_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -206,11 +211,13 @@ def analyse_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def analyse_quarantine(spark: SparkSession, d: str) -> DataFrame:
-    return _analysed(spark, d)["quarantine"]
+    """B7 needs no model: rejected rows with their reasons."""
+    checked = FE.validate_records(adapter.transactions_table(spark, d))
+    return checked.where(~F.col("valid")).drop("valid")
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
-    r = _analysed(spark, d)["results"].where(F.col("risk_tier").isin("HIGH", "CRITICAL"))
+    r = _analysed(spark, d)["results"]
     t = adapter.transactions_table(spark, d).select("transaction_id", "hour", "high_risk_country", "velocity_1h",
                                                     "velocity_24h", "amount_vs_avg_ratio")
     return TX.risk_prompt(r.join(t, "transaction_id")).select("transaction_id", "prompt")
@@ -257,7 +264,7 @@ def rank_shift(spark: SparkSession, d: str) -> DataFrame:
 
 def queue_sla(spark: SparkSession, d: str) -> DataFrame:
     from riskloom.operators import reports
-    q = reports.alert_queue(adapter.transactions_table(spark, d), adapter.merchants(spark, d))
+    q = reports.alert_queue(adapter.transactions_table(spark, d), adapter.merchants(spark, d), limit=None)
     return eda.queue_by_sla(q)
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,11 +26,31 @@ def _root(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark).rstrip("/") + "/riskloom-tables"
 
 
+def spill(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: what stands below runs once, whatever reads it."""
+    path = f"{_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_state(spark: SparkSession, source: str) -> str:
+    """Names, sizes and times of the files below ``source``: a derived table is rebuilt when they change."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(source)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, it = [], fs.listFiles(path, True)
+    while it.hasNext():
+        f = it.next()
+        files.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(files)).encode()).hexdigest()
+
+
 def materialized(spark: SparkSession, name: str, source: str, build) -> DataFrame:
     """Return table ``name`` derived from ``source``; build and write it on first use
     in this application, afterwards read the written files."""
     app = spark.sparkContext.applicationId
-    key = (app, f"{name}@{os.path.abspath(source) if '://' not in source else source}")
+    place = os.path.abspath(source) if "://" not in source else source
+    key = (app, f"{name}@{place}@{file_state(spark, place)}")
     with _LOCK:
         path = _BUILT.get(key)
         if path is None:
