@@ -121,6 +121,20 @@ def lift(df: DataFrame, label: str = "is_fraud", score: str = "score", rates=LIF
     return reduce(DataFrame.unionByName, parts)
 
 
+def lift_grid(df: DataFrame, label: str = "is_fraud", score: str = "score", points: int = 100) -> DataFrame:
+    """J9 (curve): ``lift`` at review rates 1/points .. 1 in one pass.  Every grid point falls to the one distinct
+    score at which its number of reviewed rows is reached."""
+    c = _counts(df, label, score, descending=True)
+    before, here, n = F.col("before_pos") + F.col("before_neg"), F.col("pos") + F.col("neg"), F.col("total_pos") + F.col("total_neg")
+    grid = F.transform(F.sequence(F.lit(1), F.lit(points)), lambda i: F.struct(
+        (i / F.lit(float(points))).alias("rate"), F.floor(i * n / F.lit(points)).cast("long").alias("k")))
+    own = F.filter(grid, lambda g: ((g["k"] > before) | (g["k"] == 0) & (before == 0)) & (g["k"] <= before + here))
+    g = c.select("before_pos", "pos", before.alias("before"), here.alias("here"), "total_pos", F.explode(own).alias("g"))
+    caught = F.col("before_pos") + F.col("pos") * (F.col("g.k") - F.col("before")) / F.col("here")
+    return g.select(F.col("g.rate").alias("review_rate"), F.col("g.k").alias("reviewed"),
+                    F.round(X.pct(caught, F.col("total_pos")), 4).alias("fraud_caught_pct"))
+
+
 def deciles(df: DataFrame, label: str = "is_fraud", score: str = "score", n_bins: int = 10) -> DataFrame:
     """Decile table (1 = lowest scores) and the gains curve from the top decile down."""
     edges = quantile_edges_exact(df, score, n_bins)

@@ -83,10 +83,6 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, cols: list[str], prefix: str
     return j.drop(*[f"{c}__mean" for c in cols], *[f"{c}__std" for c in cols])
 
 
-def feature_vector(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
-    return df.withColumn(out, F.array(*[F.col(c).cast("double") for c in cols]))
-
-
 # ---------------------------------------------------------------- I2 split
 def hash_unit(col: str | Column, seed: int = 42) -> Column:
     """Deterministic U[0,1) from a key: md5 of ``seed:key``; identical in DuckDB via md5."""
@@ -107,23 +103,38 @@ def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float =
 
 
 # ---------------------------------------------------------------- B7 validation
+def _with_defaults(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v)
+                           for c, v in RECORD_DEFAULTS.items()})
+
+
+def record_rules() -> dict[str, Column]:
+    """Rule text -> condition that breaks it (over rows with defaults filled in)."""
+    rules = {"amount missing": F.col("amount").isNull(),
+             "amount must be > 0": (F.col("amount") <= 0) | F.isnan(F.col("amount").cast("double"))}
+    for c, (lo, hi) in RECORD_BOUNDS.items():
+        rules[f"{c} must be >= {lo}"] = F.col(c) < lo
+        if hi is not None:
+            rules[f"{c} must be <= {hi}"] = F.col(c) > hi
+    return rules
+
+
 def validate_records(df: DataFrame) -> DataFrame:
     """Fill defaults for missing fields, then list violated rules in ``reasons``
     (empty string when valid).  ``valid`` is a boolean column."""
-    out = df
-    for c, v in RECORD_DEFAULTS.items():
-        if c in out.columns:
-            out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
-        else:
-            out = out.withColumn(c, F.lit(v))
-    checks = [F.when(F.col("amount").isNull(), F.lit("amount missing")),
-              F.when((F.col("amount") <= 0) | F.isnan(F.col("amount").cast("double")), F.lit("amount must be > 0"))]
-    for c, (lo, hi) in RECORD_BOUNDS.items():
-        checks.append(F.when(F.col(c) < lo, F.lit(f"{c} must be >= {lo}")))
-        if hi is not None:
-            checks.append(F.when(F.col(c) > hi, F.lit(f"{c} must be <= {hi}")))
+    checks = [F.when(broken, F.lit(rule)) for rule, broken in record_rules().items()]
     reasons = F.concat_ws("; ", F.array_compact(F.array(*checks)))
-    return out.withColumn("reasons", reasons).withColumn("valid", F.col("reasons") == "")
+    return _with_defaults(df).withColumn("reasons", reasons).withColumn("valid", F.col("reasons") == "")
+
+
+def rule_violations(df: DataFrame) -> DataFrame:
+    """Rows checked and rows that break each rule, rules without a breach included (one aggregate)."""
+    rules = record_rules()
+    counts = _with_defaults(df).agg(F.count(F.lit(1)).alias("n"), *[
+        F.coalesce(F.sum(F.when(broken, 1).otherwise(0)), F.lit(0)).cast("long").alias(f"v{i}") for i, broken in enumerate(rules.values())])
+    return counts.select("n", F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(f"v{i}").alias("violations"))
+                                                  for i, rule in enumerate(rules)])).alias("s")).select(
+        "s.rule", F.col("n").alias("checked"), "s.violations")
 
 
 # ---------------------------------------------------------------- A9 data quality

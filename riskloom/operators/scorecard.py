@@ -2,8 +2,8 @@
 
 Fitting is a handful of aggregates: exact quantile edges per continuous
 feature, one ``groupBy(feature, bin)`` over the melted table for all features
-at once, a greedy merge of at most ``n_bins`` rows per feature (``applyInPandas``
-on tiny groups), and a distributed logistic regression.  The fitted state is
+at once, a fold over at most ``n_bins`` bins per feature (a column
+expression), and a distributed logistic regression.  The fitted state is
 three small tables (edges, bins, coefficients); transforming and scoring are
 plain column expressions over broadcast 1-row maps -- no Python per row.
 
@@ -15,12 +15,10 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskloom.functions import expressions as X
 from riskloom.operators.eda import _long, bin_index
@@ -41,12 +39,6 @@ IV_BANDS = [(0.5, "Suspicious (check for leakage)"), (0.3, "Strong"), (0.1, "Med
             (0.0, "Useless")]
 SCORECARD_FEATURES = SYNTHETIC_FEATURES + ["is_night"]
 
-BIN_SCHEMA = T.StructType([
-    T.StructField("feature", T.StringType()), T.StructField("group_id", T.IntegerType()),
-    T.StructField("first_bin", T.IntegerType()), T.StructField("last_bin", T.IntegerType()),
-    T.StructField("n_bad", T.LongType()), T.StructField("n_good", T.LongType())])
-
-
 MAX_STATE_ROWS = 100_000
 
 
@@ -73,39 +65,30 @@ def iv_strength(iv) -> F.Column:
     return e.otherwise("Useless")
 
 
-def categorical_features(df: DataFrame, cols: list[str], listed=CATEGORICAL, max_categories: int = MAX_CATEGORIES):
-    """Listed names, or at most ``max_categories`` distinct values (one aggregate; HLL is
-    exact at such small cardinalities)."""
-    others = [c for c in cols if c not in listed]
-    small = set()
-    if others:
-        row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in others]).first()
-        small = {c for c in others if row[c] <= max_categories}
-    return [c for c in cols if c in listed or c in small]
-
-
-def _merge_groups(max_bins: int, min_bads: int):
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin")
-        groups, cur = [], None
-        for b, nb, ng in zip(pdf["bin"], pdf["n_bad"], pdf["n_good"]):
-            if cur is None:
-                cur = [int(b), int(b), 0, 0]
-            cur[1], cur[2], cur[3] = int(b), cur[2] + int(nb), cur[3] + int(ng)
-            if cur[2] >= min_bads:
-                groups.append(cur)
-                cur = None
-        if cur is not None:
-            if groups:
-                last = groups[-1]
-                groups[-1] = [last[0], cur[1], last[2] + cur[2], last[3] + cur[3]]
-            else:
-                groups.append(cur)
-        feat = pdf["feature"].iloc[0]
-        return pd.DataFrame({"feature": feat, "group_id": list(range(len(groups))),
-                             "first_bin": [g[0] for g in groups], "last_bin": [g[1] for g in groups],
-                             "n_bad": [g[2] for g in groups], "n_good": [g[3] for g in groups]})
-    return merge
+_GROUPS = "array<struct<first_bin:int,last_bin:int,n_bad:bigint,n_good:bigint>>"
+
+
+def _joined(a, b) -> F.Column:
+    return F.struct(a["first_bin"].alias("first_bin"), b["last_bin"].alias("last_bin"),
+                    (a["n_bad"] + b["n_bad"]).alias("n_bad"), (a["n_good"] + b["n_good"]).alias("n_good"))
+
+
+def coarse_groups(fine: F.Column, min_bads: int) -> F.Column:
+    """Fine bins (ordered structs first_bin, last_bin, n_bad, n_good) -> groups of neighbours with at least
+    ``min_bads`` bads.  Only the last group can be short while bins arrive; one that stays short at the end
+    belongs to the group before it."""
+    def add(groups, b):
+        last = F.get(groups, F.size(groups) - 1)
+        return F.when(last["n_bad"] < min_bads, F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(_joined(last, b)))) \
+                .otherwise(F.concat(groups, F.array(b)))
+
+    def close(groups):
+        n = F.size(groups)
+        last, before = F.get(groups, n - 1), F.get(groups, n - 2)
+        return F.when((n > 1) & (last["n_bad"] < min_bads),
+                      F.concat(F.slice(groups, F.lit(1), n - 2), F.array(_joined(before, last)))).otherwise(groups)
+
+    return F.aggregate(fine, F.array().cast(_GROUPS), add, close)
 
 
 def fit_woe(df: DataFrame, cols: list[str], label: str = "is_fraud", n_bins: int = N_BINS,
@@ -149,7 +132,9 @@ def fit_woe(df: DataFrame, cols: list[str], label: str = "is_fraud", n_bins: int
                   .where(F.col("bin").isNotNull())
                   .groupBy("feature", "bin").agg(F.sum(F.col(label).cast("long")).alias("n_bad"),
                                                  F.sum((1 - F.col(label)).cast("long")).alias("n_good")))
-        merged = fine.groupBy("feature").applyInPandas(_merge_groups(n_bins, min_bads), BIN_SCHEMA)
+        listed = F.array_sort(F.collect_list(F.struct(F.col("bin").cast("int").alias("first_bin"), F.col("bin").cast("int").alias("last_bin"),
+                                                      "n_bad", "n_good")))               # at most n_bins per feature
+        merged = fine.groupBy("feature").agg(listed.alias("fine")).select("feature", F.inline(coarse_groups(F.col("fine"), min_bads)))
         parts.append(merged.select("feature", F.lit("continuous").alias("kind"),
                                    F.lit(None).cast("double").alias("category"), "first_bin", "last_bin",
                                    "n_bad", "n_good"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators import eda, evaluate, features, reports
-from riskloom.plans import models
+from riskloom.plans import checks, models
 from riskloom.sources import adapter
 from riskloom.streaming import jobs as streams
 
@@ -108,6 +108,7 @@ CATALOG: dict[str, Job] = {
     "i02_split_counts": models.split_counts,
     "d21_log_amount_histogram": models.log_amount_histogram,
     "m05_escalated_tiers": models.escalated_tiers,
+    **checks.JOBS,
 }
 
 
@@ -116,3 +117,8 @@ def run(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
     if name not in CATALOG:
         raise KeyError(f"unknown job {name!r}; known: {sorted(CATALOG)}")
     return CATALOG[name](spark, sf_dir)
+
+
+def run_sql(spark: SparkSession, text: str, sf_dir: str) -> DataFrame:
+    """Run SQL text over the views transactions, accounts and merchants."""
+    return checks.run_sql(spark, text, sf_dir)

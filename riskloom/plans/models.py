@@ -320,9 +320,12 @@ def log_amount_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def escalated_tiers(spark: SparkSession, d: str) -> DataFrame:
-    """M5 (TM-030): forest tiers raised to at least MEDIUM for high-risk countries and HIGH with
+    return escalation(forest_scored(spark, d))
+
+
+def escalation(s: DataFrame) -> DataFrame:
+    """M5 (TM-030): tiers raised to at least MEDIUM for high-risk countries and HIGH with
     velocity; counts per (model tier, escalated tier)."""
-    s = forest_scored(spark, d)
     esc = RU.escalate_tier(F.col("risk_tier"), F.col("high_risk_country") == 1,
                            (F.col("velocity_1h") >= RU.FREQ_HOUR_COUNT) | (F.col("velocity_24h") >= RU.FREQ_DAY_COUNT))
     return s.groupBy("risk_tier", esc.alias("escalated_tier")).agg(F.count(F.lit(1)).alias("n"))

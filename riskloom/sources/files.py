@@ -64,16 +64,20 @@ def read_text_dir(spark: SparkSession, directory: str, glob: str = "*.txt") -> D
     return df
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything is stored at ``path``; an error of the file system is raised, not taken for absence."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def chunk_store(spark: SparkSession, documents: DataFrame, path: str, force_rebuild: bool = False,
                 dim: int = 512) -> DataFrame:
-    """Chunk + embed once and keep the result at ``path``; reuse it unless ``force_rebuild``."""
+    """Chunk + embed once and keep the result at ``path``; reuse it unless ``force_rebuild``.  A store that
+    is there but cannot be read is an error: it is never rebuilt silently."""
     from riskloom.operators import text as TX
     from riskloom.plans.analyse import chunk_corpus
-    if not force_rebuild:
-        try:
-            return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - nothing stored yet
-            pass
+    if not force_rebuild and exists(spark, path):
+        return spark.read.parquet(path)
     c = chunk_corpus(documents)
     emb, _ = TX.embed_tfidf(c, "text", dim)
     emb.write.mode("overwrite").parquet(path)
@@ -81,26 +85,21 @@ def chunk_store(spark: SparkSession, documents: DataFrame, path: str, force_rebu
 
 
 def save_forest(model: dict, path: str) -> None:
-    """Node table and scaler as parquet, the rest as JSON."""
+    """Node table and scaler as parquet, the rest as JSON (which says whether a scaler belongs to it)."""
     model["nodes"].write.mode("overwrite").parquet(f"{path}/nodes")
     if model["scaler"] is not None:
         model["scaler"].write.mode("overwrite").parquet(f"{path}/scaler")
-    meta = {k: model[k] for k in ("cols", "psi", "n_trees", "key")}
+    meta = {k: model[k] for k in ("cols", "psi", "n_trees", "key")} | {"scaled": model["scaler"] is not None}
     spark = model["nodes"].sparkSession
     spark.createDataFrame([(json.dumps(meta),)], ["meta"]).write.mode("overwrite").json(f"{path}/meta")
 
 
 def load_forest(spark: SparkSession, path: str) -> dict:
-    try:
-        meta = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
-    except Exception as e:  # noqa: BLE001
-        raise FileNotFoundError(f"No trained model found at {path}. Fit it first.") from e
-    nodes = spark.read.parquet(f"{path}/nodes")
-    try:
-        scaler = spark.read.parquet(f"{path}/scaler")
-    except Exception:  # noqa: BLE001
-        scaler = None
-    return {"nodes": nodes, "scaler": scaler, **meta}
+    if not exists(spark, f"{path}/meta"):
+        raise FileNotFoundError(f"No trained model found at {path}. Fit it first.")
+    meta = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
+    scaler = spark.read.parquet(f"{path}/scaler") if meta.pop("scaled") else None
+    return {"nodes": spark.read.parquet(f"{path}/nodes"), "scaler": scaler, **meta}
 
 
 def save_scorecard(trained: dict, path: str) -> None:
@@ -114,10 +113,9 @@ def save_scorecard(trained: dict, path: str) -> None:
 
 
 def load_scorecard(spark: SparkSession, path: str) -> dict:
-    try:
-        meta = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
-    except Exception as e:  # noqa: BLE001
-        raise FileNotFoundError(f"Scorecard model files not found at {path}. Train it first.") from e
+    if not exists(spark, f"{path}/meta"):
+        raise FileNotFoundError(f"Scorecard model files not found at {path}. Train it first.")
+    meta = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
     return {"model": {"edges": spark.read.parquet(f"{path}/edges"), "bins": spark.read.parquet(f"{path}/bins")},
             "points": spark.read.parquet(f"{path}/points"), "lr": meta["lr"], "features": meta["features"]}
 
