@@ -260,25 +260,22 @@ def score_scorecard(df: DataFrame, model: dict[str, DataFrame], lr: dict, cols:
 
 def explain_score(df: DataFrame, model: dict[str, DataFrame], lr: dict, cols: list[str], key: str,
                   base_score=BASE_SCORE, base_odds=BASE_ODDS, pdo=PDO) -> DataFrame:
-    """Additive breakdown per row: feature, raw value, WoE, points and running total,
-    starting from the offset.  Long form via ``stack``; the running total is a window
-    partitioned by the row key (at most ``len(cols) + 1`` rows per partition)."""
-    from pyspark.sql import Window
+    """Additive breakdown per row: feature, raw value, WoE, points and running total, starting from the
+    offset, features in name order.  The parts and their running totals are columns of the row, exploded at the
+    end: no shuffle."""
     b, a = scaling(base_score, base_odds, pdo)
     w = apply_woe(df.select(key, *[c for c in cols if c in df.columns]), model, cols)
-    coef = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(lr["coef"].get(c, 0.0)))])
-    stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE), `woe_{c}`" if c in df.columns else f"'{c}', NULL, 0.0D"
-                      for c in cols)
-    lg = w.selectExpr(f"`{key}`", f"stack({len(cols)}, {stack}) AS (feature, raw_value, woe)")
-    lg = lg.withColumn("points", F.bround(F.lit(b) * coef[F.col("feature")] * F.col("woe"), 0).cast("long"))
-    lg = lg.withColumn("step", F.lit(1))
-    off = df.select(key).select(key, F.lit("__OFFSET__").alias("feature"), F.lit(None).cast("double").alias("raw_value"),
-                                F.lit(None).cast("double").alias("woe"),
-                                F.bround(F.lit(a + b * lr["intercept"]), 0).cast("long").alias("points"),
-                                F.lit(0).alias("step"))
-    u = off.unionByName(lg)
-    win = Window.partitionBy(key).orderBy("step", "feature").rowsBetween(Window.unboundedPreceding, 0)
-    return u.withColumn("running_total", F.sum("points").over(win)).drop("step")
+    number = lambda x, t, name: x.cast(t).alias(name)
+    total = F.bround(F.lit(a + b * lr["intercept"]), 0).cast("long")
+    parts = [F.struct(F.lit("__OFFSET__").alias("feature"), number(F.lit(None), "double", "raw_value"),
+                      number(F.lit(None), "double", "woe"), number(total, "long", "points"), number(total, "long", "running_total"))]
+    for c in sorted(cols):
+        raw = F.col(c) if c in df.columns else F.lit(None)
+        points = F.bround(F.lit(b) * F.lit(lr["coef"].get(c, 0.0)) * F.col(f"woe_{c}"), 0).cast("long")
+        total = total + points
+        parts.append(F.struct(F.lit(c).alias("feature"), number(raw, "double", "raw_value"), number(F.col(f"woe_{c}"), "double", "woe"),
+                              number(points, "long", "points"), number(total, "long", "running_total")))
+    return w.select(key, F.inline(F.array(*parts)))
 
 
 def train_scorecard(df: DataFrame, label: str = "is_fraud", key: str = "transaction_id", n_bins: int = N_BINS,

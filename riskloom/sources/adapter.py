@@ -64,31 +64,36 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("c_acctbal").alias("credit_limit"))
 
 
-def transactions(spark: SparkSession, sf_dir: str, grain_seconds: int = WINDOW_GRAIN) -> DataFrame:
-    """The 15-column transaction table (FIXTURES.md 2.1)."""
-    e = read(spark, sf_dir, "events")
+#: The part of a transaction that its event alone gives.
+EVENT_COLUMNS = ["transaction_id", "account_id", "merchant_id", "txn_timestamp", "txn_date", "amount", "hour", "is_fraud"]
+
+
+def from_events(e: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """EVENT_COLUMNS of every event; merchant = k mod (number of suppliers, a 1-row aggregate)."""
+    n_sup = suppliers.agg(F.count(F.lit(1)).alias("_n_sup"))
+    k = F.get_json_object(F.col("props"), "$.k").cast("long")
+    return (e.crossJoin(F.broadcast(n_sup))
+             .select(
+                 F.format_string("TXN-%07d", F.col("event_id")).alias("transaction_id"),
+                 F.col("user_id").alias("account_id"),
+                 F.pmod(k, F.col("_n_sup")).alias("merchant_id"),
+                 F.col("ts").alias("txn_timestamp"),
+                 F.to_date(F.col("ts")).alias("txn_date"),
+                 F.round(F.col("value") * F.lit(AMOUNT_SCALE), 2).alias("amount"),
+                 F.hour(F.col("ts")).alias("hour"),
+                 (F.col("event_type") == "error").cast("int").alias("is_fraud")))
+
+
+def with_features(t: DataFrame, sf_dir: str, grain_seconds: int = WINDOW_GRAIN, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The 15 transaction columns (and ``keep``) of rows with EVENT_COLUMNS; the trailing windows see these rows only."""
+    spark = t.sparkSession
     sup = read(spark, sf_dir, "supplier")
     cust = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nat = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-
-    # merchant = k mod (number of suppliers); the count is a 1-row aggregate
-    n_sup = sup.agg(F.count(F.lit(1)).alias("_n_sup"))
     tiers = sup.select(F.col("s_suppkey").alias("_mid"), tier_of_balance(F.col("s_acctbal")).alias("merchant_risk_tier"))
     country = (cust.join(F.broadcast(nat), cust.c_nationkey == nat.n_nationkey, "left")   # 25-row nation
                    .select(F.col("c_custkey").alias("_aid"),
                            (F.col("n_regionkey") == HIGH_RISK_REGION).cast("int").alias("high_risk_country")))
-
-    k = F.get_json_object(F.col("props"), "$.k").cast("long")
-    t = (e.crossJoin(F.broadcast(n_sup))
-          .select(
-              F.format_string("TXN-%07d", F.col("event_id")).alias("transaction_id"),
-              F.col("user_id").alias("account_id"),
-              F.pmod(k, F.col("_n_sup")).alias("merchant_id"),
-              F.col("ts").alias("txn_timestamp"),
-              F.to_date(F.col("ts")).alias("txn_date"),
-              F.round(F.col("value") * F.lit(AMOUNT_SCALE), 2).alias("amount"),
-              F.hour(F.col("ts")).alias("hour"),
-              (F.col("event_type") == "error").cast("int").alias("is_fraud")))
     t = t.withColumn("_amt_dec", F.col("amount").cast(T.DecimalType(18, 2)))
     t = trailing_stats(t, "account_id", "txn_timestamp", "_amt_dec",
                        {"_v1h": HOUR, "_v24h": DAY, "_a30d": 30 * DAY}, grain_seconds=grain_seconds)
@@ -101,7 +106,12 @@ def transactions(spark: SparkSession, sf_dir: str, grain_seconds: int = WINDOW_G
                        + F.datediff(F.col("txn_date"), F.lit(EPOCH_DATE).cast("date"))).cast("int"))
           .withColumn("is_weekend", (F.weekday(F.col("txn_timestamp")) >= 5).cast("int")))
     t = t.join(tiers, t.merchant_id == tiers._mid, "left").join(country, t.account_id == country._aid, "left")
-    return t.select(*TRANSACTION_COLUMNS)
+    return t.select(*TRANSACTION_COLUMNS, *keep)
+
+
+def transactions(spark: SparkSession, sf_dir: str, grain_seconds: int = WINDOW_GRAIN) -> DataFrame:
+    """The 15-column transaction table (FIXTURES.md 2.1)."""
+    return with_features(from_events(read(spark, sf_dir, "events"), read(spark, sf_dir, "supplier")), sf_dir, grain_seconds)
 
 
 def transactions_table(spark: SparkSession, sf_dir: str) -> DataFrame:

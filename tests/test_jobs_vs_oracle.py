@@ -11,7 +11,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 FAST = ["adapter_transactions", "r01_fraud_overview", "r02_rolling_fraud_rate", "r03_velocity_bursts",
         "r04_account_tiers", "r05_merchant_exposure", "r06_time_of_day", "r07_alert_queue", "r08_cohorts",
         "d13_rate_by_quantile_bin", "j01_summary", "j09_lift", "c10_vector_topk", "m_rule_flags", "i10_woe_bins", "l2_stream_velocity", "d24_queue_by_sla",
-        "a09_constraints", "d25_ratio_bands", "m05_ratio_escalated", "m10_ratio_volume", "j09_lift_grid", "e04_next_transactions", "h07_split_labels"]
+        "a09_constraints", "d25_ratio_bands", "m05_ratio_escalated", "m10_ratio_volume", "j09_lift_grid", "e04_next_transactions", "h07_split_labels", "l5_stream_alerts"]
 
 
 @pytest.fixture(scope="module")

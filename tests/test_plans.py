@@ -61,12 +61,9 @@ def _window_partitions(plan: str):
     return re.findall(r"windowspecdefinition\(([^)]*?)(?:,\s*\w+#\d+L? (?:ASC|DESC)|,\s*specifiedwindowframe|\))", plan)
 
 
-def test_no_per_account_window_without_time_bucket(spark, sf_small, monkeypatch):
+def test_no_per_account_window_without_time_bucket(spark, sf_small):
     """A hot account must never land in one window partition: every window keyed by the
-    account also carries a time (or value) bucket.  The size-checked single-window path for
-    inputs under the bucket bound is disabled here so the large-data plan is inspected."""
-    from riskloom.operators import timewindow
-    monkeypatch.setattr(timewindow, "ROWS_PER_BUCKET", 10)
+    account also carries a time (or value) bucket.  There is one plan at every size."""
     t = adapter.transactions_table(spark, sf_small)
     for df in (adapter.transactions(spark, sf_small), reports.velocity_bursts(t)):
         p = _plan(df)
@@ -77,3 +74,12 @@ def test_no_per_account_window_without_time_bucket(spark, sf_small, monkeypatch)
             if "account_id" in spec.split(",")[0] or "_kk" in spec.split(",")[0]:
                 head = spec.split("specifiedwindowframe")[0]
                 assert "_b#" in head or "_rk_b" in head or "_sq_b" in head or "_tw_b" in head, line[:300]
+
+
+def test_scores_are_walked_once_for_all_jobs(spark, sf_small):
+    """Jobs on the forest read its stored scores: no plan scores rows itself, and the breakdown needs no shuffle."""
+    from riskloom.plans import models
+    for job in (models.forest_scores, models.forest_tiers, models.forest_importance, models.performance_drift, models.rank_shift,
+                models.volume_fp, models.analyse_quarantine):
+        assert "MapInPandas" not in _plan(job(spark, sf_small)), job
+    assert "Exchange hashpartitioning" not in _plan(models.score_breakdown(spark, sf_small))
