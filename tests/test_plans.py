@@ -77,9 +77,9 @@ def test_no_per_account_window_without_time_bucket(spark, sf_small):
 
 
 def test_scores_are_walked_once_for_all_jobs(spark, sf_small):
-    """Jobs on the forest read its stored scores: no plan scores rows itself, and the breakdown needs no shuffle."""
+    """Jobs on the forest read its stored scores: no plan scores rows itself, and the breakdown shuffles no rows."""
     from riskloom.plans import models
     for job in (models.forest_scores, models.forest_tiers, models.forest_importance, models.performance_drift, models.rank_shift,
                 models.volume_fp, models.analyse_quarantine):
         assert "MapInPandas" not in _plan(job(spark, sf_small)), job
-    assert "Exchange hashpartitioning" not in _plan(models.score_breakdown(spark, sf_small))
+    assert "Exchange hashpartitioning(transaction_id" not in _plan(models.score_breakdown(spark, sf_small))
