@@ -14,12 +14,12 @@ from riskloom.session import ensure_checkpoint_dir
 HOT_SHARE = 1e-4
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back: the lineage ends there, lost executors
     re-read files, and both readers of the result see the same rows."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskloom-llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

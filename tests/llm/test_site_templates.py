@@ -57,3 +57,32 @@ def test_templates_match_brute_force(spark):
     assert text[3] == "Story 3 begins. It ends 3." and "Follow us" in text[21] and text[40] == "" == text[41]
     assert all(r.n_chars == len(r.text) for r in got)
     assert st.extract(df.limit(0)).count() == 0
+
+
+def _texts(spark, rows):
+    return {r.page_id: r for r in st.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def _words(i, n=30):
+    return " ".join(f"w{i}x{k}" for k in range(n))
+
+
+def test_counts_decide_about_named_parts_and_articles(spark):
+    """Menus, adverts and footers that change their words are found by their tags on the host, also on pages whose
+    article is shorter than they are; a line that ends every article goes, a quoted one stays."""
+    def page(i, n):
+        menu = "".join(f"<li><a href='/{i}{k}'>menu {i} {k}</a></li>" for k in range(6))
+        quote = "<p>To be or not.</p>" if i < 4 else ""
+        return (f"<html><body><nav><ul>{menu}</ul></nav><div class='ad'>buy {_words(i, 6)}</div><div>Lead {i}.</div><article><p>{_words(i, n)}</p>"
+                f"{quote}<p>Thanks for reading.</p></article><footer>&copy; {_words(i + 100, 8)}</footer></body></html>")
+    rows = [(i, f"http://a.example/{i}", page(i, 1 if i == 7 else 60)) for i in range(12)]
+    got = _texts(spark, rows)
+    assert got[7].text == "Lead 7. w7x0" and got[2].text == f"Lead 2. {_words(2, 60)} To be or not."
+    assert got[7].n_template_blocks == 9 and got[7].n_blocks == 11       # 6 links, advert, footer, last line
+
+
+def test_wrapped_in_a_form_copies_still_count_once(spark):
+    rows = [(i, f"http://a.example/{i}", f"<body><form><div class='ad'>{_words(i, 3)}</div><div><p>{_words(0)}</p></div></form></body>") for i in range(12)]
+    rows += [(50 + i, f"http://b.example/{i}", f"<body><form><nav>x y</nav><div><p>{_words(i)}</p></div></form></body>") for i in range(12)]
+    got = _texts(spark, rows)
+    assert got[3].text == _words(0) and got[53].text == _words(3)
