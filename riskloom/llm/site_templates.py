@@ -106,9 +106,11 @@ def _named(tag: str, attrs: dict[str, str], in_article: bool) -> int:
         return 2
     if attrs.get("role", "").lower() in ROLES or "display:none" in attrs.get("style", "").lower().replace(" ", ""):
         return 2
-    named = FURNITURE.intersection(_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
     heading = tag in PROSE and tag[0] == "h"
-    return 2 if named - (frozenset(("header", "banner")) if heading else frozenset()) else 0
+    if FURNITURE.intersection(names.split()) - (frozenset(("header", "banner")) if heading else frozenset()):
+        return 2
+    return int(not heading and tag != "article" and bool(FURNITURE.intersection(_WORD.findall(names))))
 
 
 def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], int]:

@@ -81,8 +81,25 @@ def test_counts_decide_about_named_parts_and_articles(spark):
     assert got[7].n_template_blocks == 9 and got[7].n_blocks == 11       # 6 links, advert, footer, last line
 
 
+def test_names_never_take_the_main_text(spark):
+    shells = ["<div class='layout has-sidebar'>{}</div>", "<article class='post tag-social format-form'>{}</article>", "<form id='aspnetForm'>{}</form>",
+              "<div class='sidebar'>{}</div>", "<div><div class='teaser'><article><p>Card</p></article></div>{}</div>"]
+    for k, shell in enumerate(shells):
+        rows = [(i, f"http://{k}.example/{i}", "<body>" + shell.format(f"<div class='article-header'><h1>Title {i}</h1></div><div>{_words(i)}</div>")
+                 + "<div class='ad'>buy</div></body>") for i in range(4)]
+        for i, r in _texts(spark, rows).items():
+            assert f"Title {i} {_words(i)}" in r.text and "buy" not in r.text, (k, r.text)
+
+
 def test_wrapped_in_a_form_copies_still_count_once(spark):
     rows = [(i, f"http://a.example/{i}", f"<body><form><div class='ad'>{_words(i, 3)}</div><div><p>{_words(0)}</p></div></form></body>") for i in range(12)]
     rows += [(50 + i, f"http://b.example/{i}", f"<body><form><nav>x y</nav><div><p>{_words(i)}</p></div></form></body>") for i in range(12)]
     got = _texts(spark, rows)
     assert got[3].text == _words(0) and got[53].text == _words(3)
+
+
+def test_seldom_subtrees_are_joined(spark, monkeypatch):
+    """Subtrees too seldom for the driver give the same result by the join."""
+    monkeypatch.setattr(st, "hot_floor", lambda n: 10 ** 9)
+    test_counts_decide_about_named_parts_and_articles(spark)
+    test_names_never_take_the_main_text(spark)
