@@ -41,8 +41,9 @@ from .common import attach_groups, hot_floor, stored
 
 #: A subtree is template when it occurs on at least this many different pages of a host ...
 MIN_PAGES = 3
-#: ... and on at least this share of the host's different pages.
-MIN_SHARE = 0.05
+#: ... and on this share of the host's different pages or, on hosts where that is more, on ``MANY_PAGES`` pages.
+MIN_SHARE = 0.25
+MANY_PAGES = 10
 #: The share of the host's different pages for paragraphs and headings inside articles.
 ARTICLE_SHARE = 0.5
 #: Named furniture is at most this share of the text of its pages; what does not recur, at most that of its page.
@@ -341,7 +342,7 @@ def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float =
                                                       (F.sum("part") / F.sum("chars")).alias("share"))
                     .filter(F.col("pages") >= min_pages), "subtrees")
     hosts = parsed.groupBy("host").agg(F.countDistinct("body").alias("of"), F.sum(F.size("seen")).alias("entries"))
-    bar = F.col("of") * min_share
+    bar = F.least(F.lit(float(MANY_PAGES)), F.col("of") * min_share)
     return (attach_groups(counts, hosts, "host", "entries", _entries(parsed))
             .filter(F.when(kind == QUOTED, F.col("pages") >= F.col("of") * ARTICLE_SHARE).otherwise(F.col("pages") >= bar))
             .filter((kind != SHAPE) | (F.col("share") <= MOST)).select("host", "key", "pages", "held", "usual"))

@@ -91,6 +91,15 @@ def test_names_never_take_the_main_text(spark):
             assert f"Title {i} {_words(i)}" in r.text and "buy" not in r.text, (k, r.text)
 
 
+def test_bar_does_not_grow_with_the_host(spark):
+    def page(i, of):
+        box = "<div>In this section</div>" if i < 12 else "<table><tr><td>Own data</td></tr></table>" if i < 15 else ""
+        return f"<body>{box}<div><p>{_words(i, 5)}</p></div></body>"
+    for of in (30, 400):
+        got = _texts(spark, [(i, f"http://h{of}.example/{i}", page(i, of)) for i in range(of)])
+        assert got[3].text == _words(3, 5) and got[13].text == f"Own data {_words(13, 5)}"
+
+
 def test_wrapped_in_a_form_copies_still_count_once(spark):
     rows = [(i, f"http://a.example/{i}", f"<body><form><div class='ad'>{_words(i, 3)}</div><div><p>{_words(0)}</p></div></form></body>") for i in range(12)]
     rows += [(50 + i, f"http://b.example/{i}", f"<body><form><nav>x y</nav><div><p>{_words(i)}</p></div></form></body>") for i in range(12)]
