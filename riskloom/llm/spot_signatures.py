@@ -1,12 +1,12 @@
-"""Spot signatures: localized fingerprints of texts, and likeness by pruned Jaccard.
+"""Spot signatures: localized fingerprints of texts, and their Jaccard likeness to the edited text and to the next.
 
 A spot is a common word (an anchor) with the chain of content words that follow it; a text's fingerprint is
 the set of its spots, each hashed to 32 bits.  Common words are spread evenly over running text and rare in
 lists and menus, so the set describes the prose of a page.
 
-Sets are partitioned by length: the boundaries grow by 1 / threshold, so a set can reach the threshold only
-with sets of its own and the neighbouring partition.  Two sets are compared rarest-first and the comparison
-stops as soon as the rest cannot reach the threshold.
+The query compares a document with its edited text and with the next document, by plain Jaccard.  It does not
+search the table for near copies: ``length_partition`` and the threshold of ``pruned_jaccard`` (which bound
+what such a search must compare) are not used by it.
 
 Defined results: a null text is empty, its fingerprint is the empty string, and two empty fingerprints have
 likeness 1; a text without any anchor has one spot, the chain of all its words; words are lower-cased runs of
