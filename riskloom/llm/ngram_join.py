@@ -14,7 +14,8 @@ Links are pairs of documents whose sets of five-word shingles have a Jaccard sim
 4.  Links are counted per class, weighted by the number of documents, and connected components give the class
     ids.
 
-Work inside one group of near copies grows with the square of its different texts; rows and memory do not.
+Work and shuffled rows inside one group of near copies grow with the square of its different texts; the memory of
+a task does not.
 Band keys that hold a large share of all rows are salted before their star is drawn.
 
 Defined results: words are runs of non-white-space; a text of one to four words is one shingle; null, empty
