@@ -4,7 +4,8 @@ Pieces.  A document is its ids and a closing id 0.  One of more than ``CAPACITY`
 full pieces, so that only its first piece may be shorter.  Full pieces are sequences of their own.
 
 Packing.  The other pieces are dealt by hash into blocks of about ``BLOCK``.  Each block is packed on several
-islands: a population starts from best-fit orders, crossover injects well-filled bins of one parent into
+islands: a population starts from one greedy exact filling, which often meets the lower bound already (then no
+child is made), and best-fit orders; crossover injects well-filled bins of one parent into
 another, bins with duplicates are removed and the displaced pieces are best-fitted again; mutation empties
 the worst bins.  After every epoch each island's elite moves to the next island, through Spark's shuffle.  An
 island rests once it reaches the lower bound.  The best solution of a block's islands is the block's packing.
