@@ -5,7 +5,8 @@ text is compressed block by block with each dictionary (zstandard); the language
 fewest bytes wins.  A narrow margin between the two smallest sums marks the decision as rejected.
 
 The sample is about ``MAX_DOCS`` documents of a language with at most ``SNIPPET`` letters of each (the
-middle), cut to ``DICTIONARY`` bytes; texts to be classified are read whole.
+middle), in the order of a hash of doc_id and cut to ``DICTIONARY`` bytes, so that a dictionary holds documents
+from all over the ids; texts to be classified are read whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without any training
 language every text is ``und``; ties go to the first language in code-point order; repeated rows are
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -55,7 +57,8 @@ def dictionaries(docs: DataFrame, train: Column, max_docs: int = MAX_DOCS) -> di
     picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
     middle = F.greatest(F.lit(1), ((F.length("text") - SNIPPET) / 2).cast("int") + 1)
     rows = picked.select("lang", "doc_id", F.substring(F.col("text"), middle, F.lit(SNIPPET)).alias("t")).collect()   # bounded
-    return contents_of(sorted(((r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["t"]) for r in rows)))
+    order = lambda i: blake2b(str(i).encode(), digest_size=8).digest()
+    return contents_of(sorted(((r["lang"], order(r["doc_id"]), r["t"]) for r in rows)))     # a dictionary may hold a part only
 
 
 def contents_of(rows: list[tuple]) -> dict[str, bytes]:

@@ -50,3 +50,12 @@ def test_empty_table(spark, make_docs):
     assert lz.dictionaries(make_docs([]), F.lit(True)) == {}
     assert lz.identify(make_docs([]), {}).count() == 0
     assert lz.identify(make_docs([(1, "a")]), {}).first().lang_pred == "und"
+
+
+def test_dictionary_draws_on_all_ids(spark, make_docs, monkeypatch):
+    """A dictionary that holds a fifth of its sample has documents of low and high ids."""
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:03d}")
+    monkeypatch.setattr(lz, "DICTIONARY", 800)
+    content = lz.dictionaries(make_docs([(i, f"{name(i)} river house stone.") for i in range(200)], lang=lambda i: "aa"), F.lit(True))["aa"]
+    found = [i for i in range(200) if name(i).encode() + b" " in content]
+    assert len(content) == 800 and min(found) < 50 and max(found) >= 150 and 30 <= len(found) <= 45
