@@ -10,7 +10,7 @@ A phrase of 2 to 5 words can only reach ``min_count`` if all its words do, and t
 5. cuts, scores, the containment rule and the ranking are DataFrame operations on the counted phrases.
 
 Merging subtracts the (capacity + 1)-th largest counter from all; each unit subtracted removes capacity + 1 units of
-mass, so a counter is at most mass / (capacity + 1) < min_count too low.  Whatever a task counts min_count times by
+mass, so a counter is at most mass / (capacity + 1) < min_count / ROOM too low.  Whatever a task counts min_count times by
 itself survives at once and adds no mass, so that a very common phrase does not fill its partition.  A survivor must
 still be able to reach min_count: counter plus all that was subtracted.
 
@@ -212,6 +212,9 @@ class Summary:
         return self.keys[self.counts + self.subtracted >= min_count]
 
 
+#: Counters per partition, in units of mass / min_count.  Above 1 nothing is lost; what is subtracted stays below
+#: min_count / ROOM, so that few phrases survive that do not reach min_count.
+ROOM = 16
 #: Counters gathered before a merge: fewer sorts, bounded memory.
 GATHER = 1 << 20
 
@@ -254,7 +257,7 @@ def survivors(summaries: DataFrame, min_count: int, name: str) -> DataFrame:
     """key: every phrase that may occur min_count times; none that does is missing."""
     summaries = stored(summaries, f"{name}-summaries", codec="uncompressed")
     mass = summaries.groupBy("part").agg(F.sum("mass").alias("mass")).agg(F.max("mass")).first()[0] or 0
-    capacity = mass // min_count + 1                                # above mass / min_count in every partition
+    capacity = ROOM * mass // min_count + 1                         # above mass / min_count in every partition
     ordered = summaries.repartition(F.col("part")).sortWithinPartitions("part")
     return stored(ordered.mapInArrow(lambda b: merge_partitions(b, capacity, min_count), "key long"), f"{name}-survivors")
 
@@ -283,15 +286,30 @@ def exact_rows(lang: str, vocabulary: Vocabulary, numbers: np.ndarray, pair_bits
             yield lang, b" ".join([vocabulary.words[i] for i in numbers[place:place + n]]), n, int(f)
 
 
+#: Phrases a task counts before it sends its counts on; bounds its memory.
+HELD_PHRASES = 400_000
+
+
 def exact_counts(docs: DataFrame, word_bits, pair_bits, long_bits, longest: int) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("words", pa.int32()), ("f", pa.int64())])
 
     def run(batches):
         words, pairs, long = (np.frombuffer(b.value, np.uint8) for b in (word_bits, pair_bits, long_bits))
+        held = {}
+
+        def rows():
+            columns = list(zip(*((*k, f) for k, f in held.items())))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
         for chunk in chunks(batches, words):
-            rows = [r for part in chunk for r in exact_rows(*part, pairs, long, longest)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+            for part in chunk:
+                for lang, phrase, n, f in exact_rows(*part, pairs, long, longest):
+                    held[lang, phrase, n] = held.get((lang, phrase, n), 0) + f
+            if len(held) >= HELD_PHRASES:
+                yield rows()
+                held.clear()
+        if held:
+            yield rows()
 
     local = texts(docs).mapInArrow(run, "lang string, phrase binary, words int, f long")
     return local.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
