@@ -1,18 +1,19 @@
 """Isolation forest: fit, score, normalise, tier, attributions.
 
-* Fit: each row joins tree ``t`` when ``xxhash64(key, seed, t)``, over its whole 64-bit
+* Fit, ``psi`` a number of rows: each row joins tree ``t`` when ``xxhash64(key, seed, t)``, over its whole 64-bit
   range, falls under ``psi / n`` -- seeded, independent per tree, and independent of partitioning.
   Only the chosen (row, tree) pairs are exploded, so each tree group holds about
-  ``psi`` rows; ``groupBy(tree).applyInPandas`` builds one tree per group with
-  numpy.  The node table (trees x < 2 psi rows) is the bounded fitted state.
+  ``psi`` rows; ``groupBy(tree).applyInPandas`` builds one tree per group with numpy.
+* Fit, ``psi`` a share of all rows (0.5 to 1 in the model cards): all trees grow together, level by level, from
+  aggregates over the rows (``operators/levels.py``); no rows are shuffled.
+* The node table is the bounded fitted state (trees x < 2 psi rows, or trees x < 2^(depth + 1)).
 * Score: ``mapInPandas`` walks all trees for a whole Arrow batch at once
   (vectorised over rows, one loop per depth level).  Anomaly score
   ``s = 2^(-E[h(x)] / c(psi))``; risk is ``s`` min-max scaled over the batch
   (``mode="batch"``, the reference's behaviour) or over the training scores
   (``mode="frozen"``, stable for streams and single rows).
-* Attributions: along each row's path every split's change in expected path
-  length is credited to its feature (additive: they sum to the row's expected
-  path length minus the forest average).  Sign: positive raises risk.
+* Attributions: exact path-dependent Shapley values of the expected path length (``operators/shapley.py``); they sum
+  to the row's expected path length minus the forest average.  Sign: positive raises risk.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions import expressions as X
+from riskloom.operators import levels, shapley
 from riskloom.operators.features import apply_scaler, fit_scaler
 from riskloom.operators.scorecard import freeze
 from riskloom.sources.store import spill
@@ -110,14 +112,21 @@ def draw_limit(share: float) -> int:
     return max(-(1 << 63), min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63) - 1))
 
 
-def fit_forest(df: DataFrame, cols: list[str], key: str, n_trees: int = 100, psi: int = 256,
-               max_features: float = 1.0, seed: int = 42, scale: bool = True) -> dict:
-    """Fit the forest.  Returns ``{"nodes", "scaler", "cols", "psi", "n_trees", "key"}``."""
+def fit_forest(df: DataFrame, cols: list[str], key: str, n_trees: int = 100, psi: int | float = 256,
+               max_features: float = 1.0, seed: int = 42, scale: bool = True, max_depth: int = levels.MAX_DEPTH) -> dict:
+    """Fit the forest.  ``psi``: rows per tree (int), or the share of all rows each tree sees (float up to 1).
+    Returns ``{"nodes", "scaler", "cols", "psi", "n_trees", "key"}``."""
     scaler = freeze(fit_scaler(df, cols)) if scale else None
     z = apply_scaler(df, scaler, cols, prefix="z_") if scale else df.select(
         key, *[F.col(c).alias(f"z_{c}") for c in cols])
     zc = [f"z_{c}" for c in cols]
     n = df.count()
+    if isinstance(psi, float):
+        first, second = levels.key_halves(F.col(key))
+        rows = spill(z.select(*zc, first.alias("_first"), second.alias("_second")), "forest-rows")
+        nodes = levels.grow(rows, zc, n_trees, psi, max_features, seed, levels.depth_of(psi * n, max_depth))
+        return {"nodes": df.sparkSession.createDataFrame(nodes, NODE_SCHEMA), "scaler": scaler, "cols": cols,
+                "psi": int(round(psi * n)), "n_trees": n_trees, "key": key}
     frac = min(1.0, psi / max(n, 1))
     psi_eff = int(min(psi, n))
     trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
@@ -130,46 +139,26 @@ def fit_forest(df: DataFrame, cols: list[str], key: str, n_trees: int = 100, psi
     return {"nodes": nodes, "scaler": scaler, "cols": cols, "psi": psi_eff, "n_trees": n_trees, "key": key}
 
 
-def _pack(nodes: pd.DataFrame, n_trees: int):
-    """Node table -> dense arrays [tree, node] for vectorised traversal."""
-    width = int(nodes["node"].max()) + 1
-    shape = (n_trees, width)
-    feat = np.full(shape, -1, dtype=np.int64)
-    thr = np.zeros(shape)
-    left = np.full(shape, -1, dtype=np.int64)
-    right = np.full(shape, -1, dtype=np.int64)
-    val = np.zeros(shape)
-    for tcol, arr in (("feature", feat), ("threshold", thr), ("left", left), ("right", right), ("value", val)):
-        arr[nodes["tree"].to_numpy(), nodes["node"].to_numpy()] = nodes[tcol].to_numpy()
-    present = np.zeros(n_trees, dtype=bool)
-    present[np.unique(nodes["tree"].to_numpy())] = True
-    return feat, thr, left, right, val, present
-
-
-def _walk(x: np.ndarray, packed, n_feat: int, attribute: bool):
-    feat, thr, left, right, val, present = packed
-    n = x.shape[0]
-    total = np.zeros(n)
-    contrib = np.zeros((n, n_feat)) if attribute else None
-    rows = np.arange(n)
-    used = 0
-    for t in np.flatnonzero(present):
-        used += 1
-        node = np.zeros(n, dtype=np.int64)
-        while True:
-            f = feat[t, node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            xi = np.where(inner, x[rows, np.maximum(f, 0)], 0.0)
-            nxt = np.where(xi < thr[t, node], left[t, node], right[t, node])
-            nxt = np.where(inner, nxt, node)
-            if attribute:
-                delta = val[t, nxt] - val[t, node]
-                np.add.at(contrib, (rows[inner], f[inner]), -delta[inner])
-            node = nxt
-        total += val[t, node]
-    return total / max(used, 1), (contrib / max(used, 1) if attribute else None)
+def _pack(nodes: pd.DataFrame, n_trees: int) -> list:
+    """Node table -> per tree (feature, threshold, left, right, size, value), trees without nodes left out."""
+    names = ["feature", "threshold", "left", "right", "size", "value"]
+    return [tuple(g[c].to_numpy() for c in names) for _, g in nodes.sort_values(["tree", "node"]).groupby("tree")]
+
+
+def _path_length(x: np.ndarray, trees: list) -> np.ndarray:
+    """Mean over the trees of the expected path length where each row ends."""
+    total = np.zeros(len(x))
+    for feature, threshold, left, right, _, value in trees:
+        total += value[levels.descend(x, feature, threshold, left, right)]
+    return total / max(len(trees), 1)
+
+
+def shapley_values(x: np.ndarray, trees: list, n_features: int) -> np.ndarray:
+    """[rows, features]: exact Shapley values of the mean path length, turned so that positive raises risk."""
+    out = np.zeros((n_features, len(x)))
+    for tree in trees:
+        shapley.add_tree(x, *tree, out)
+    return -out.T / max(len(trees), 1)
 
 
 def score_forest(df: DataFrame, model: dict, out: str = "anomaly_score", attributions: bool = False) -> DataFrame:
@@ -193,11 +182,10 @@ def score_forest(df: DataFrame, model: dict, out: str = "anomaly_score", attribu
         p = bc.value
         for pdf in batches:
             x = pdf[zc].to_numpy(dtype=float)
-            eh, contrib = _walk(x, p, len(cols), attributions)
             res = pdf[keep].copy()
-            res[out] = np.power(2.0, -eh / cpsi)
+            res[out] = np.power(2.0, -_path_length(x, p) / cpsi)
             if attributions:
-                res["attributions"] = list(contrib)
+                res["attributions"] = list(shapley_values(x, p, len(cols)))
             yield res
 
     return z.mapInPandas(run, schema)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import expressions as X
-from riskloom.operators import eda, evaluate, features
+from riskloom.operators import eda, evaluate, features, levels
 from riskloom.operators import forest as FO
 from riskloom.operators import monitor as MO
 from riskloom.operators import rules as RU
@@ -140,6 +140,63 @@ def audit_forest(s: DataFrame, forest: dict) -> DataFrame:
     }).unionByName(_once(s, "forest: one row per transaction"))
 
 
+def forest_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Per tree, the rows its root saw and the rows its leaves hold."""
+    n = models.trained_forest(spark, d)["nodes"]
+    return n.groupBy("tree").agg(F.sum(F.when(F.col("depth") == 0, F.col("size"))).alias("rows"),
+                                 F.sum(F.when(F.col("feature") < 0, F.col("size"))).alias("leaf_rows"),
+                                 (F.max("depth") <= levels.MAX_DEPTH).alias("within_depth"))
+
+
+#: Trees that the symmetry audit doubles.
+AUDIT_TREES = 24
+
+
+def shapley_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Axioms of the attributions on every transaction.  A feature no tree splits on gets exactly 0; in a forest
+    made symmetric in two features, exchanging their values exchanges their attributions and leaves all others."""
+    forest = models.trained_forest(spark, d)
+    cols, one, two = forest["cols"], 0, forest["cols"].index("amount_vs_avg_ratio")
+    some = forest["nodes"].where(F.col("tree") < AUDIT_TREES)
+    mirrored = some.withColumn("tree", F.col("tree") + AUDIT_TREES).withColumn("feature", F.when(F.col("feature") == one, two)
+                                                                              .when(F.col("feature") == two, one).otherwise(F.col("feature")))
+    model = {**forest, "nodes": some.unionByName(mirrored), "scaler": None, "cols": [*cols, "dummy"], "n_trees": 2 * AUDIT_TREES}
+    z = features.apply_scaler(adapter.transactions_table(spark, d), forest["scaler"], cols).select(
+        "transaction_id", *[F.col(f"z_{c}").alias(c) for c in cols], F.lit(1.5).alias("dummy"))
+    source = {cols[one]: cols[two], cols[two]: cols[one]}
+    exchanged = z.select(*[F.col(source.get(c, c)).alias(c) for c in z.columns])
+    a = FO.score_forest(z, model, attributions=True).select("transaction_id", F.col("attributions").alias("a"))
+    b = FO.score_forest(exchanged, model, attributions=True).select("transaction_id", F.col("attributions").alias("b"))
+    return audit_shapley(a.join(b, "transaction_id"), one, two)
+
+
+def audit_shapley(j: DataFrame, one: int, two: int) -> DataFrame:
+    def near(x, y):
+        return F.abs(x - y) < 1e-9
+
+    swapped = F.transform("b", lambda v, i: F.when(i == one, F.col("b")[two]).when(i == two, F.col("b")[one]).otherwise(v))
+    return audit(j, {"shapley: a feature without splits gets nothing": F.element_at("a", -1) == 0,
+                     "shapley: exchanged features exchange attributions": near(F.col("a")[one], F.col("b")[two]) & near(F.col("a")[two], F.col("b")[one]),
+                     "shapley: other features keep theirs": F.forall(F.arrays_zip("a", swapped.alias("s")), lambda p: near(p["a"], p["s"]))})
+
+
+def search_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Per model, trials in the log, trials that reached each later rung, winners, parameters outside the ranges,
+    and the training rows every trial saw."""
+    log = models.boosted_search(spark, d)
+    spaces = {"isolation_forest": models.SE.FOREST_SPACE, "boosted_trees": models.SE.BOOSTED_SPACE}
+    outside = F.lit(0)
+    for model, space in spaces.items():
+        for name, (_, lo, hi) in space.items():
+            if name != "scale_pos_weight":                     # in units of the class ratio, which the log has multiplied in
+                v = F.col("params")[name]
+                outside = outside + F.when((F.col("model") == model) & ~F.coalesce(v.between(lo, hi), F.lit(False)), 1).otherwise(0)
+    return log.groupBy("model").agg(
+        F.count(F.lit(1)).alias("trials"), F.sum(X.flag(F.col("rung") >= 1)).cast("long").alias("second_rung"),
+        F.sum(X.flag(F.col("rung") >= 2)).cast("long").alias("third_rung"), F.sum(X.flag(F.col("best"))).cast("long").alias("winners"),
+        F.sum(outside).cast("long").alias("outside_ranges"), F.max("rows_used").alias("training_rows"))
+
+
 def boosted_audit(spark: SparkSession, d: str) -> DataFrame:
     s = models.boosted_scores(spark, d)
     return audit(s, {"boosted: risk score in [0, 1]": F.col("risk_score").between(0, 1),
@@ -171,5 +228,6 @@ JOBS = {
     "m10_ratio_volume": ratio_volume, "j09_lift_grid": lift_grid, "b07_rule_violations": rule_violations,
     "b14_profile_types": profile_types, "e04_next_transactions": next_transactions, "h07_split_labels": split_labels,
     "a10_sql_text": lambda s, d: run_sql(s, AD_HOC, d),
+    "i03_forest_sizes": forest_sizes, "i19_shapley_audit": shapley_audit, "i09_search_audit": search_audit,
     "i06_forest_audit": forest_audit, "i08_boosted_audit": boosted_audit, "i18_scorecard_audit": scorecard_audit,
 }

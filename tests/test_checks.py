@@ -26,6 +26,15 @@ def test_forest_audit_sees_every_kind_of_damage(spark, sf_small):
     assert "one row per transaction" in _broken(checks.audit_forest(s.unionByName(s.limit(1)), forest))
 
 
+def test_shapley_audit_sees_broken_axioms(spark):
+    good = spark.createDataFrame([("x", [1.0, 2.0, 3.0, 0.0], [3.0, 2.0, 1.0, 0.0])], "transaction_id string, a array<double>, b array<double>")
+    assert not _broken(checks.audit_shapley(good, 0, 2))
+    assert _broken(checks.audit_shapley(good.withColumn("a", F.array(*[F.lit(v) for v in (1.0, 2.0, 3.0, 0.1)])), 0, 2)) >= {
+        "a feature without splits gets nothing"}
+    assert _broken(checks.audit_shapley(good.withColumn("b", F.col("a")), 0, 2)) == {"exchanged features exchange attributions", "other features keep theirs"}
+    assert _broken(checks.audit_shapley(good.withColumn("b", F.array(*[F.lit(v) for v in (3.0, 2.5, 1.0, 0.0)])), 0, 2)) == {"other features keep theirs"}
+
+
 def test_rule_violations_counts_each_rule(spark):
     df = spark.createDataFrame([(1.0, 3), (float("nan"), 3), (None, 3), (-5.0, 30), (2.0, -1), (2.0, None)], "amount double, hour int")
     got = {r["rule"]: r["violations"] for r in features.rule_violations(df).collect()}
