@@ -86,52 +86,83 @@ class Forest:
         return children
 
 
-def descend(x: np.ndarray, feature, threshold, left, right) -> np.ndarray:
-    """Node where each row of ``x`` stands."""
-    node = np.zeros(len(x), dtype=np.int64)
-    rows = np.arange(len(x))
+def descend(x: np.ndarray, feature, threshold, left, right, rows: np.ndarray | None = None) -> np.ndarray:
+    """Node where each row of ``x`` (or of ``x[rows]``) stands."""
+    n = len(x) if rows is None else len(rows)
+    node = np.zeros(n, dtype=np.int64)
+    if not n or feature[0] < 0:
+        return node
+    flat, start = np.ascontiguousarray(x).ravel(), (np.arange(n) if rows is None else rows) * x.shape[1]
+    here = np.arange(len(feature))
+    leaf = feature < 0                                    # a leaf leads to itself
+    at, lower, upper = np.where(leaf, 0, feature), np.where(leaf, here, left), np.where(leaf, here, right)
     while True:
-        f = feature[node]
-        inner = f >= 0
-        if not inner.any():
-            return node
-        goes_left = x[rows, np.maximum(f, 0)] < threshold[node]
-        node = np.where(inner, np.where(goes_left, left[node], right[node]), node)
+        following = np.where(flat[start + at[node]] < threshold[node], lower[node], upper[node])
+        if leaf[following].all():
+            return following
+        node = following
 
 
 def _pass(width: int, columns: list[str], plan, with_ranges: bool):
     """mapInPandas function: per (tree, place) rows, and least and greatest value per feature, of a whole partition."""
     def run(batches):
-        trees, coefficient, limits = plan.value
+        trees, coefficient, limits, allowed = plan.value
         count = np.zeros((len(trees), width), dtype=np.int64)
-        low = np.full((len(trees), width, len(columns)), np.inf)
+        low = np.full((len(trees), len(columns), width), np.inf)
         high = -low
         for pdf in batches:
             x = pdf[columns].to_numpy(dtype=float)
+            missing = np.isnan(x).T
+            least, most = np.where(missing, np.inf, x.T), np.where(missing, -np.inf, x.T)
             first, second = pdf["_first"].to_numpy(np.int64), pdf["_second"].to_numpy(np.int64)
             for t, (feature, threshold, left, right, place) in enumerate(trees):
                 rows = np.flatnonzero(draw(first, second, coefficient[t]) < limits[t])
-                at = place[descend(x[rows], feature, threshold, left, right)]
-                rows, at = rows[at >= 0], at[at >= 0]
+                at = place[descend(x, feature, threshold, left, right, rows)]
+                stay = at >= 0
+                rows, at = rows[stay], at[stay]
                 if not len(rows):
                     continue
                 count[t] += np.bincount(at, minlength=width)
                 if with_ranges:
-                    order = np.argsort(at, kind="stable")
-                    found, start = np.unique(at[order], return_index=True)
-                    values = x[rows[order]]
-                    low[t, found] = np.fmin(low[t, found], np.fmin.reduceat(values, start, axis=0))
-                    high[t, found] = np.fmax(high[t, found], np.fmax.reduceat(values, start, axis=0))
+                    order = np.argsort(at.astype(np.int16) if width < 2 ** 15 else at, kind="stable")
+                    rows, at = rows[order], at[order]
+                    start = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+                    found = at[start]
+                    for f in allowed[t]:
+                        low[t, f, found] = np.minimum(low[t, f, found], np.minimum.reduceat(least[f][rows], start))
+                        high[t, f, found] = np.maximum(high[t, f, found], np.maximum.reduceat(most[f][rows], start))
         tree, at = np.nonzero(count)
         yield pd.DataFrame({"tree": tree, "place": at, "rows": count[tree, at],
-                            **{f"lo{j}": low[tree, at, j] for j in range(len(columns))},
-                            **{f"hi{j}": high[tree, at, j] for j in range(len(columns))}})
+                            **{f"lo{j}": low[tree, j, at] for j in range(len(columns))},
+                            **{f"hi{j}": high[tree, j, at] for j in range(len(columns))}})
     return run
 
 
-def _level(rows: DataFrame, columns: list[str], forest: Forest, coefficient, limits, with_ranges: bool) -> pd.DataFrame:
+def uniform(seed: int, tree_seed: np.ndarray, node: np.ndarray, use: int) -> np.ndarray:
+    """A number in [0, 1) per (tree, node, use), by mixing 64-bit integers."""
+    x = tree_seed.astype(np.uint64) * np.uint64(1 << 32) + node.astype(np.uint64) * np.uint64(4) + np.uint64(use)
+    x ^= np.uint64((seed * 0x9E3779B97F4A7C15) % 2 ** 64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x >> np.uint64(11)).astype(float) / 2.0 ** 53
+
+
+def choose_splits(low, high, allowed, seed, tree_seed, node):
+    """(feature or -1, threshold) per open node: one of its varying features, a value above the least one."""
+    varies = allowed & (high > low)
+    n = varies.sum(axis=1)
+    pick = np.floor(uniform(seed, tree_seed, node, 0) * n).astype(int)
+    feature = np.argmax(np.cumsum(varies, axis=1) > pick[:, None], axis=1)
+    rows = np.arange(len(feature))
+    with np.errstate(invalid="ignore"):
+        lo, hi = low[rows, feature], high[rows, feature]
+        cut = np.maximum(hi - (hi - lo) * uniform(seed, tree_seed, node, 1), np.nextafter(lo, np.inf))
+    return np.where(n > 0, feature, -1), cut              # the cut is above lo and not above hi: both sides keep a row
+
+
+def _level(rows: DataFrame, columns: list[str], forest: Forest, coefficient, limits, allowed, with_ranges: bool) -> pd.DataFrame:
     width = max(max(len(o) for o in forest.open), 1)
-    plan = rows.sparkSession.sparkContext.broadcast((forest.arrays(), coefficient, limits))
+    plan = rows.sparkSession.sparkContext.broadcast((forest.arrays(), coefficient, limits, allowed))
     n = len(columns)
     schema = "tree int, place int, rows long, " + ", ".join(f"lo{j} double" for j in range(n)) + ", " + \
              ", ".join(f"hi{j} double" for j in range(n))
@@ -158,28 +189,22 @@ def grow(rows: DataFrame, columns: list[str], trees: int, samples, max_features,
     for t in range(trees):
         k = max(1, int(round(float(max_features[t]) * n)))
         allowed.append(np.sort(np.random.default_rng([seed, int(tree_seeds[t])]).choice(n, size=k, replace=False)))
+    mask = np.array([np.isin(np.arange(n), features) for features in allowed])
     for depth in range(int(max_depth.max()) + 1):
         splitting = depth < int(max_depth.max())
-        got = _level(rows, columns, forest, coefficient, limits, splitting)
+        got = _level(rows, columns, forest, coefficient, limits, allowed, splitting)
         tree, place, size = (got[c].to_numpy() for c in ("tree", "place", "rows"))
-        if splitting:
-            low = got[[f"lo{j}" for j in range(n)]].to_numpy()
-            high = got[[f"hi{j}" for j in range(n)]].to_numpy()
-        nodes_before, following = forest.open, [[] for _ in range(trees)]
-        for i in range(len(got)):
-            t = int(tree[i])
-            node = nodes_before[t][place[i]]
-            forest.size[t][node] = int(size[i])
-            if not splitting or depth >= max_depth[t] or size[i] <= 1:
-                continue
-            choices = allowed[t][high[i, allowed[t]] > low[i, allowed[t]]]
-            if not len(choices):
-                continue
-            rng = np.random.default_rng([seed, int(tree_seeds[t]), node + 1])
-            f = int(choices[rng.integers(len(choices))])
-            lo, hi = low[i, f], high[i, f]
-            cut = max(hi - (hi - lo) * rng.random(), np.nextafter(lo, np.inf))   # above lo: both sides keep a row
-            following[t] += forest.split(t, node, f, float(cut))
+        node = np.array([forest.open[t][i] for t, i in zip(tree, place)], dtype=np.int64)
+        for t, i, rows_there in zip(tree.tolist(), node.tolist(), size.tolist()):
+            forest.size[t][i] = rows_there
+        following = [[] for _ in range(trees)]
+        if splitting and len(got):
+            low, high = (got[[f"{side}{j}" for j in range(n)]].to_numpy() for side in ("lo", "hi"))
+            feature, cut = choose_splits(low, high, mask[tree], seed, tree_seeds[tree], node)
+            feature = np.where((depth < max_depth[tree]) & (size > 1), feature, -1)
+            for t, i, f, c in zip(tree.tolist(), node.tolist(), feature.tolist(), cut.tolist()):
+                if f >= 0:
+                    following[t] += forest.split(t, i, f, c)
         forest.open = following
         if not any(following):
             break

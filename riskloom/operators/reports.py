@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import expressions as X
 from riskloom.operators.ranking import numbered, percent_rank, top_k_with_position
-from riskloom.operators.timewindow import MICROS, rank_within_key, sequence
+from riskloom.operators.timewindow import MICROS, rank_of, rank_within_key, sequence
+from riskloom.sources.store import spill
 
 r = F.round
 
@@ -79,10 +80,10 @@ def rolling_fraud_rate(t: DataFrame, days: int = 7) -> DataFrame:
         .orderBy("txn_date"))
 
 
-def velocity_sequence(t: DataFrame, grain_seconds: int = 300) -> DataFrame:
-    """Per-account previous transaction, sequence number and amount rank
+def velocity_sequence(t: DataFrame, grain_seconds: int = 300, ranked: bool = True) -> DataFrame:
+    """Per-account previous transaction, sequence number and, if ``ranked``, amount rank
     (rank first, so its bucket sizing counts the plain table scan)."""
-    r = rank_within_key(t, "account_id", "amount", "amount_rank_in_account", descending=True)
+    r = rank_within_key(t, "account_id", "amount", "amount_rank_in_account", descending=True) if ranked else t
     return sequence(r, "account_id", "txn_timestamp", "transaction_id",
                     lag_cols=["txn_timestamp", "amount", "merchant_id"], row_number="txn_seq_num",
                     grain_seconds=grain_seconds)
@@ -92,8 +93,9 @@ def velocity_bursts(t: DataFrame, max_minutes: float = 60.0, burst_minutes: floa
                     limit: int | None = 100) -> DataFrame:
     """Transactions within ``max_minutes`` of the account's previous one.
 
-    Minutes use exact microseconds; order: minutes asc, amount desc, id."""
-    s = velocity_sequence(t)
+    Minutes use exact microseconds; order: minutes asc, amount desc, id.  With a ``limit`` the amount rank is counted
+    for the rows that stay only."""
+    s = velocity_sequence(t, ranked=limit is None)
     s = s.where(F.col("prev_txn_timestamp").isNotNull())
     us = F.expr("timestampdiff(MICROSECOND, prev_txn_timestamp, txn_timestamp)")
     minutes = us.cast("double") / float(60 * MICROS)
@@ -106,16 +108,19 @@ def velocity_bursts(t: DataFrame, max_minutes: float = 60.0, burst_minutes: floa
         X.flag((us < F.lit(int(burst_minutes * 60 * MICROS)))
                & (F.col("merchant_id") != F.col("prev_merchant_id"))).alias("multi_merchant_burst_flag"),
         F.col("txn_seq_num").cast("long").alias("txn_seq_num"),
-        F.col("amount_rank_in_account").cast("long").alias("amount_rank_in_account"),
+        *([F.col("amount_rank_in_account").cast("long").alias("amount_rank_in_account")] if limit is None else []),
         "high_risk_country", "is_fraud",
         F.col("amount").alias("_raw_amount"))
     e = e.where(F.col("minutes_since_prev_txn") < max_minutes)
     order = [F.col("minutes_since_prev_txn").asc(), F.col("_raw_amount").desc(), F.col("transaction_id").asc()]
-    if limit is not None:
-        e = e.orderBy(*order).limit(limit)
-    else:
-        e = e.orderBy(*order)
-    return e.drop("_raw_amount")
+    if limit is None:
+        return e.orderBy(*order).drop("_raw_amount")
+    few = spill(e.orderBy(*order).limit(limit), "velocity-bursts")
+    e = rank_of(few, t, "account_id", "_raw_amount", "amount_rank_in_account", "transaction_id", df_value="amount")
+    columns = [c for c in few.columns if c != "_raw_amount"]
+    columns.insert(columns.index("txn_seq_num") + 1, "amount_rank_in_account")
+    return (e.withColumn("amount_rank_in_account", F.col("amount_rank_in_account").cast("long"))
+            .orderBy(*order).select(*columns))
 
 
 def account_metrics(t: DataFrame, a: DataFrame) -> DataFrame:
@@ -199,15 +204,15 @@ def merchant_stats(t: DataFrame, mch: DataFrame, min_txns: int = 5) -> DataFrame
 
 
 def merchant_exposure(t: DataFrame, mch: DataFrame, min_txns: int = 5, limit: int = 25) -> DataFrame:
-    """Top merchants by fraud volume.  The global RANK is computed on the
-    top-``limit`` rows only (a rank there depends only on rows above it); the
-    per-tier RANK uses the bucketed ``rank_within_key``."""
-    s = merchant_stats(t, mch, min_txns)
-    s = rank_within_key(s, "risk_tier", "fraud_rate_pct", "fraud_rate_rank_in_tier", descending=True)
+    """Top merchants by fraud volume.  The merchant aggregate is written once; both RANKs are computed for the
+    top-``limit`` rows only: the global one depends only on the rows above, the per-tier one counts the merchants of
+    the tier with a higher rate."""
+    s = spill(merchant_stats(t, mch, min_txns), "merchant-stats")
     order = [F.col("fraud_volume_aud").desc(), F.col("merchant_id").asc()]
     top = top_k_with_position(s, order, limit, "_pos")
     top = top.withColumn("fraud_volume_rank",
                          F.rank().over(Window.orderBy(F.col("fraud_volume_aud").desc())).cast("long"))
+    top = rank_of(top, s, "risk_tier", "fraud_rate_pct", "fraud_rate_rank_in_tier", "merchant_id")
     return top.orderBy("_pos").select(
         "fraud_volume_rank", "merchant_name", "merchant_category",
         X.merchant_tier_label("risk_tier").alias("merchant_risk_tier"),

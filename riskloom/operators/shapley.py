@@ -79,8 +79,43 @@ def _tables(leaves, value: np.ndarray) -> dict[int, np.ndarray]:
 
 def add_tree(x: np.ndarray, feature, threshold, left, right, size, value, out: np.ndarray) -> None:
     """Adds one tree's Shapley values for the rows of ``x`` to ``out`` [features, rows]."""
-    leaves = {leaf: (names, np.array(shares)) for leaf, names, shares in leaves_of(feature, left, right, size)}
-    tables = _tables([(k, *v) for k, v in leaves.items()], value)
+    leaves = leaves_of(feature, left, right, size)
+    used = sorted({n for _, names, _ in leaves for n in names})
+    if not used:
+        return
+    if len(used) > TABLE_BITS:
+        return _add_tree_by_paths(x, feature, threshold, left, right, leaves, value, out)
+    tables = _tables(leaves, value)
+    bit = {f: k for k, f in enumerate(used)}
+    every = np.arange(1 << len(used))
+    for leaf, names, _ in leaves:                           # tables over all features of the tree: one lookup a leaf
+        if names:
+            own = sum(((every >> bit[f]) & 1) << k for k, f in enumerate(names))
+            wide = np.zeros((len(every), len(used)))
+            wide[:, [bit[f] for f in names]] = tables[leaf][own]
+            tables[leaf] = wide
+    total = np.zeros((len(x), len(used)))
+    met = np.full(len(x), (1 << len(used)) - 1, dtype=np.uint16)          # bit per feature: all its conditions are met
+    todo = [(0, met)]
+    while todo:
+        node, met = todo.pop()
+        f = feature[node]
+        if f < 0:
+            if node in tables:
+                total += tables[node].take(met, axis=0)
+            continue
+        goes_left = (x[:, f] < threshold[node]).astype(np.uint16) << np.uint16(bit[f])
+        other = np.uint16(((1 << len(used)) - 1) ^ (1 << bit[f]))
+        todo.append((left[node], met & (goes_left | other)))
+        todo.append((right[node], met & ~goes_left))
+    for f, k in bit.items():
+        out[f] += total[:, k]
+
+
+def _add_tree_by_paths(x, feature, threshold, left, right, leaves, value, out) -> None:
+    """The same for trees with many features: bits per path, longest paths integrated row by row."""
+    by_leaf = {leaf: (names, np.array(shares)) for leaf, names, shares in leaves}
+    tables = _tables(leaves, value)
     n = x.shape[0]
     todo = [(0, {})]
     while todo:
@@ -92,21 +127,19 @@ def add_tree(x: np.ndarray, feature, threshold, left, right, size, value, out: n
             for child, goes in ((left[node], goes_left), (right[node], ~goes_left)):
                 todo.append((child, {**met, f: goes if before is None else before & goes}))
             continue
-        names, shares = leaves[node]
+        names, shares = by_leaf[node]
         if not names:
             continue
         if node in tables:
             pattern = np.zeros(n, dtype=np.uint16)
             for k, name in enumerate(names):
                 pattern |= met[name].astype(np.uint16) << np.uint16(k)
-            table = tables[node]
-            for k, name in enumerate(names):
-                out[name] += table[:, k][pattern]
+            got = tables[node].take(pattern, axis=0)
         else:
             bits = np.stack([met[name] for name in names], axis=1).astype(float)
             got = leaf_values(bits, shares[None, :], np.full(n, value[node]))
-            for k, name in enumerate(names):
-                out[name] += got[:, k]
+        for k, name in enumerate(names):
+            out[name] += got[:, k]
 
 
 def brute_force(row, feature, threshold, left, right, size, value, n_features: int) -> np.ndarray:

@@ -268,3 +268,17 @@ def rank_within_key(df: DataFrame, key: str, value: str, out: str, descending: b
     ranks = hist.join(above, [*kcols, "_rk_b"]).select(
         *kcols, "_rk_vn", "_rk_v", (F.col("_rk_above") + F.col("_rk_local") + 1).cast("int").alias(out))
     return base.join(ranks, [*kcols, "_rk_vn", "_rk_v"]).select(*[F.col(c) for c in df.columns], out)
+
+
+def rank_of(few: DataFrame, df: DataFrame, key: str, value: str, out: str, few_id: str, df_value: str | None = None) -> DataFrame:
+    """``RANK() OVER (PARTITION BY key ORDER BY value DESC)`` (nulls last) among the rows of ``df``, for the rows of
+    ``few`` alone: a bounded result (a report's top rows, ``few_id`` unique) that is broadcast and meets ``df`` once;
+    the rows above each are counted, no rank over the table is formed.  ``few`` is read twice: pass a written table.
+    ``df_value``: the value's name in ``df`` where it differs."""
+    mine = few.select(F.col(few_id).alias("_ro_id"), F.col(key).alias("_ro_k"), F.col(value).alias("_ro_v"))
+    above = df.select(F.col(key).alias("_ro_key"), F.col(df_value or value).alias("_ro_value")).join(F.broadcast(mine), (
+        F.col("_ro_key").eqNullSafe(F.col("_ro_k")) & F.col("_ro_value").isNotNull()
+        & (F.col("_ro_v").isNull() | (F.col("_ro_value") > F.col("_ro_v")))))
+    counts = above.groupBy("_ro_id").agg(F.count(F.lit(1)).alias("_ro_n"))
+    return (few.join(F.broadcast(counts), few[few_id] == counts["_ro_id"], "left")           # a row per row of ``few``
+            .withColumn(out, (F.coalesce("_ro_n", F.lit(0)) + 1).cast("int")).drop("_ro_id", "_ro_n"))

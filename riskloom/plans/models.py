@@ -96,12 +96,13 @@ def forest_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def forest_scored(spark: SparkSession, d: str, attributions: bool = False) -> DataFrame:
-    """Scores and attributions of every transaction, computed once per application and read by every job."""
-    key = ("forest-scored", spark.sparkContext.applicationId, d)
+    """Scores of every transaction, with their attributions where asked for: each computed once per application and
+    read by every job."""
+    key = ("forest-scored", attributions, spark.sparkContext.applicationId, d)
     with _TRAIN_LOCK:
         if key not in _TRAINED:
-            _TRAINED[key] = FO.score_batch(adapter.transactions_table(spark, d), trained_forest(spark, d), attributions=True)
-        return _TRAINED[key] if attributions else _TRAINED[key].drop("attributions")
+            _TRAINED[key] = FO.score_batch(adapter.transactions_table(spark, d), trained_forest(spark, d), attributions=attributions)
+        return _TRAINED[key]
 
 
 def forest_scores(spark: SparkSession, d: str) -> DataFrame:

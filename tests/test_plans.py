@@ -83,3 +83,10 @@ def test_scores_are_walked_once_for_all_jobs(spark, sf_small):
                 models.volume_fp, models.analyse_quarantine):
         assert "MapInPandas" not in _plan(job(spark, sf_small)), job
     assert "Exchange hashpartitioning(transaction_id" not in _plan(models.score_breakdown(spark, sf_small))
+
+
+def test_velocity_bursts_rank_only_their_result(spark, sf_small):
+    """The amount rank is counted for the 100 rows that stay; the table itself is not ranked or shuffled for it."""
+    t = adapter.transactions_table(spark, sf_small)
+    p = _plan(reports.velocity_bursts(t))
+    assert p.count("Exchange hashpartitioning") <= 4 and "Window" not in p

@@ -53,3 +53,26 @@ def test_bucket_of_matches_searchsorted(spark, n_edges):
     got = df.select("x", bucket_of(F.col("x"), F.col("edges"), n_edges).alias("b")).toPandas()
     exp = np.searchsorted(edges, got["x"].to_numpy(), side="left")
     assert (got["b"].to_numpy() == exp).all()
+
+
+@pytest.mark.parametrize("limit", [500_000, 300, 30])
+def test_exact_quantiles_narrow_brackets_to_the_pandas_result(spark, monkeypatch, limit):
+    """Ties, one value only, null groups, NaN; with little room the brackets must be cut again."""
+    from riskloom.operators import ranking
+    rng = np.random.default_rng(6)
+    n = 20_000
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", "c"], n), "v": np.round(rng.lognormal(2, 2, n), 3)})
+    pdf.loc[pdf["g"] == "b", "v"] = 7.0
+    pdf.loc[rng.random(n) < 0.4, "v"] = 1.25                     # a value that many rows share
+    monkeypatch.setattr(ranking, "MAX_BRACKETED", limit)
+    monkeypatch.setattr(ranking, "ACCURACY", 100)
+    probs = {f"p{i}": p for i, p in enumerate((0, 0.01, 0.1, 0.25, 1 / 3, 0.5, 0.75, 0.9, 0.995, 1))}
+    df = spark.createDataFrame(pdf).withColumn("g", F.when(F.col("g") != "c", F.col("g")))
+    df = df.unionByName(spark.createDataFrame([("a", float("nan")), ("a", None)], "g string, v double"))
+    got = {r["g"]: r for r in ranking.exact_quantiles(df, "v", probs, by=["g"]).collect()}
+    for g, rows in pdf.groupby("g"):
+        want = rows["v"].quantile(list(probs.values()))
+        np.testing.assert_allclose([got[None if g == "c" else g][k] for k in probs], want, rtol=1e-12)
+    whole = ranking.exact_quantiles(df, "v", {"m": 0.5}).first()["m"]
+    assert whole == pytest.approx(pdf["v"].median())
+    assert ranking.exact_quantiles(df.limit(0), "v", {"m": 0.5}, by=["g"]).count() == 0

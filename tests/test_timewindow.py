@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.timewindow import rank_within_key, sequence, trailing_stats
+from riskloom.operators.timewindow import rank_of, rank_within_key, sequence, trailing_stats
 
 
 def _events(spark, n=3000, seed=7):
@@ -71,3 +71,12 @@ def test_rank_within_key_equals_native(spark):
         o = F.col("v").desc_nulls_last() if desc else F.col("v").asc_nulls_first()
         exp = e.select("id", F.rank().over(Window.partitionBy("k").orderBy(o)).alias("e"))
         assert got.join(exp, "id").where(F.col("r") != F.col("e")).count() == 0
+
+
+def test_rank_of_a_few_rows_equals_the_window(spark):
+    rows = [("a", i, v) for i, v in enumerate([5.0, 7.0, 7.0, None, 1.0, 9.0, None])] + [(None, 20, 3.0), (None, 21, 8.0), ("b", 30, None)]
+    df = spark.createDataFrame(rows, "k string, id int, v double")
+    want = {r["id"]: r["r"] for r in df.select("id", F.rank().over(Window.partitionBy("k").orderBy(F.desc_nulls_last("v"))).alias("r")).collect()}
+    few = df.where("id in (0, 2, 3, 5, 20, 30)")
+    got = {r["id"]: r["r"] for r in rank_of(few, df, "k", "v", "r", "id").collect()}
+    assert got == {i: want[i] for i in (0, 2, 3, 5, 20, 30)}
