@@ -47,5 +47,22 @@ def doc_remainder(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def drawn(share: float | Column, salt: str) -> Column:
+    """Condition that holds for ``share`` of all ids, by a 64-bit hash of doc_id: the same ids in every run.  Draws
+    with different salts are independent."""
+    limit = F.lit(draw_limit(share)) if isinstance(share, float) else share
+    return F.xxhash64(F.col("doc_id"), F.lit(salt)) <= limit
+
+
+def draw_limit(share: float) -> int:
+    """Largest signed 64-bit hash a draw of ``share`` accepts; the least share accepts one hash in 2^64."""
+    return max(-(1 << 63), min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63) - 1))
+
+
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``row`` (all columns of ``docs``, whatever their names) beside the given key columns; select("row.*") unpacks."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in keys.items()])
+
+
 def crc_of_id(doc_id) -> int:
     return zlib.crc32(b"" if doc_id is None else str(int(doc_id)).encode())

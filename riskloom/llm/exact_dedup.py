@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach_groups, hot_floor, stored
+from .common import attach_groups, hot_floor, packed, stored
 
 SALTS = 32
 
@@ -51,31 +51,35 @@ def dedup(docs: DataFrame, digest=sha256_digest) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every input row."""
     docs = docs.select("doc_id", "text")
     text = normalised(F.col("text"))
-    light = stored(docs.select("doc_id", digest(text).alias("_digest"), F.sha2(text, 256).alias("text_sha256"))
-                   if digest is not sha256_digest else
-                   docs.select("doc_id", digest(text).alias("_digest")), "dedup-light")
+    columns = ["doc_id", digest(text).alias("_digest"), F.monotonically_increasing_id().alias("_row")]
+    if digest is not sha256_digest:
+        columns.append(F.sha2(text, 256).alias("text_sha256"))
+    light = stored(docs.select(*columns), "dedup-light")
     n_rows = light.count()
     groups = winners(docs, light, n_rows, digest)
-    slim = stored(groups.drop("_text"), "dedup-groups")
+    # of repeated rows (same id and text) one is kept: its number comes out of partial minima, no window over copies
+    first = light.groupBy("_digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_keep"))
+    slim = stored(groups.drop("_text").join(first, "_digest"), "dedup-groups")
     if slim.groupBy("_digest").count().filter("count > 1").isEmpty():
         rows = attach_groups(light, slim, "_digest", "group_size", n_rows)
+        kept = F.col("_row") == F.col("_keep")
     else:                                              # different texts share a digest: compare whole texts again
         rows = (docs.select("doc_id", text.alias("_text")).withColumn("_digest", digest(F.col("_text")))
                 .withColumn("text_sha256", F.sha2("_text", 256))
                 .join(groups, ["_digest", "_text"]))
+        one = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("group_size")) == 1
+        kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & one
     if "text_sha256" not in rows.columns:
         rows = rows.withColumn("text_sha256", F.lower(F.hex("_digest")))
-    first = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("group_size")) == 1
-    return rows.select("doc_id", "keep_id", "group_size",
-                       (F.col("doc_id").eqNullSafe(F.col("keep_id")) & first).alias("kept"), "text_sha256")
+    return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The kept rows of ``docs`` with all their columns (the pipeline stage)."""
-    held = dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), "text_sha256")
-    rows = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
-    joined = rows.join(held, rows["doc_id"].eqNullSafe(held["_id"]) & (rows["_sha"] == held["text_sha256"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    held = dedup(docs).filter("kept").select(F.col("doc_id").alias("keep"), "text_sha256")
+    rows = packed(docs, id=F.col("doc_id"), sha=F.sha2(normalised(F.col("text")), 256))
+    joined = rows.join(held, rows["id"].eqNullSafe(held["keep"]) & (rows["sha"] == held["text_sha256"]), "left_semi")
+    return joined.dropDuplicates(["id", "sha"]).select("row.*")
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

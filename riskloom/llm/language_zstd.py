@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_remainder
+from .common import doc_remainder, draw_limit, drawn
 
 #: Training documents per language, in expectation, letters of each, and bytes of a dictionary.
 MAX_DOCS, SNIPPET, DICTIONARY = 400, 2_000, 112_640
@@ -53,8 +53,8 @@ def dictionaries(docs: DataFrame, train: Column, max_docs: int = MAX_DOCS) -> di
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return {}
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, max_docs / r["count"]) * 1_000_000))))
-    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], draw_limit(min(1.0, max_docs / r["count"])))))
+    picked = known.filter(drawn(share[F.col("lang")], "dictionary"))
     middle = F.greatest(F.lit(1), ((F.length("text") - SNIPPET) / 2).cast("int") + 1)
     rows = picked.select("lang", "doc_id", F.substring(F.col("text"), middle, F.lit(SNIPPET)).alias("t")).collect()   # bounded
     order = lambda i: blake2b(str(i).encode(), digest_size=8).digest()

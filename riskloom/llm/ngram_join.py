@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_groups, stored
+from .common import attach_groups, packed, stored
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -235,13 +235,6 @@ def _prune(batches):
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(kept)) for i in (0, 1)], ["a", "b"])
 
 
-def _texts_of(batches):
-    """Texts whose shingle set is the wanted one (an id can come with several texts)."""
-    for batch in batches:
-        keep = [i for i, (t, d) in enumerate(zip(batch.column(3).to_pylist(), batch.column(1).to_pylist())) if set_digest(shingles(t)) == d]
-        yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 2, 3)], ["rep", "weight", "text"])
-
-
 def _verify_pairs(batches):
     """Exact similarity of pairs; both ends get the other's weight."""
     last, known = None, None
@@ -342,10 +335,10 @@ def _classes(docs: DataFrame) -> DataFrame:
                                          F.lit(0).cast("long").alias("n_linked_texts"), F.lit(1).cast("long").alias("n_copies"),
                                          (-1 - F.col("row")).alias("root"), "sha")
     known = sketch.filter("n > 0")
-    first = F.min(F.struct("row", "doc_id", "bands", "mark"))
+    first = F.min(F.struct("row", "doc_id", "bands", "mark", "sha"))
     reps = stored(known.groupBy("digest").agg(first.alias("f"), F.count("*").alias("weight"), F.min("doc_id").alias("least"))
                   .select("digest", F.col("f.row").alias("rep"), F.col("f.doc_id").alias("doc_id"), "weight", "least",
-                          F.col("f.bands").alias("bands"), F.col("f.mark").alias("mark")), "reps")
+                          F.col("f.bands").alias("bands"), F.col("f.mark").alias("mark"), F.col("f.sha").alias("sha")), "reps")
     n = reps.count()
     pairs, star = candidates(reps)
     groups = components(star)
@@ -359,9 +352,10 @@ def _classes(docs: DataFrame) -> DataFrame:
                   .mapInArrow(_prune, "a long, b long"), "kept-pairs")
     wanted = (kept.select(F.col("a").alias("rep")).unionByName(kept.select(F.col("b").alias("rep")))
               .unionByName(dense.select("rep")).distinct()
-              .join(reps.select("rep", "digest", "weight", F.col("doc_id").alias("_id")), "rep"))
-    texts = stored(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"])).select("rep", "digest", "weight", "text")
-                   .mapInArrow(_texts_of, "rep long, weight long, text string").dropDuplicates(["rep"]), "texts")
+              .join(reps.select("rep", "weight", F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")), "rep"))
+    given = docs.select("doc_id", "text", sha)            # by id and text: many texts may come with one id, or with none
+    texts = stored(given.join(wanted, given["doc_id"].eqNullSafe(wanted["_id"]) & (given["sha"] == wanted["_sha"]))
+                   .groupBy("rep").agg(F.min("weight").alias("weight"), F.min("text").alias("text")), "texts")
     side = lambda c: texts.select(F.col("rep").alias(c), F.col("weight").alias(f"w_{c}"), F.col("text").alias(f"t_{c}"))
     loose = (kept.join(side("b"), "b").join(side("a"), "a").sortWithinPartitions("a").select("a", "b", "w_a", "w_b", "t_a", "t_b")
              .mapInArrow(_verify_pairs, _LINKS))
@@ -391,9 +385,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     word is a class of its own."""
     held = (_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
             .groupBy("root").agg(F.min(F.struct("sha", "doc_id")).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.sha").alias("_held")))
-    rows = docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
-    one = rows.join(held, rows["doc_id"].eqNullSafe(held["_id"]) & (rows["_sha"] == held["_held"]), "left_semi")
-    return one.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    rows = packed(docs, id=F.col("doc_id"), sha=F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
+    one = rows.join(held, rows["id"].eqNullSafe(held["_id"]) & (rows["sha"] == held["_held"]), "left_semi")
+    return one.dropDuplicates(["id", "sha"]).select("row.*")
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:

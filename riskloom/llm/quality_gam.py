@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_remainder, stored
+from .common import doc_remainder, drawn, stored
 from .toxic_passages import training_labels
 
 #: Upper bound, in expectation, on the labelled documents a model is fitted on.
@@ -240,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, max_labelled: int = MAX_LABEL
     """Fit on ``labels.quality`` of the rows where the condition ``train`` (on doc_id) holds."""
     known = stored(training_labels(labels, "quality", train), "quality-labels")
     share = min(1.0, max_labelled / max(1, known.count()))
-    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))     # bounded
+    sample = known.filter(drawn(share, "fit"))                                     # bounded
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .join(F.broadcast(sample), "doc_id")
             .select("doc_id", "_label", feature_column()("text").alias("x")).collect())
@@ -266,5 +266,4 @@ def op5_quality_gam(spark, sf_dir: str) -> DataFrame:
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` of good quality, with all their columns (the pipeline stage)."""
     model = fit(docs, labels, train_rows())
-    scored = docs.withColumn("_quality", score_column(model)(F.col("text")))
-    return scored.filter(F.col("_quality") >= THRESHOLD).select(*(scored[c] for c in docs.columns))
+    return docs.filter(score_column(model)(F.col("text")) >= THRESHOLD)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_remainder, stored
+from .common import doc_remainder, drawn, stored
 
 #: Upper bound, in expectation, on the labelled documents a model is fitted on, and on those its curve is fitted on.
 MAX_LABELLED = 200_000
@@ -160,10 +160,9 @@ def _count_batches(batches):
             + [pa.array([c[w] for w in words], pa.int64()) for c in (every, toxic, clean)], ["token", "n", "toxic", "clean"])
 
 
-def _sample(labels: DataFrame, bound: int) -> DataFrame:
+def _sample(labels: DataFrame, bound: int, salt: str) -> DataFrame:
     """Training labels, about ``bound`` of them at most, by a hash of the id: the same ids in every run."""
-    share = min(1.0, bound / max(1, labels.count()))
-    return labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    return labels.filter(drawn(min(1.0, bound / max(1, labels.count())), salt))
 
 
 def training_labels(labels: DataFrame, column: str, train) -> DataFrame:
@@ -174,7 +173,7 @@ def training_labels(labels: DataFrame, column: str, train) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, train, max_labelled: int = MAX_LABELLED) -> Model:
     """Fit on ``labels.toxic`` of the rows where the condition ``train`` (on doc_id) holds."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = stored(_sample(training_labels(labels, "toxic", train), max_labelled), "toxic-labels")     # bounded
+    sample = stored(_sample(training_labels(labels, "toxic", train), max_labelled, "fit"), "toxic-labels")     # bounded
     rows = docs.join(F.broadcast(sample), "doc_id", "left").select("text", "_label")
     counts = stored(rows.mapInArrow(_count_batches, "token string, n long, toxic long, clean long")
                     .groupBy("token").agg(*(F.sum(c).alias(c) for c in ("n", "toxic", "clean"))), "token-counts")
@@ -190,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, max_labelled: int = MAX_LABEL
     def scored(frame):
         y1, y0 = (F.col(c) + F.col("n") / n * a0 for c in ("toxic", "clean"))
         odds = F.log(y1 / (n1 + a0 - y1)) - F.log(y0 / (n0 + a0 - y0))
-        return (frame.filter("toxic > 0").select("token", odds.alias("odds"), (odds / F.sqrt(1 / y1 + 1 / y0)).alias("z"),
+        return (frame.filter("toxic + clean > 0").select("token", odds.alias("odds"), (odds / F.sqrt(1 / y1 + 1 / y0)).alias("z"),
                                                  (y0 / (n0 + a0)).alias("p"))
                 .filter(F.abs("z") >= Z_CUT).orderBy("token").collect())         # tokens of the bounded sample only
 
@@ -198,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, max_labelled: int = MAX_LABEL
     steps = np.array([r.odds - DRIFT for r in words] + [-DRIFT])
     share = np.array([r.p for r in words] + [max(0.0, 1.0 - sum(r.p for r in words))])
     model = Model({r.token: r.odds for r in words}, {r.token: r.odds for r in parts}, extreme_value_scale(steps, share))
-    seen = (docs.join(F.broadcast(_sample(sample, MAX_CALIBRATION)), "doc_id")
+    seen = (docs.join(F.broadcast(_sample(sample, MAX_CALIBRATION, "calibrate")), "doc_id")
             .select("_label", score_column(model)(F.col("text"))["evidence"].alias("evidence")).collect())
     model.curve = logistic(np.array([r.evidence for r in seen]), np.array([r._label for r in seen], float))
     return model
@@ -278,5 +277,4 @@ def op4_toxic_passages(spark, sf_dir: str) -> DataFrame:
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not toxic, with all their columns (the pipeline stage)."""
     model = fit(docs, labels, train_rows())
-    scored = docs.withColumn("_toxic", score_column(model)(F.col("text"))["score"])
-    return scored.filter(F.col("_toxic") < 0.5).select(*(scored[c] for c in docs.columns))
+    return docs.filter(score_column(model)(F.col("text"))["score"] < 0.5)

@@ -14,7 +14,8 @@ def make_docs(spark):
         df = spark.createDataFrame(rows, SCHEMA).repartition(3)
         if extra:
             from pyspark.sql import functions as F
-            for c in ("_digest", "_text", "_salt", "keep_id", "size", "shard", "score", "label", "key", "n", "token", "words"):
+            for c in ("_digest", "_text", "_salt", "keep_id", "size", "shard", "score", "label", "key", "n", "token", "words",
+                      "_toxic", "_QUALITY", "_sha", "_id", "row", "sha", "id"):
                 df = df.withColumn(c, F.lit("x"))
         return df
     return make

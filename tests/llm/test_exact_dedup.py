@@ -39,3 +39,20 @@ def test_stage_and_empty(make_docs):
     assert exact_dedup.dedup(make_docs([])).count() == 0
     assert exact_dedup.keep_one(make_docs([])).count() == 0
     assert [r.kept for r in exact_dedup.dedup(make_docs([(None, "a"), (None, "a")])).collect()].count(True) == 1
+
+
+def test_many_equal_rows_keep_one_without_a_window(spark, make_docs):
+    pairs = [(5, "same")] * 10_000 + [(None, "same")] * 300 + [(None, "only null")] * 40 + [(i, "other") for i in (9, 8, 8)]
+    out = exact_dedup.dedup(make_docs(pairs))
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    assert len(rows) == len(pairs)
+    kept = [(r.doc_id, r.group_size) for r in rows if r.kept]
+    assert sorted(kept, key=str) == sorted([(5, 10_300), (None, 40), (8, 3)], key=str)
+
+
+def test_all_columns_of_the_input_stay(make_docs):
+    docs = make_docs(PAIRS, extra=True)
+    out = exact_dedup.keep_one(docs)
+    assert out.columns == docs.columns
+    assert all(r["_sha"] == r["sha"] == r["_QUALITY"] == "x" for r in out.collect())

@@ -132,3 +132,22 @@ def test_stage_and_empty(make_docs):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(classes)
     assert nj.similarity_classes(make_docs([])).count() == 0
     assert nj.keep_one(make_docs([]).withColumn("rep", F.lit(1))).count() == 0
+
+
+def test_null_ids_link_like_distinct_ids(make_docs):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(250):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(60)]
+        texts += [" ".join(words), " ".join(words[:-1] + ["changed"])]
+    def shape(ids):
+        rows = nj.similarity_classes(make_docs(list(zip(ids, texts)))).collect()
+        return sorted((r.n_links, r.n_linked_texts, r.n_copies) for r in rows)
+    assert shape([None] * len(texts)) == shape(range(len(texts)))
+    assert shape([3] * len(texts)) == shape(range(len(texts)))
+
+
+def test_all_columns_of_the_input_stay(make_docs):
+    docs = make_docs([(1, "a b c d e f"), (2, "a b c d e f"), (3, "")], extra=True)
+    out = nj.keep_one(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]

@@ -62,3 +62,10 @@ def test_without_labels_nothing_is_rejected(spark, make_docs, labels):
     frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     assert qg.reject(make_docs([(1, "a b"), (2, "c"), (3, None)]), frame).count() == 3
     assert qg.reject(make_docs([]), frame).count() == 0
+
+
+def test_rejecting_keeps_every_column(spark, make_docs):
+    from riskloom.llm import quality_gam
+    docs = make_docs([(1, "a b"), (2, None)], extra=True)
+    out = quality_gam.reject(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert out.columns == docs.columns and all(r["_QUALITY"] == "x" for r in out.collect())

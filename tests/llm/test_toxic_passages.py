@@ -71,3 +71,26 @@ def test_without_labels_nothing_is_rejected(spark, make_docs, labels):
     docs = make_docs([(1, "a b"), (2, "c"), (3, None)])
     assert tp.reject(docs, frame).count() == 3
     assert tp.reject(make_docs([]), frame).count() == 0
+
+
+def test_words_of_clean_documents_keep_their_own_score(spark, make_docs):
+    """A frequent clean word that begins like a toxic one must not take that beginning's score."""
+    rng = random.Random(2)
+    fill = [f"f{a}{b}" for a in "abcdefgh" for b in "ijklmnop"]
+    pairs, labels = [], []
+    for i in range(1200):
+        words = [rng.choice(fill) for _ in range(30)]
+        words += [rng.choice(["slimeball", "slimebag", "slimeface"])] * 2 if i % 4 == 0 else ["slimecot", "slimecot"]
+        pairs.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = tp.fit(make_docs(pairs), frame, tp.train_rows())
+    assert model.token("slimecot") < 0 < model.token("slimeball")
+    assert tp.judge(model, "slimecot " * 50)["score"] < 0.5
+
+
+def test_rejecting_keeps_every_column(spark, make_docs):
+    docs = make_docs([(1, "a b"), (2, None)], extra=True)
+    frame = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    out = tp.reject(docs, frame)
+    assert out.columns == docs.columns and all(r["_toxic"] == "x" for r in out.collect()) and out.count() == 2

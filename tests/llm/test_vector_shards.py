@@ -56,3 +56,15 @@ def test_small_and_empty(make_docs):
     assert vs.shard(make_docs([])).count() == 0
     for pairs in ([(1, None)], [(1, "a"), (1, "a")], [(i, "") for i in range(50)]):
         check(vs.shard(make_docs(pairs)).collect(), pairs, vs.SHARDS)
+
+
+def test_repeated_rows_and_null_ids_spread_like_distinct_ones(make_docs):
+    rng = random.Random(3)
+    rest = [(i, " ".join(str(rng.random()) for _ in range(rng.randint(5, 40)))) for i in range(1500)]
+    spread = []
+    for repeated in ([(7, "one text " * 100)] * 600, [(None, "one text " * 100)] * 600, [(9000 + i, "one text " * 100) for i in range(600)]):
+        rows = vs.shard(make_docs(rest + repeated), shards=6, part=300).collect()
+        check(rows, rest + repeated, 6)
+        sums = np.bincount([r.shard for r in rows], [r.size for r in rows])
+        spread.append(sums.max() / sums.min())
+    assert max(spread) <= 1.05, spread
