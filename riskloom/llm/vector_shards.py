@@ -28,7 +28,7 @@ HOT_PARTS = 64
 #: The share of a shard (in bytes, tokens or rows) beyond which a group is split, and about the share of its pieces.
 #: Larger whole groups leave room of a shape (many bytes, no rows) that the other texts cannot fill: with a limit of a
 #: whole shard the byte law missed 5 % (a group of 0.6 of a shard: 127,587 bytes against 114,645).
-WHOLE, PIECE = 0.25, 0.125
+WHOLE, PIECE = 0.25, 0.03125
 #: Weights of bytes, tokens and rows in the dot product; bytes are the law that must hold.
 WEIGHTS = np.array([8.0, 1.0, 1.0])
 #: Groups packed by one task, about.
