@@ -1,9 +1,9 @@
 """Toxic passages: maximum-scoring segments over token log-odds with Dirichlet priors.
 
-Fit.  Token counts of all documents give an informative Dirichlet prior; counts of labelled toxic and clean
-training documents give each token a shrunk log-odds ratio and its z-score.  Tokens beyond ``Z_CUT`` score
-their log-odds (a token without a sure score falls back on its longest beginning that has one), all others nothing; every
-token pays ``DRIFT``, so that clean text drifts down.  The scale lambda of the extreme-value law of such
+Fit.  The number of documents with each token gives an informative Dirichlet prior; the numbers of labelled toxic and
+clean training documents with it give each token a shrunk log-odds ratio and its z-score.  Tokens beyond ``Z_CUT`` score
+their log-odds (a token without a sure score falls back on its longest beginning that has one, unless ``SEEN`` clean documents and no
+toxic one hold it), all others nothing; every token pays ``DRIFT``, so that clean text drifts down.  The scale lambda of the extreme-value law of such
 scores solves sum p(w) exp(lambda s(w)) = 1 under the clean token frequencies.
 
 Score.  One linear scan finds every maximal segment.  A segment of score S among n tokens is expected
@@ -44,6 +44,8 @@ DRIFT = 0.5
 MAX_E = 0.05
 #: Lengths of the word beginnings that stand in for a word without a score of its own, longest first.
 STEMS = (8, 7, 6, 5, 4, 3)
+#: Clean labelled documents in which a word without toxic ones is known well enough to speak for itself.
+SEEN = 3
 #: Words whose score a worker remembers.
 MAX_MEMO = 500_000
 #: Evidence of a document without any positive segment: below that of every segment worth a token.
@@ -189,14 +191,18 @@ def fit(docs: DataFrame, labels: DataFrame, train, max_labelled: int = MAX_LABEL
     def scored(frame):
         y1, y0 = (F.col(c) + F.col("n") / n * a0 for c in ("toxic", "clean"))
         odds = F.log(y1 / (n1 + a0 - y1)) - F.log(y0 / (n0 + a0 - y0))
-        return (frame.filter("toxic + clean > 0").select("token", odds.alias("odds"), (odds / F.sqrt(1 / y1 + 1 / y0)).alias("z"),
+        return (frame.filter("toxic > 0").select("token", odds.alias("odds"), (odds / F.sqrt(1 / y1 + 1 / y0)).alias("z"),
                                                  (y0 / (n0 + a0)).alias("p"))
                 .filter(F.abs("z") >= Z_CUT).orderBy("token").collect())         # tokens of the bounded sample only
 
     words, parts = scored(counts), scored(stems)
+    # a word that clean documents know well must not take the score of a toxic word's beginning: it says nothing
+    known = counts.filter((F.col("toxic") == 0) & (F.col("clean") >= SEEN)).select(F.col("token").alias("word"), F.explode(begins).alias("token"))
+    starts = docs.sparkSession.createDataFrame([(r.token,) for r in parts], "token string")          # bounded: see scored
+    plain = {r.word: 0.0 for r in known.join(F.broadcast(starts), "token", "left_semi").select("word").distinct().collect()}
     steps = np.array([r.odds - DRIFT for r in words] + [-DRIFT])
     share = np.array([r.p for r in words] + [max(0.0, 1.0 - sum(r.p for r in words))])
-    model = Model({r.token: r.odds for r in words}, {r.token: r.odds for r in parts}, extreme_value_scale(steps, share))
+    model = Model(plain | {r.token: r.odds for r in words}, {r.token: r.odds for r in parts}, extreme_value_scale(steps, share))
     seen = (docs.join(F.broadcast(_sample(sample, MAX_CALIBRATION, "calibrate")), "doc_id")
             .select("_label", score_column(model)(F.col("text"))["evidence"].alias("evidence")).collect())
     model.curve = logistic(np.array([r.evidence for r in seen]), np.array([r._label for r in seen], float))

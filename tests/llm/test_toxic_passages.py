@@ -73,7 +73,7 @@ def test_without_labels_nothing_is_rejected(spark, make_docs, labels):
     assert tp.reject(make_docs([]), frame).count() == 0
 
 
-def test_words_of_clean_documents_keep_their_own_score(spark, make_docs):
+def test_words_of_clean_documents_do_not_take_a_toxic_beginning(spark, make_docs):
     """A frequent clean word that begins like a toxic one must not take that beginning's score."""
     rng = random.Random(2)
     fill = [f"f{a}{b}" for a in "abcdefgh" for b in "ijklmnop"]
@@ -85,7 +85,7 @@ def test_words_of_clean_documents_keep_their_own_score(spark, make_docs):
         labels.append((i, 1, int(i % 4 == 0)))
     frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model = tp.fit(make_docs(pairs), frame, tp.train_rows())
-    assert model.token("slimecot") < 0 < model.token("slimeball")
+    assert model.token("slimecot") <= 0 < model.token("slimeball")
     assert tp.judge(model, "slimecot " * 50)["score"] < 0.5
 
 
