@@ -84,22 +84,74 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, cols: list[str], prefix: str
 
 
 # ---------------------------------------------------------------- I2 split
-def hash_unit(col: str | Column, seed: int = 42) -> Column:
-    """Deterministic U[0,1) from a key: md5 of ``seed:key``; identical in DuckDB via md5."""
-    c = F.col(col) if isinstance(col, str) else col
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string"))), 1, 8), 16, 10).cast("double")
-    return h / F.lit(float(16 ** 8))
+#: Bits of the hash that orders rows, bits that one pass over the rows decides, and the most classes a label may have.
+HASH_BITS, PASS_BITS, MAX_CLASSES = 60, 12, 64
+
+
+def hash_order(key: Column, seed: int = 42) -> Column:
+    """A 60-bit number drawn from ``key``: the first 15 digits of the md5 of ``seed:key``."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def smallest_up_to(df: DataFrame, group: str, value: str, shares: list[float]) -> dict[str, list[int]]:
+    """Per group and share, the value of the k-th smallest row, k = share * rows of the group, rounded half up; -1 for k = 0.
+
+    Each pass counts rows per (group, next 12 bits of the value) among the rows whose higher bits are still open, so
+    the driver sees at most groups * shares * 4096 counts, no row is shuffled beyond these counts, and the number of
+    passes is at most five whatever the table holds."""
+    spark = df.sparkSession
+    cuts: dict[str, list[int]] = {}
+    open_at: dict[tuple[str, int], list[tuple[int, int]]] = {}                      # (group, bits so far) -> [(share, rank inside)]
+    for shift in range(HASH_BITS - PASS_BITS, -1, -PASS_BITS):
+        digit = F.shiftright(F.col(value), shift)
+        if shift == HASH_BITS - PASS_BITS:
+            counted = df.groupBy(group, digit.alias("bits"))
+        else:
+            some = spark.createDataFrame([(g, p) for g, p in open_at], "g string, p long")
+            counted = (df.join(F.broadcast(some), (F.col(group) == F.col("g")) & (F.shiftright(F.col(value), shift + PASS_BITS) == F.col("p")),
+                               "left_semi").groupBy(group, digit.alias("bits")))
+        rows = counted.agg(F.count(F.lit(1)).alias("n")).collect()
+        found: dict[tuple[str, int], list[tuple[int, int]]] = {}
+        for r in rows:
+            found.setdefault((r[group], r["bits"] >> PASS_BITS), []).append((r["bits"], r["n"]))
+        if shift == HASH_BITS - PASS_BITS:
+            if len(found) > MAX_CLASSES:
+                raise ValueError(f"more than {MAX_CLASSES} groups")
+            totals = {g: sum(n for _, n in bits) for (g, _), bits in found.items()}
+            cuts = {g: [-1] * len(shares) for g in totals}
+            open_at = {(g, 0): [(i, k) for i, f in enumerate(shares) if (k := min(n, int(n * f + 0.5))) > 0] for g, n in totals.items()}
+        further: dict[tuple[str, int], list[tuple[int, int]]] = {}
+        for at, wanted in open_at.items():
+            for i, k in wanted:
+                below = 0
+                for bits, n in sorted(found[at]):
+                    if below + n >= k:
+                        break
+                    below += n
+                if below + n == k or shift == 0:                                  # the whole bucket belongs to the smallest
+                    cuts[at[0]][i] = ((bits + 1) << shift) - 1
+                else:
+                    further.setdefault((at[0], bits), []).append((i, k - below))
+        open_at = further
+        if not open_at:
+            break
+    return cuts
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float = 0.2, seed: int = 42,
                      valid_fraction: float = 0.0) -> DataFrame:
-    """Adds ``split`` in {'train','valid','test'} by a per-row hash, independently per
-    class, so class shares are preserved in expectation and the result does not depend
-    on partitioning.  (Exact per-class counts would need a global rank; at scale the
-    hash threshold is the distributed choice.)"""
-    u = hash_unit(F.concat_ws("|", F.col(label).cast("string"), F.col(key).cast("string")), seed)
-    return df.withColumn("split", F.when(u < test_fraction, "test")
-                         .when(u < test_fraction + valid_fraction, "valid").otherwise("train"))
+    """Adds ``split`` in {'train','valid','test'}.  Of each class exactly its share of rows (rounded half up) goes to
+    the test rows, those with the smallest hashes of label and key; the next ones are validation rows.  The result
+    does not depend on partitioning.  Rows of one class and key stay together, so a key that repeats at a cut may carry
+    its split beyond the share; a null label is a class of its own, a null key a key like any other."""
+    group = F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit(""))
+    order = hash_order(F.concat_ws("|", F.col(label).cast("string"), F.col(key).cast("string")), seed)
+    cuts = smallest_up_to(df.select(group.alias("group"), order.alias("order")), "group", "order", [test_fraction, test_fraction + valid_fraction])
+    test = valid = F.lit(-1).cast("long")
+    for g, (t, v) in cuts.items():
+        test, valid = F.when(group == g, F.lit(t)).otherwise(test), F.when(group == g, F.lit(v)).otherwise(valid)
+    return df.withColumn("split", F.when(order <= test, "test").when(order <= valid, "valid").otherwise("train"))
 
 
 # ---------------------------------------------------------------- B7 validation

@@ -3,7 +3,7 @@
 Fitting is a handful of aggregates: exact quantile edges per continuous
 feature, one ``groupBy(feature, bin)`` over the melted table for all features
 at once, a fold over at most ``n_bins`` bins per feature (a column
-expression), and a distributed logistic regression.  The fitted state is
+expression), and Newton steps over distinct WoE vectors (``operators/logistic``).  The fitted state is
 three small tables (edges, bins, coefficients); transforming and scoring are
 plain column expressions over broadcast 1-row maps -- no Python per row.
 
@@ -15,12 +15,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import expressions as X
+from riskloom.operators import logistic
 from riskloom.operators.eda import _long, bin_index
 from riskloom.operators.features import SYNTHETIC_FEATURES, stratified_split
 from riskloom.operators.ranking import exact_quantiles
@@ -197,18 +196,10 @@ def apply_woe(df: DataFrame, model: dict[str, DataFrame], cols: list[str], prefi
 
 
 def fit_logistic(woe_df: DataFrame, cols: list[str], label: str = "is_fraud", C: float = 1.0,
-                 max_iter: int = 1000, prefix: str = "woe_"):
-    """L2 logistic regression on WoE columns with balanced class weights.
-    An inverse-strength ``C`` (loss weighted by C) maps to ``regParam = 1 / (C * sum(weights))`` (= 1/(C n) here)."""
-    cnt = freeze(woe_df.groupBy(label).count(), limit=16)        # one row per class
-    n = sum(r["count"] for r in cnt.collect())
-    w = F.lit(float(n)) / (2.0 * F.col("count"))
-    d = woe_df.join(F.broadcast(cnt.select(label, w.alias("_w"))), label)
-    va = VectorAssembler(inputCols=[f"{prefix}{c}" for c in cols], outputCol="_x")
-    lr = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_w", regParam=1.0 / (C * n),
-                            elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8)
-    model = lr.fit(va.transform(d.withColumn(label, F.col(label).cast("double"))))
-    return {"intercept": float(model.intercept), "coef": dict(zip(cols, map(float, model.coefficients)))}
+                 max_iter: int = 100, prefix: str = "woe_"):
+    """L2 logistic regression on WoE columns with balanced class weights; raises when it does not converge."""
+    found = logistic.fit(woe_df, [f"{prefix}{c}" for c in cols], label, C, max_iter)
+    return {**found, "coef": dict(zip(cols, found["coef"]))}
 
 
 def scaling(base_score=BASE_SCORE, base_odds=BASE_ODDS, pdo=PDO):

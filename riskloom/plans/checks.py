@@ -204,6 +204,27 @@ def boosted_audit(spark: SparkSession, d: str) -> DataFrame:
         .unionByName(_once(s, "boosted: one row per transaction"))
 
 
+def fit_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Gradient of the objective at the fitted coefficients, per training row, recomputed over the plain rows by
+    column expressions; 0 after rounding to 6 digits where the fit has converged."""
+    r = models.trained_scorecard(spark, d)
+    cols, lr = r["features"], r["lr"]
+    t = adapter.transactions_table(spark, d).withColumn("is_night", X.is_night("hour"))
+    train = features.stratified_split(t, "transaction_id", "is_fraud").where(F.col("split") == "train")
+    w = S.apply_woe(train, r["model"], cols)
+    margin = F.lit(lr["intercept"])
+    for c in cols:
+        margin = margin + F.lit(lr["coef"][c]) * F.col(f"woe_{c}")
+    pull = 1.0 / (1.0 + F.exp(-margin)) - F.col("is_fraud")
+    names, values = ["__INTERCEPT__", *cols], [F.lit(1.0), *[F.col(f"woe_{c}") for c in cols]]
+    per_class = w.groupBy("is_fraud").agg(F.count(F.lit(1)).alias("n"), *[F.sum(pull * v).alias(f"g{i}") for i, v in enumerate(values)])
+    total = per_class.agg(F.sum("n").alias("rows"), *[F.sum(F.col(f"g{i}") / (2 * F.col("n"))).alias(f"g{i}") for i in range(len(names))])
+    parts = [F.struct(F.lit(c).alias("feature"), (F.col(f"g{i}") + F.lit(lr["coef"].get(c, 0.0)) / F.col("rows")).alias("g"))
+             for i, c in enumerate(names)]
+    return total.select(F.explode(F.array(*parts)).alias("p")).select(
+        "p.feature", F.abs(F.round("p.g", 6)).alias("gradient"), (F.abs("p.g") < 1e-7).alias("converged"))
+
+
 def scorecard_audit(spark: SparkSession, d: str) -> DataFrame:
     """Score and probability state the same odds (within rounding), and the breakdown adds up to the score
     (every part is rounded to whole points)."""
@@ -230,4 +251,5 @@ JOBS = {
     "a10_sql_text": lambda s, d: run_sql(s, AD_HOC, d),
     "i03_forest_sizes": forest_sizes, "i19_shapley_audit": shapley_audit, "i09_search_audit": search_audit,
     "i06_forest_audit": forest_audit, "i08_boosted_audit": boosted_audit, "i18_scorecard_audit": scorecard_audit,
+    "i15_fit_audit": fit_audit,
 }

@@ -47,7 +47,8 @@ def trained_scorecard(spark: SparkSession, d: str) -> dict:
 
 def woe_transform(spark: SparkSession, d: str) -> DataFrame:
     r = trained_scorecard(spark, d)
-    return S.apply_woe(_t(spark, d).select("transaction_id", *r["features"]), r["model"], r["features"])
+    w = S.apply_woe(_t(spark, d).select("transaction_id", *r["features"]), r["model"], r["features"])
+    return w.withColumns({f"woe_{c}": F.round(f"woe_{c}", 6) for c in r["features"]})
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
@@ -316,9 +317,11 @@ def scaler_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Rows per (split, class) of the seeded stratified split."""
+    """Rows per (split, class) of the seeded stratified split, and which rows they are (first, last and sum of ids)."""
     s = stratified_split(adapter.transactions_table(spark, d), "transaction_id", "is_fraud", 0.2, 42)
-    return s.groupBy("split", "is_fraud").agg(F.count(F.lit(1)).alias("n"))
+    return s.groupBy("split", "is_fraud").agg(
+        F.count(F.lit(1)).alias("n"), F.min("transaction_id").alias("first_id"), F.max("transaction_id").alias("last_id"),
+        F.sum(F.substring("transaction_id", 5, 20).cast("long")).alias("id_sum"))
 
 
 def log_amount_histogram(spark: SparkSession, d: str) -> DataFrame:
