@@ -14,7 +14,8 @@ stitch buckets together through a small per-bucket aggregate:
       stat(t) = sum_{j=b-m}^{b-1} total(j) + own_prefix(<= t) - halo_prefix(< t - W)
 
   where the bucket totals come from a per-(key, bucket) aggregate that has at
-  most one row per active bucket.
+  most one row per active bucket and width.  Their sum is a difference of two
+  prefix sums, formed as one running sum of own rows minus halo rows.
 * ``sequence``        -- LAG / LEAD / ROW_NUMBER by time within key: local
   window per bucket, then the last (first) row and the row count of the
   neighbouring bucket from the per-bucket aggregate.
@@ -70,6 +71,9 @@ def trailing_stats(df: DataFrame, key: str, ts: str, value: str | list[str] | No
     counts ``{name}_c__{col}``, all from the same single shuffle.  ``widths`` maps an
     output prefix to a width in seconds; each must be a multiple of ``grain_seconds``.
     ``only`` restricts the value columns summed for a width (default: all of them).
+
+    Sums are differences of prefix sums: exact for whole numbers and decimals; a NaN or an infinity in a floating
+    column stays in the later sums of its key.
     """
     g = grain_seconds * MICROS
     mults = {}
@@ -104,21 +108,23 @@ def trailing_stats(df: DataFrame, key: str, ts: str, value: str | list[str] | No
     # so the input is computed once
     u = u.repartition(*kcols, "_tw_b")
 
-    # One row per (key, bucket): bounded by active buckets, tiny next to the rows.
-    aggs = [F.count(F.lit(1)).alias("_tw_tn")]
-    for vc in vcols:
-        aggs += [F.sum(vc).alias(f"{vc}_ts"), F.count(vc).alias(f"{vc}_tc")]
-    totals = u.where(F.col("_tw_k") == 0).groupBy(*kcols, "_tw_b").agg(*aggs)
-    wk = Window.partitionBy(*kcols).orderBy("_tw_b")
-    tcols = []                       # all bucket-window columns in one select -> one Window operator
-    for name, m in mults.items():
-        frame = wk.rangeBetween(-m, -1)
-        tcols.append(F.coalesce(F.sum("_tw_tn").over(frame), F.lit(0)).alias(f"_tw_Sn_{name}"))
-        for vc in per_w[name]:
-            tcols += [F.sum(f"{vc}_ts").over(frame).alias(f"_tw_Ss_{name}{vc}"),
-                      F.coalesce(F.sum(f"{vc}_tc").over(frame), F.lit(0)).alias(f"_tw_Sc_{name}{vc}")]
-    totals = totals.select("*", *tcols)
-    totals = totals.drop("_tw_tn", *[f"{vc}_ts" for vc in vcols], *[f"{vc}_tc" for vc in vcols])
+    # One row per (key, bucket): bounded by active buckets, tiny next to the rows.  A row counts +1 in its own bucket and
+    # its halo copy -1 in bucket b + m, so the running sum before a bucket is the sum of the m buckets before it: one
+    # growing frame, whose cost does not depend on the width.
+    ms = sorted(set(mults.values()))
+
+    def net(m, one):
+        return F.sum(F.when(F.col("_tw_k") == 0, one).when(F.col("_tw_k") == m, -one))
+
+    aggs = [F.max(F.col("_tw_k") == 0).alias("_tw_active")]
+    for m in ms:
+        aggs.append(net(m, F.lit(1)).alias(f"_tw_dn_{m}"))
+        for vc in sorted(per_m[m]):
+            aggs += [net(m, F.col(vc)).alias(f"_tw_ds_{m}{vc}"), net(m, F.col(vc).isNotNull().cast("int")).alias(f"_tw_dc_{m}{vc}")]
+    totals = u.groupBy(*kcols, "_tw_b").agg(*aggs)
+    earlier = Window.partitionBy(*kcols).orderBy("_tw_b").rangeBetween(Window.unboundedPreceding, -1)
+    tcols = [F.sum(c).over(earlier).alias(c.replace("_tw_d", "_tw_S", 1)) for c in totals.columns if c.startswith("_tw_d")]
+    totals = totals.select(*kcols, "_tw_b", "_tw_active", *tcols).where("_tw_active").drop("_tw_active")
 
     w = Window.partitionBy(*kcols, "_tw_b").orderBy("_tw_p")
     own = w.rangeBetween(Window.unboundedPreceding, 0)
@@ -131,7 +137,7 @@ def trailing_stats(df: DataFrame, key: str, ts: str, value: str | list[str] | No
     for vc in vcols:
         wcols += [F.sum(F.when(is_own, F.col(vc))).over(own).alias(f"_tw_os{vc}"),
                   cnt(is_own & F.col(vc).isNotNull(), own).alias(f"_tw_oc{vc}")]
-    for m in sorted(set(mults.values())):
+    for m in ms:
         is_h = F.col("_tw_k") == m
         wcols.append(cnt(is_h, before).alias(f"_tw_hn_{m}"))
         for vc in sorted(per_m[m]):
@@ -144,7 +150,7 @@ def trailing_stats(df: DataFrame, key: str, ts: str, value: str | list[str] | No
     out_cols = [F.col(c) for c in u.columns]
     extra = []
     for name, m in mults.items():
-        extra.append((F.coalesce(F.col(f"_tw_Sn_{name}"), F.lit(0)) + F.col("_tw_on")
+        extra.append((F.coalesce(F.col(f"_tw_Sn_{m}"), F.lit(0)) + F.col("_tw_on")
                       - F.col(f"_tw_hn_{m}")).cast("long").alias(f"{name}_n"))
         for vc, v in zip(vcols, values):
             if vc not in per_w[name]:
@@ -152,9 +158,9 @@ def trailing_stats(df: DataFrame, key: str, ts: str, value: str | list[str] | No
             zero = F.lit(0).cast(base.schema[vc].dataType)
             suffix = "" if single else f"__{v}"
             extra += [
-                (F.coalesce(F.col(f"_tw_Ss_{name}{vc}"), zero) + F.coalesce(F.col(f"_tw_os{vc}"), zero)
+                (F.coalesce(F.col(f"_tw_Ss_{m}{vc}"), zero) + F.coalesce(F.col(f"_tw_os{vc}"), zero)
                  - F.coalesce(F.col(f"_tw_hs_{m}{vc}"), zero)).alias(f"{name}_s{suffix}"),
-                (F.coalesce(F.col(f"_tw_Sc_{name}{vc}"), F.lit(0)) + F.col(f"_tw_oc{vc}")
+                (F.coalesce(F.col(f"_tw_Sc_{m}{vc}"), F.lit(0)) + F.col(f"_tw_oc{vc}")
                  - F.col(f"_tw_hc_{m}{vc}")).cast("long").alias(f"{name}_c{suffix}")]
     res = j.select(*out_cols, *extra)
     drop = [c for c in res.columns if c.startswith("_tw_")]
