@@ -4,11 +4,11 @@ Pieces.  A document is its ids and a closing id 0.  One of more than ``CAPACITY`
 full pieces, so that only its first piece may be shorter.  Full pieces are sequences of their own.
 
 Packing.  The other pieces are dealt by hash into blocks of about ``BLOCK``.  Each block is packed on several
-islands: a population starts from one greedy exact filling, which often meets the lower bound already (then no
-child is made), and best-fit orders; crossover injects well-filled bins of one parent into
-another, bins with duplicates are removed and the displaced pieces are best-fitted again; mutation empties
-the worst bins.  After every epoch each island's elite moves to the next island, through Spark's shuffle.  An
-island rests once it reaches the lower bound.  The best solution of a block's islands is the block's packing.
+islands: a population starts from best-fit orders; crossover injects well-filled bins of one parent into another,
+bins with duplicates are removed and the displaced pieces are best-fitted again; mutation empties the worst bins
+and as many others and fills new ones exactly where pieces allow it.  After every epoch each island's elite moves to
+the next island, through Spark's shuffle.  An island rests once it meets the lower bound on bins.  The best solution
+of a block's islands is the block's packing.
 
 No more than one block is ever in one task, and a block's population is a few numbers per piece.
 
@@ -34,9 +34,10 @@ from .common import stored
 
 CAPACITY = 2048
 #: Pieces packed together, about; islands of a block, members of an island, epochs, generations of an epoch.
-BLOCK, ISLANDS, MEMBERS, EPOCHS, GENERATIONS = 16_384, 3, 4, 2, 20
-#: Share of a parent's bins that crossover injects, and of a member's worst bins that mutation empties.
-INJECTED, EMPTIED = 0.04, 0.01
+BLOCK, ISLANDS, MEMBERS, EPOCHS, GENERATIONS = 16_384, 3, 4, 2, 40
+#: Share of a parent's bins that crossover injects, share of children that mutate, and range of the share of bins that a
+#: mutation empties (the worst ones, and as many others).
+INJECTED, MUTATED, EMPTIED = 0.04, 0.8, (0.01, 0.4)
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 END = 0
 
@@ -165,17 +166,6 @@ def crossover(lengths, into: np.ndarray, source: np.ndarray, capacity: int, rng)
     return best_fit(lengths, child, np.flatnonzero(child < 0), capacity)
 
 
-def mutate(lengths, bins: np.ndarray, capacity: int, rng) -> np.ndarray:
-    """The emptiest bins and as many others are emptied, their pieces best-fitted again."""
-    load = np.bincount(bins, weights=lengths)
-    k = max(1, int(len(load) * EMPTIED))
-    gone = np.zeros(len(load), bool)
-    gone[np.argsort(load, kind="stable")[:k]] = True
-    gone[rng.choice(len(load), k, replace=False)] = True
-    child = np.where(gone[bins], -1, bins)
-    return best_fit(lengths, child, np.flatnonzero(child < 0), capacity)
-
-
 def exact_fill(lengths: np.ndarray, capacity: int) -> np.ndarray:
     """Bin by bin: the longest piece left, then the piece or the pair that fills the bin exactly, else the
     longest that fits.  Lengths are bits of one number, mirrored in another, so a pair is found by one AND."""
@@ -211,32 +201,50 @@ def exact_fill(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+def mutate(lengths, bins: np.ndarray, capacity: int, rng) -> np.ndarray:
+    """The emptiest bins and as many others are emptied; their pieces fill new bins exactly where they can."""
+    load = np.bincount(bins, weights=lengths)
+    k = max(1, int(len(load) * rng.uniform(*EMPTIED)))
+    gone = np.zeros(len(load), bool)
+    gone[np.argsort(load, kind="stable")[:k]] = True
+    gone[rng.choice(len(load), k, replace=False)] = True
+    loose = np.flatnonzero(gone[bins])
+    child = (np.cumsum(~gone) - 1)[bins]
+    child[loose] = int((~gone).sum()) + exact_fill(lengths[loose], capacity)
+    return child
+
+
 def first_members(lengths: np.ndarray, members: int, capacity: int, rng) -> list[np.ndarray]:
-    """Exact filling, best fit in decreasing order (``lengths`` come so), and in disturbed orders."""
+    """Best fit in decreasing order (``lengths`` come so) and in disturbed orders."""
     none = np.full(len(lengths), -1)
     orders = [np.arange(len(lengths))] + [np.argsort(-lengths * rng.uniform(1, 1.2, len(lengths)), kind="stable")
-                                          for _ in range(members - 2)]
-    return [exact_fill(lengths, capacity), *(best_fit(lengths, none, o, capacity) for o in orders)][:members]
+                                          for _ in range(members - 1)]
+    return [best_fit(lengths, none, o, capacity) for o in orders]
 
 
-def evolve(lengths: np.ndarray, population: list[np.ndarray], generations: int, capacity: int, rng, bound: int) -> list[np.ndarray]:
-    """Steady state: a child of two members replaces the worst when it is better."""
+def evolve(lengths: np.ndarray, population: list[np.ndarray], generations: int, capacity: int, rng, bound: int,
+           log: list[int] | None = None) -> list[np.ndarray]:
+    """Steady state: a child of two members replaces the worst when it is better, until the lower bound is met.  The
+    number of children made is appended to ``log``."""
     scored = sorted(((fitness(lengths, m, capacity), m) for m in population), key=lambda x: x[0], reverse=True)
-    for _ in range(generations * len(scored)):
-        if -scored[0][0][0] <= bound or len(scored) < 2:
-            break
+    made = 0
+    while made < generations * len(scored) and -scored[0][0][0] > bound and len(scored) > 1:
+        made += 1
         a, b = rng.choice(len(scored), 2, replace=False)
         child = crossover(lengths, scored[min(a, b)][1], scored[max(a, b)][1], capacity, rng)
-        if rng.random() < 0.5:
+        if rng.random() < MUTATED:
             child = mutate(lengths, child, capacity, rng)
         value = fitness(lengths, child, capacity)
         if value > scored[-1][0] and all(value != v for v, _ in scored):
             scored[-1] = (value, child)
             scored.sort(key=lambda x: x[0], reverse=True)
+    if log is not None:
+        log.append(made)
     return [m for _, m in scored]
 
 
-_STATE = "block long, island int, member int, bins int, fullness double, genes binary"
+_STATE = "block long, island int, member int, bins int, fullness double, children int, genes binary"
+_FIELDS = [f.split()[0] for f in _STATE.split(", ")]
 
 
 def _canonical(items: pd.DataFrame) -> pd.DataFrame:
@@ -248,7 +256,7 @@ def _epoch(epoch: int, capacity: int, members: int, generations: int, islands: i
         block, island = int(key[0]), int(key[1])
         lengths = _canonical(items)["length"].to_numpy(np.int64)
         if not len(lengths):
-            return pd.DataFrame(columns=["block", "island", "member", "bins", "fullness", "genes"])
+            return pd.DataFrame(columns=_FIELDS)
         rng = np.random.default_rng([block, island, epoch])
         bound = -(-int(lengths.sum()) // capacity)
         if len(state):
@@ -256,13 +264,15 @@ def _epoch(epoch: int, capacity: int, members: int, generations: int, islands: i
             population = [np.frombuffer(g, "<i4").astype(np.int64) for g in state["genes"]]
         else:
             population = first_members(lengths, members, capacity, rng)
-        out = []
-        for k, m in enumerate(evolve(lengths, population, generations, capacity, rng, bound)):
+        earlier = int(state.loc[state["member"] < members, "children"].max()) if len(state) else 0
+        out, log = [], []
+        evolved = evolve(lengths, population, generations, capacity, rng, bound, log)
+        for k, m in enumerate(evolved):
             bins, full = fitness(lengths, m, capacity)
-            out.append((block, island, k, -bins, full, m.astype("<i4").tobytes()))
+            out.append((block, island, k, -bins, full, earlier + log[0], m.astype("<i4").tobytes()))
         if islands > 1:
             out.append((block, (island + 1) % islands, members, *out[0][3:]))        # the elite migrates
-        return pd.DataFrame(out, columns=["block", "island", "member", "bins", "fullness", "genes"])
+        return pd.DataFrame(out, columns=_FIELDS)
     return run
 
 

@@ -95,3 +95,27 @@ def test_exact_fill():
         valid(lengths, gp.exact_fill(lengths, 100), 100)
     assert gp.exact_fill(np.array([70, 50, 30, 25, 25]), 100).max() == 1
     assert gp.exact_fill(np.array([80, 60, 20, 10, 10, 10]), 100).max() == 1
+
+
+def test_genetic_steps_close_the_gap_that_best_fit_leaves():
+    """Best-fit orders miss the bound on these lengths; children reach it, and a start at the bound makes none."""
+    closed = 0
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        lengths = np.sort(np.minimum(2047, rng.lognormal(6.3, 0.8, 4000).astype(int) + 1))[::-1].copy()
+        bound = -(-int(lengths.sum()) // gp.CAPACITY)
+        population = gp.first_members(lengths, gp.MEMBERS, gp.CAPACITY, rng)
+        start, log = min(int(m.max()) + 1 for m in population), []
+        best = gp.evolve(lengths, population, gp.GENERATIONS, gp.CAPACITY, rng, bound, log)[0]
+        valid(lengths, best, gp.CAPACITY)
+        assert bound <= best.max() + 1 <= start and (log[0] == 0) == (start == bound)
+        closed += start > bound and best.max() + 1 < start
+    assert closed
+
+
+def test_mutation_fills_exactly():
+    lengths = np.array([60, 50, 50, 40, 30, 30])
+    bins = np.array([0, 0, 1, 2, 2, 2])
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        valid(lengths, gp.mutate(lengths, bins, 120, rng), 120)
