@@ -61,6 +61,7 @@ CATALOG: dict[str, Job] = {
     "j11_compare": lambda s, d: evaluate.compare({"ratio": _scored(s, d), "amount": _scored(s, d, "amount")}),
     "i10_woe_bins": models.woe_bins,
     "i13_woe_transform": models.woe_transform,
+    "d16_woe_correlations": models.woe_correlations,
     "i14_iv_summary": models.iv_table,
     "i16_points_table": models.points,
     "i17_scorecard_scores": models.scorecard_scores,

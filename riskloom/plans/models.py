@@ -51,6 +51,13 @@ def woe_transform(spark: SparkSession, d: str) -> DataFrame:
     return w.withColumns({f"woe_{c}": F.round(f"woe_{c}", 6) for c in r["features"]})
 
 
+def woe_correlations(spark: SparkSession, d: str) -> DataFrame:
+    """Pearson matrix of the scorecard's WoE columns and the label, all transactions."""
+    r = trained_scorecard(spark, d)
+    w = S.apply_woe(_t(spark, d).select("is_fraud", *r["features"]), r["model"], r["features"])
+    return eda.correlations(w, [f"woe_{c}" for c in r["features"]] + ["is_fraud"])
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
     return trained_scorecard(spark, d)["points"]
 
