@@ -15,6 +15,7 @@ from riskloom.operators import forest as FO
 from riskloom.operators import monitor as MO
 from riskloom.operators import rules as RU
 from riskloom.operators import scorecard as S
+from riskloom.operators import text as TX
 from riskloom.operators.timewindow import sequence
 from riskloom.plans import models
 from riskloom.sources import adapter
@@ -27,6 +28,14 @@ def ratio_scored(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("risk_tier", X.risk_tier("risk_score")).withColumn("recommended_action", X.tier_action("risk_tier"))
 
 
+def ratio_texts(spark: SparkSession, d: str) -> DataFrame:
+    """L1c to L1e: retrieval text, prompt and template brief of every transaction, over the ratio score."""
+    s = ratio_scored(spark, d).withColumn("is_night", X.is_night("hour")).withColumn(
+        "top_drivers", F.concat(F.lit("amount_vs_avg_ratio at "), F.coalesce("merchant_id", F.lit(0)).cast("string")))
+    s = TX.fallback_brief(TX.risk_prompt(TX.retrieval_query(s), context="no_context"))
+    return s.select("transaction_id", "retrieval_query", "prompt", "risk_summary")
+
+
 def ratio_tiers(spark: SparkSession, d: str) -> DataFrame:
     return eda.tier_distribution(ratio_scored(spark, d))
 
@@ -244,6 +253,7 @@ def scorecard_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 JOBS = {
+    "l1_ratio_texts": ratio_texts,
     "d19_ratio_tiers": ratio_tiers, "d20_ratio_scan": ratio_scan, "d21_ratio_histogram": ratio_histogram,
     "d25_ratio_bands": ratio_bands, "m05_ratio_escalated": ratio_escalated, "m09_ratio_drift": ratio_drift,
     "m10_ratio_volume": ratio_volume, "j09_lift_grid": lift_grid, "b07_rule_violations": rule_violations,
