@@ -4,9 +4,8 @@ A spot is a common word (an anchor) with the chain of content words that follow
 the set of its spots, each hashed to 32 bits.  Common words are spread evenly over running text and rare in
 lists and menus, so the set describes the prose of a page.
 
-The query compares a document with its edited text and with the next document, by plain Jaccard.  It does not
-search the table for near copies: ``length_partition`` and the threshold of ``pruned_jaccard`` (which bound
-what such a search must compare) are not used by it.
+The query compares a document with its edited text and with the next document, by plain Jaccard, and counts its near
+copies in the whole table (``spot_links``: inverted lists of rare spots, length partitions, pruned Jaccard).
 
 Defined results: a null text is empty, its fingerprint is the empty string, and two empty fingerprints have
 likeness 1; a text without any anchor has one spot, the chain of all its words; words are lower-cased runs of
@@ -26,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.spot_links import near_copies, pruned_jaccard, with_near_copies
+
 #: Content words of a chain.
 CHAIN = 2
 #: Rows of a bucket of neighbouring ids, about, and the largest number of buckets (boundaries are broadcast).
@@ -69,37 +70,6 @@ def decoded(fingerprint: str) -> frozenset[int]:
     return frozenset(np.frombuffer(base64.b64decode(fingerprint), "<u4").tolist())
 
 
-def pruned_jaccard(a: frozenset[int], b: frozenset[int], threshold: float = 0.0, rank=None) -> float:
-    """Jaccard likeness, or 0.0 as soon as it cannot reach ``threshold``.  ``rank`` orders spots rarest first."""
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if not large:
-        return 1.0
-    if threshold <= 0:
-        common = len(small & large)
-        return common / (len(a) + len(b) - common)
-    if len(small) < threshold * len(large):             # the length partitions already exclude most of these
-        return 0.0
-    may_miss = int(len(small) - threshold * (len(a) + len(b)) / (1 + threshold) + 1e-9)
-    missed = 0
-    for x in sorted(small, key=rank) if rank else small:
-        if x not in large:
-            missed += 1
-            if missed > may_miss:
-                return 0.0
-    common = len(small) - missed
-    likeness = common / (len(a) + len(b) - common)
-    return likeness if likeness >= threshold else 0.0
-
-
-def length_partition(length: int, threshold: float) -> int:
-    """Sets whose lengths differ by a factor of at most 1 / threshold lie in the same or neighbouring partitions."""
-    k, bound = 0, 1
-    while length > bound:
-        bound = max(bound + 1, int(bound / threshold))
-        k += 1
-    return k
-
-
 def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     """doc_id and fingerprint of every text."""
     def run(batches):
@@ -170,4 +140,6 @@ def _compare(batches):
 
 
 def op1_spot_signatures(spark, sf_dir: str) -> DataFrame:
-    return with_next(spark.read.parquet(f"{sf_dir}/documents.parquet")).mapInArrow(_compare, _COMPARED)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    near = near_copies(fingerprints(docs).select(F.unbase64("fingerprint").alias("spots")))
+    return with_near_copies(with_next(docs).mapInArrow(_compare, _COMPARED), near, docs.count())

@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from riskloom.llm import spot_links as sl
 from riskloom.llm import spot_signatures as ss
 
 
@@ -24,7 +25,7 @@ def test_pruned_jaccard_and_partitions(threshold):
         assert ss.pruned_jaccard(a, b) == plain
         assert ss.pruned_jaccard(a, b, threshold) == (plain if plain >= threshold else 0.0)
         if plain >= threshold and a and b:
-            assert abs(ss.length_partition(len(a), threshold) - ss.length_partition(len(b), threshold)) <= 1
+            assert abs(sl.length_partition(len(a), threshold) - sl.length_partition(len(b), threshold)) <= 1
 
 
 def brute(pairs):
@@ -50,7 +51,7 @@ def test_query_against_brute_force(spark, make_docs, monkeypatch, tmp_path, buck
     pairs += [(-10 ** 12, pairs[3][1]), pairs[5], pairs[5]]
     make_docs(pairs, extra=True).write.parquet(f"{tmp_path}/documents.parquet")
     got = ss.op1_spot_signatures(spark, str(tmp_path)).collect()
-    assert sorted((str(r.doc_id), *tuple(r)[1:]) for r in got) == brute(pairs)
+    assert sorted((str(r.doc_id), *tuple(r)[1:7]) for r in got) == brute(pairs)
 
 
 def test_single_and_empty(spark, make_docs, tmp_path):
@@ -60,3 +61,56 @@ def test_single_and_empty(spark, make_docs, tmp_path):
     make_docs([]).write.parquet(f"{tmp_path}/b/documents.parquet")
     assert ss.op1_spot_signatures(spark, f"{tmp_path}/b").count() == 0
     assert ss.fingerprints(make_docs([(1, None), (2, "the cat")])).count() == 2
+
+
+def near_by_brute_force(texts):
+    sets = [ss.spots(t) for t in texts]
+    out = []
+    for a in sets:
+        linked = [b for b in sets if (len(a & b) >= 0.8 * len(a | b) - 1e-9 if a | b else True)]
+        out.append((sum(a == b for b in sets), len(linked) - 1, len({b for b in linked if b != a})))
+    return out
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_near_copies_against_all_pairs(spark, make_docs, monkeypatch, tmp_path, block):
+    monkeypatch.setattr(sl, "BLOCK", block)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    anchors = "the of and a in".split()
+
+    def text(n):
+        return [x for _ in range(n) for x in (rng.choice(anchors), rng.choice(words), rng.choice(words))]
+
+    texts = [" ".join(text(rng.randint(1, 40))) for _ in range(60)]
+    for size in (2, 5, 70):                              # groups of near copies; their edits chain beyond the threshold
+        base = text(30)
+        for _ in range(size):
+            copy = base[:]
+            for _ in range(rng.randint(0, 5)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy[:rng.choice([len(copy), len(copy), rng.randint(60, 90)])]))
+    texts += texts[-3:] + [texts[0]] * 40 + [None, "", "no anchors here", "the end", "the end"]
+    pairs = list(enumerate(texts))
+    make_docs(pairs, extra=True).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.copies, r.near_copies, r.near_texts) for r in ss.op1_spot_signatures(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(near_by_brute_force(texts)))
+    assert max(v[2] for v in got.values()) > 20
+
+
+def test_blocks_meet_once():
+    pairs = sl._block_pairs({3: 2, 4: 1, 6: 3})
+    met = {p for ps in pairs.values() for p in ps}
+    assert met == {(0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2), (3, 3), (4, 4), (5, 5), (3, 4), (3, 5), (4, 5)}
+    assert all(b in p and len(set(ps)) == len(ps) for b, ps in pairs.items() for p in ps)
+
+
+def test_prefixes_of_near_copies_meet():
+    rng = random.Random(3)
+    levels = sl.np.zeros(1 << sl.SKETCH_BITS, sl.np.uint8)
+    for _ in range(2000):
+        a = rng.sample(range(1 << 32), rng.randint(1, 30))
+        b = [x for x in a if rng.random() < .95] + rng.sample(range(1 << 32), rng.randint(0, 3))
+        like = len(set(a) & set(b)) / len(set(a) | set(b))
+        rare = [set(sl.ordered(sl.np.array(s, sl.np.uint32), levels)[:sl.prefix_length(len(s), .8)].tolist()) for s in (a, b)]
+        assert like < .8 or rare[0] & rare[1]
