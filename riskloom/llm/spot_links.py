@@ -195,11 +195,11 @@ def near_copies(fingerprints: DataFrame, threshold: float = THRESHOLD) -> DataFr
     reach the threshold, copies included), near_texts (other fingerprints among theirs), for every fingerprint that
     has a copy or a link.  ``fingerprints`` holds one row per document with its set as sorted 32-bit numbers in
     ``spots``."""
-    same = (fingerprints.select(F.unhex(F.md5("spots")).alias("digest"), "spots").groupBy("digest")
-            .agg(F.first("spots").alias("spots"), F.count("*").alias("copies")))
-    sets = stored(same.withColumn("sid", F.monotonically_increasing_id()), "spot-sets")
-    spark = sets.sparkSession
-    levels = spark.sparkContext.broadcast(spot_levels(sets))
+    given = stored(fingerprints.select(F.unhex(F.md5("spots")).alias("digest"), "spots")
+                   .withColumn("sid", F.monotonically_increasing_id()), "spot-rows")
+    same = stored(given.groupBy("digest").agg(F.min("sid").alias("sid"), F.count("*").alias("copies")), "spot-digests")
+    sets = given.join(same.select("sid", "copies"), "sid")                               # one row of every set
+    levels = fingerprints.sparkSession.sparkContext.broadcast(spot_levels(given))
 
     def listed(batches):
         for batch in batches:
@@ -215,7 +215,7 @@ def near_copies(fingerprints: DataFrame, threshold: float = THRESHOLD) -> DataFr
 
     postings = sets.filter(F.length("spots") > 0).select("sid", "spots").mapInArrow(listed, "sid long, spot int, part int")
     lists = stored(postings.groupBy("spot").agg(F.min("sid").alias("home"), F.count("*").alias("size")).filter("size > 1"), "spot-lists")
-    n = max(1, sets.count())
+    n = max(1, same.count())
     homes = attach_groups(postings, lists, "spot", "size", n).select("home", "sid", "part").distinct()
     homes = stored(homes, "spot-homes")
     layout = (homes.groupBy("home", "part").agg(F.count("*").alias("size"))
@@ -231,7 +231,7 @@ def near_copies(fingerprints: DataFrame, threshold: float = THRESHOLD) -> DataFr
     linked = (rows.groupBy("home", "lo", "hi").applyInPandas(_compare_blocks(threshold, levels), "sid long, near long, texts long")
               .groupBy("sid").agg(F.sum("near").alias("near"), F.sum("texts").alias("texts")))
     none = F.lit(0).cast("long")
-    return stored(sets.select("sid", "digest", "copies").join(linked, "sid", "left").filter("copies > 1 OR texts > 0")
+    return stored(same.join(linked, "sid", "left").filter("copies > 1 OR texts > 0")
                   .select("digest", "copies", (F.coalesce("near", none) + F.col("copies") - 1).alias("near_copies"),
                           F.coalesce("texts", none).alias("near_texts")), "spot-links")
 

@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,22 +43,30 @@ ANCHORS = frozenset((
     "son sont sur un une vous "
     "al como con del el ella era esta las lo los más no para pero por sin su sus también te todo una y ya").split())
 
+#: Checksum of every anchor and a space; a spot's checksum goes on from there.
+_START = {a.encode(): zlib.crc32(f"{a} ".encode()) for a in ANCHORS}
 _WORD = re.compile(r"[^\W_]+")
+#: Of ASCII text all but letters and digits becomes a space.
+_ASCII = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
+
+
+def words_of(text: str) -> list[bytes]:
+    """Lower-cased runs of letters and digits, in UTF-8."""
+    if text.isascii():
+        return text.lower().encode().translate(_ASCII).split()
+    return [w.encode("utf-8", "replace") for w in _WORD.findall(text.lower())]
 
 
 def spots(text: str | None, chain: int = CHAIN) -> frozenset[int]:
     """Hashed spots of a text."""
-    words = _WORD.findall((text or "").lower())
-    content, anchors = [], []
-    for w in words:
-        if w in ANCHORS:
-            anchors.append((w, len(content)))
-        else:
-            content.append(w)
+    words = words_of(text or "")
+    marks = [i for i, w in enumerate(words) if w in _START]
+    content = [w for w in words if w not in _START]
     crc = zlib.crc32
-    found = {crc(" ".join((a, *content[k:k + chain])).encode("utf-8", "replace")) for a, k in anchors if k < len(content)}
+    found = {crc(b" ".join(content[i - j:i - j + chain]), _START[words[i]])                   # i - j content words before
+             for j, i in enumerate(marks) if i - j < len(content)}
     if not found and words:
-        found = {crc(("\x00" + " ".join(words)).encode("utf-8", "replace"))}
+        found = {crc(b"\x00" + b" ".join(words))}
     return frozenset(found)
 
 
@@ -82,6 +91,17 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
         run, "doc_id long, fingerprint string")
 
 
+def _packed(texts: pa.Array) -> pa.Array:
+    """Texts compressed for the way to their bucket."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return pa.array([pack(t.as_buffer()) for t in texts.cast(pa.binary())], pa.binary())
+
+
+def _unpacked(texts: pa.Array) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(t.as_buffer()) for t in texts], pa.binary()).cast(pa.string())
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """bucket, key, doc_id, text, borrowed: rows dealt by ranges of doc_id, each bucket followed by a borrowed copy
     of the document that comes after its last one (descending ids; after the very last the first)."""
@@ -105,7 +125,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     borrowed = docs.sparkSession.createDataFrame(after, "bucket long, key long")
     own = rows.withColumn("bucket", bucket("key")).withColumn("borrowed", F.lit(False))
     lent = rows.join(F.broadcast(borrowed), "key").withColumn("borrowed", F.lit(True))
-    return (own.unionByName(lent).repartition("bucket")
+    pack = F.arrow_udf(_packed, "binary")
+    return (own.unionByName(lent).withColumn("packed", pack("text")).drop("text").repartition("bucket")
+            .withColumn("text", F.arrow_udf(_unpacked, "string")("packed"))
             .sortWithinPartitions("bucket", "borrowed", F.desc("key"), "text").select("bucket", "doc_id", "text", "borrowed"))
 
 
