@@ -187,6 +187,18 @@ def histogram(df: DataFrame, col: str | F.Column, n_bins: int, by: list[str] | N
         *by, "bin", (F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / n_bins).alias("bin_start"), "n")
 
 
+def class_histogram(df: DataFrame, score: str, label: str, n_bins: int = 39) -> DataFrame:
+    """Score histogram of each class over the bins that both share, with densities (a class integrates to 1;
+    null where all scores are equal).  Rows: classes times bins; empty bins give none, null labels are left out."""
+    rows = df.where(F.col(label).isNotNull())
+    ends = rows.agg(F.min(score).cast("double").alias("_lo"), F.max(score).cast("double").alias("_hi"))
+    h = histogram(rows, score, n_bins, by=[label])
+    total = F.sum("n").over(Window.partitionBy(label))                                # at most n_bins rows a class
+    return (h.crossJoin(F.broadcast(ends)).select(
+        label, F.col("bin").cast("long").alias("bin"), F.round("bin_start", 6).alias("bin_start"), "n",
+        F.round(X.ratio(F.col("n"), total * (F.col("_hi") - F.col("_lo")) / n_bins), 6).alias("density")))
+
+
 def category_rollup(t: DataFrame, m: DataFrame, top: int = 12) -> DataFrame:
     """Merchant category roll-up, top ``top`` by fraud rate."""
     g = (t.groupBy("merchant_id").agg(F.count(F.lit(1)).alias("n"), F.sum("is_fraud").alias("f"))

@@ -74,6 +74,7 @@ CATALOG: dict[str, Job] = {
     "d19_tier_distribution": models.forest_tiers,
     "d20_scan_summary": models.forest_scan_summary,
     "d21_score_histogram": models.forest_score_histogram,
+    "d21_card_score_histogram": models.card_score_histogram,
     "d25_score_bands": models.forest_score_bands,
     "i08_boosted_scores": models.boosted_scores,
     "i09_boosted_search": models.boosted_search,

@@ -49,6 +49,10 @@ def ratio_histogram(spark: SparkSession, d: str) -> DataFrame:
         F.col("bin").cast("long").alias("bin"), F.round("bin_start", 6).alias("bin_start"), "n")
 
 
+def ratio_class_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return eda.class_histogram(ratio_scored(spark, d), "risk_score", "is_fraud")
+
+
 def ratio_bands(spark: SparkSession, d: str) -> DataFrame:
     return eda.score_bands(ratio_scored(spark, d), "risk_tier", "risk_score")
 
@@ -255,6 +259,7 @@ def scorecard_audit(spark: SparkSession, d: str) -> DataFrame:
 JOBS = {
     "l1_ratio_texts": ratio_texts,
     "d19_ratio_tiers": ratio_tiers, "d20_ratio_scan": ratio_scan, "d21_ratio_histogram": ratio_histogram,
+    "d21_ratio_class_histogram": ratio_class_histogram,
     "d25_ratio_bands": ratio_bands, "m05_ratio_escalated": ratio_escalated, "m09_ratio_drift": ratio_drift,
     "m10_ratio_volume": ratio_volume, "j09_lift_grid": lift_grid, "b07_rule_violations": rule_violations,
     "b14_profile_types": profile_types, "e04_next_transactions": next_transactions, "h07_split_labels": split_labels,

@@ -68,6 +68,13 @@ def scorecard_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.select("transaction_id", "scorecard_score", "fraud_probability", "risk_tier", "recommended_action")
 
 
+def card_score_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Scorecard scores of fraud and legitimate transactions over 40 shared bin edges."""
+    r = trained_scorecard(spark, d)
+    s = S.score_scorecard(_t(spark, d), r["model"], r["lr"], r["features"])
+    return eda.class_histogram(s, "scorecard_score", "is_fraud")
+
+
 def score_breakdown(spark: SparkSession, d: str) -> DataFrame:
     r = trained_scorecard(spark, d)
     return S.explain_score(_t(spark, d), r["model"], r["lr"], r["features"], "transaction_id")

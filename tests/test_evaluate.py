@@ -42,3 +42,24 @@ def test_at_threshold_zero_division(spark):
     df = spark.createDataFrame(pd.DataFrame({"is_fraud": [0, 0, 1], "score": [0.1, 0.2, 0.3]}))
     r = evaluate.at_threshold(df, threshold=0.9).first()
     assert r["precision"] == 0.0 and r["recall"] == 0.0 and r["f1"] == 0.0
+
+
+def test_class_histogram_against_numpy(spark, sf_small):
+    import numpy as np
+    from riskloom.operators import eda
+    from riskloom.plans import models
+    rng = np.random.default_rng(4)
+    rows = [(int(x < 0.3), float(s)) for x, s in zip(rng.random(800), rng.normal(600, 40, 800).round(1))]
+    df = spark.createDataFrame(rows + [(None, 9999.0), (0, None)], "y int, s double")
+    got = eda.class_histogram(df, "s", "y").collect()
+    edges = np.linspace(min(s for _, s in rows), max(s for _, s in rows), 40)
+    for y in (0, 1):
+        counts, _ = np.histogram([s for c, s in rows if c == y], edges)
+        density, _ = np.histogram([s for c, s in rows if c == y], edges, density=True)
+        mine = {r.bin: r for r in got if r.y == y}
+        assert {b: r.n for b, r in mine.items()} == {b: int(n) for b, n in enumerate(counts) if n}
+        assert all(abs(r.density - density[b]) < 1e-6 and abs(r.bin_start - edges[b]) < 1e-6 for b, r in mine.items())
+    assert [(r.n, r.density) for r in eda.class_histogram(spark.createDataFrame([(1, 5.0)] * 3, "y int, s double"), "s", "y").collect()] == [(3, None)]
+    assert eda.class_histogram(df.limit(0), "s", "y").count() == 0
+    cards = models.card_score_histogram(spark, sf_small).collect()
+    assert {r.is_fraud for r in cards} == {0, 1} and max(r.bin for r in cards) == 38 and min(r.bin for r in cards) == 0
