@@ -34,6 +34,13 @@ THRESHOLD = 0.8
 SKETCH_BITS, SLICES = 24, 64
 #: Sets of a block, about.
 BLOCK = 256
+#: Rows of at most 64 bytes that may be broadcast (32 MB); longer tables are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(table: DataFrame, n_rows: int) -> DataFrame:
+    """Hint a broadcast of a stored table of narrow rows if its counted rows are few."""
+    return F.broadcast(table) if n_rows <= BROADCAST_ROWS else table
 
 
 # spot frequencies --------------------------------------------------------------------------------------------
@@ -198,7 +205,8 @@ def near_copies(fingerprints: DataFrame, threshold: float = THRESHOLD) -> DataFr
     given = stored(fingerprints.select(F.unhex(F.md5("spots")).alias("digest"), "spots")
                    .withColumn("sid", F.monotonically_increasing_id()), "spot-rows")
     same = stored(given.groupBy("digest").agg(F.min("sid").alias("sid"), F.count("*").alias("copies")), "spot-digests")
-    sets = given.join(same.select("sid", "copies"), "sid")                               # one row of every set
+    n = max(1, same.count())
+    sets = given.join(broadcast_if_small(same.select("sid", "copies"), n), "sid")        # one row of every set
     levels = fingerprints.sparkSession.sparkContext.broadcast(spot_levels(given))
 
     def listed(batches):
@@ -215,7 +223,6 @@ def near_copies(fingerprints: DataFrame, threshold: float = THRESHOLD) -> DataFr
 
     postings = sets.filter(F.length("spots") > 0).select("sid", "spots").mapInArrow(listed, "sid long, spot int, part int")
     lists = stored(postings.groupBy("spot").agg(F.min("sid").alias("home"), F.count("*").alias("size")).filter("size > 1"), "spot-lists")
-    n = max(1, same.count())
     homes = attach_groups(postings, lists, "spot", "size", n).select("home", "sid", "part").distinct()
     homes = stored(homes, "spot-homes")
     layout = (homes.groupBy("home", "part").agg(F.count("*").alias("size"))
@@ -241,6 +248,7 @@ def with_near_copies(rows: DataFrame, near: DataFrame, n_rows: int) -> DataFrame
     ``hot_floor`` documents are looked up by broadcast (at most 10,000), and their rows take no part in the shuffle's keys."""
     hot = F.broadcast(near.filter(F.col("copies") >= hot_floor(n_rows)).select("digest", F.struct("copies", "near_copies", "near_texts").alias("hot")))
     cold = near.filter(F.col("copies") < hot_floor(n_rows)).select(F.col("digest").alias("key"), F.struct("copies", "near_copies", "near_texts").alias("cold"))
+    cold = broadcast_if_small(cold, near.count())
     keyed = rows.withColumn("digest", F.unhex(F.md5(F.unbase64("fingerprint")))).join(hot, "digest", "left")
     spread = F.unhex(F.md5(F.concat(F.lit("hot "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     keyed = keyed.withColumn("key", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(spread)).join(cold, "key", "left")
