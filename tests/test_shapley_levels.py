@@ -41,6 +41,38 @@ def test_values_equal_all_coalitions(monkeypatch, n_features, depth, table_bits)
             np.testing.assert_allclose(out[:, i], shapley.brute_force(x[i], *tree, n_features), atol=1e-12)
 
 
+@pytest.mark.parametrize("n_features,depth,bits", [(3, 7, 12), (5, 8, 12), (5, 8, 3), (9, 8, 12)])
+def test_subtree_tables_equal_path_integrals(monkeypatch, n_features, depth, bits):
+    monkeypatch.setattr(shapley, "ENTRY_BITS", bits)
+    monkeypatch.setattr(shapley, "ROWS_AT_ONCE", 64)
+    rng = np.random.default_rng(n_features)
+    for _ in range(3):
+        tree = random_tree(rng, n_features, depth)
+        x = rng.normal(size=(150, n_features))
+        got, exp = np.zeros((n_features, 150)), np.zeros((n_features, 150))
+        shapley.add_tree(x, *tree, got)
+        feature, threshold, left, right, size, value = tree
+        shapley._add_tree_by_paths(x, feature, threshold, left, right, shapley.leaves_of(feature, left, right, size), value, exp)
+        np.testing.assert_allclose(got, exp, atol=1e-12)
+
+
+def test_batches_are_joined_for_attributions():
+    parts = [pd.DataFrame({"a": range(i, i + 10)}) for i in range(0, 50, 10)]
+    assert [len(p) for p in FO.gathered(parts, 20)] == [20, 20, 10]
+    assert pd.concat(FO.gathered(parts, 20))["a"].tolist() == list(range(50))
+
+
+def test_draws_and_rank_codes_are_exact():
+    x = np.concatenate([np.random.default_rng(3).integers(0, 1 << 59, 1000), [0, levels.PRIME - 1, levels.PRIME, 2 * levels.PRIME]])
+    assert (levels.remainder(x) == x % levels.PRIME).all()
+    values = np.array([[2.0, np.nan], [-1.0, np.nan], [np.nan, np.nan], [2.0, np.nan], [0.5, np.nan]])
+    cut = np.array([-1.0, 0.0, 2.0, 5.0])
+    codes, known, cuts = levels.rank_codes(values, [cut, cut])
+    for f in (0, 1):
+        assert ((codes[f][:, None] < cuts[f]) == (values[:, f, None] < cut)).all()
+    assert known[0].tolist() == [-1.0, 0.5, 2.0] and not len(known[1])
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     rng = np.random.default_rng(8)
