@@ -20,7 +20,6 @@ import math
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -130,15 +129,15 @@ def length_partition(length: int, threshold: float) -> int:
 
 # comparison --------------------------------------------------------------------------------------------------
 
-def compare(rows: pd.DataFrame, home: int, lo: int, hi: int, threshold: float, levels: np.ndarray) -> dict[int, list[int]]:
+def compare(rows: pa.Table, home: int, lo: int, hi: int, threshold: float, levels: np.ndarray) -> dict[int, list[int]]:
     """sid -> [copies linked, sets linked] of the pairs that this pair of blocks answers for: a pair that meets in
     several lists counts in the least of them."""
     n = rows["n"].to_numpy()
     order = np.argsort(n, kind="stable")
-    rows, n = rows.iloc[order], n[order]
-    sids, copies, blocks = rows["sid"].tolist(), rows["copies"].tolist(), rows["block"].tolist()
-    lines = [ordered(np.frombuffer(s, "<u4"), levels).tolist() for s in rows["spots"]]
-    sets, homes = [frozenset(x) for x in lines], [frozenset(x) for x in rows["homes"]]
+    rows, n = rows.take(pa.array(order)), n[order]
+    sids, copies, blocks = (rows[c].to_pylist() for c in ("sid", "copies", "block"))
+    lines = [ordered(np.frombuffer(s, "<u4"), levels).tolist() for s in rows["spots"].to_pylist()]
+    sets, homes = [frozenset(x) for x in lines], [frozenset(x) for x in rows["homes"].to_pylist()]
     parts = [length_partition(k, threshold) for k in n.tolist()]
     found: dict[int, list[int]] = {}
     first = 0
@@ -159,9 +158,9 @@ def compare(rows: pd.DataFrame, home: int, lo: int, hi: int, threshold: float, l
 
 def _compare_blocks(threshold: float, levels):
     def run(key, rows):
-        found = compare(rows, *(int(k) for k in key), threshold, levels.value)
-        return pd.DataFrame({"sid": list(found), "near": [v[0] for v in found.values()], "texts": [v[1] for v in found.values()]},
-                            dtype="int64")
+        found = compare(rows, *(k.as_py() for k in key), threshold, levels.value)
+        columns = list(found), [v[0] for v in found.values()], [v[1] for v in found.values()]
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], ["sid", "near", "texts"])
     return run
 
 
@@ -235,7 +234,7 @@ def near_copies(fingerprints: DataFrame, threshold: float = THRESHOLD) -> DataFr
             .select("sid", "copies", "spots", (F.length("spots") / 4).cast("long").alias("n"),
                     F.array_distinct(F.col("at.home")).alias("homes"), F.explode("at").alias("a"))
             .select("sid", "copies", "spots", "n", "homes", "a.*"))
-    linked = (rows.groupBy("home", "lo", "hi").applyInPandas(_compare_blocks(threshold, levels), "sid long, near long, texts long")
+    linked = (rows.groupBy("home", "lo", "hi").applyInArrow(_compare_blocks(threshold, levels), "sid long, near long, texts long")
               .groupBy("sid").agg(F.sum("near").alias("near"), F.sum("texts").alias("texts")))
     none = F.lit(0).cast("long")
     return stored(same.join(linked, "sid", "left").filter("copies > 1 OR texts > 0")

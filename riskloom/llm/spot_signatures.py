@@ -26,12 +26,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.spot_links import near_copies, pruned_jaccard, with_near_copies
+from riskloom.llm.common import stored
+from riskloom.llm.spot_links import BROADCAST_ROWS, near_copies, pruned_jaccard, with_near_copies
 
 #: Content words of a chain.
 CHAIN = 2
 #: Rows of a bucket of neighbouring ids, about, and the largest number of buckets (boundaries are broadcast).
 BUCKET, MAX_BUCKETS = 2_000, 20_000
+#: Rows that a worker turns into Python objects and sends on at a time; bounds its memory.
+ROWS_AT_ONCE = 256
 
 # Frequent function words, by language (English, German, French, Spanish).
 ANCHORS = frozenset((
@@ -83,28 +86,35 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     """doc_id and fingerprint of every text."""
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([encoded(spots(t, chain)) for t in batch.column(1).to_pylist()], pa.string())],
-                ["doc_id", "fingerprint"])
+            for rows in (batch.slice(at, ROWS_AT_ONCE) for at in range(0, batch.num_rows, ROWS_AT_ONCE)):
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), pa.array([encoded(spots(t, chain)) for t in rows.column(1).to_pylist()], pa.string())],
+                    ["doc_id", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, fingerprint string")
 
 
 def _packed(texts: pa.Array) -> pa.Array:
-    """Texts compressed for the way to their bucket."""
+    """Texts compressed for the way to their bucket; nulls stay null."""
     pack = zstandard.ZstdCompressor(level=1).compress
-    return pa.array([pack(t.as_buffer()) for t in texts.cast(pa.binary())], pa.binary())
+    return pa.array([pack(t.as_buffer()) if t.is_valid else None for t in texts.cast(pa.binary())], pa.binary())
 
 
-def _unpacked(texts: pa.Array) -> pa.Array:
-    unpack = zstandard.ZstdDecompressor().decompress
-    return pa.array([unpack(t.as_buffer()) for t in texts], pa.binary()).cast(pa.string())
+def with_ties(rows: DataFrame) -> DataFrame:
+    """``rows`` and ``tied``: whether another row may have the same key.  Where more keys than may be broadcast stand for
+    several rows, all rows count as tied."""
+    several = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.lit(True).alias("tied")), "spot-ties")
+    if several.count() > BROADCAST_ROWS:
+        return rows.withColumn("tied", F.lit(True))
+    return rows.join(F.broadcast(several), "key", "left").withColumn("tied", F.coalesce("tied", F.lit(False)))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """bucket, key, doc_id, text, borrowed: rows dealt by ranges of doc_id, each bucket followed by a borrowed copy
-    of the document that comes after its last one (descending ids; after the very last the first)."""
+    """bucket, doc_id, text, packed, borrowed: rows dealt by ranges of doc_id, each bucket followed by a borrowed copy
+    of the document that comes after its last one (descending ids; after the very last the first).  A text travels
+    compressed in ``packed`` and is unpacked where it is read; only rows of equal ids, which are ordered by text, have it
+    in ``text``."""
     lowest = -(1 << 63)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -123,12 +133,13 @@ def with_next(docs: DataFrame) -> DataFrame:
              .orderBy(F.desc("bucket")).collect())                                     # at most MAX_BUCKETS rows
     after = [(h["bucket"], heads[(i + 1) % len(heads)]["key"]) for i, h in enumerate(heads)]
     borrowed = docs.sparkSession.createDataFrame(after, "bucket long, key long")
-    own = rows.withColumn("bucket", bucket("key")).withColumn("borrowed", F.lit(False))
-    lent = rows.join(F.broadcast(borrowed), "key").withColumn("borrowed", F.lit(True))
-    pack = F.arrow_udf(_packed, "binary")
-    return (own.unionByName(lent).withColumn("packed", pack("text")).drop("text").repartition("bucket")
-            .withColumn("text", F.arrow_udf(_unpacked, "string")("packed"))
-            .sortWithinPartitions("bucket", "borrowed", F.desc("key"), "text").select("bucket", "doc_id", "text", "borrowed"))
+    rows = with_ties(rows)
+    packed = F.arrow_udf(_packed, "binary")(F.when(~F.col("tied"), F.col("text")))
+    columns = ["bucket", "borrowed", "key", "doc_id", F.when(F.col("tied"), F.col("text")).alias("text"), "packed"]
+    own = rows.withColumns({"bucket": bucket("key"), "packed": packed}).withColumn("borrowed", F.lit(False)).select(*columns)
+    lent = rows.join(F.broadcast(borrowed), "key").withColumn("packed", packed).withColumn("borrowed", F.lit(True)).select(*columns)
+    return (own.unionByName(lent).repartition("bucket").sortWithinPartitions("bucket", "borrowed", F.desc("key"), "text")
+            .select("bucket", "doc_id", "text", "packed", "borrowed"))
 
 
 _COMPARED = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, "
@@ -143,10 +154,12 @@ def edited(text: str, following: str) -> str:
 
 def _compare(batches):
     """Streams sorted rows: a row waits for its successor, one document at a time."""
+    unpack = zstandard.ZstdDecompressor().decompress
     waiting = None
-    for batch in batches:
+    for rows in (batch.slice(at, ROWS_AT_ONCE) for batch in batches for at in range(0, batch.num_rows, ROWS_AT_ONCE)):
         out = []
-        for bucket, doc_id, text, borrowed in zip(*(c.to_pylist() for c in batch.columns)):
+        for bucket, doc_id, text, packed, borrowed in zip(*(c.to_pylist() for c in rows.columns)):
+            text = unpack(packed).decode() if text is None else text
             now = (bucket, doc_id, text, spots(text), borrowed)
             if waiting is not None and not waiting[4] and waiting[0] == bucket:
                 changed = edited(waiting[2], text)

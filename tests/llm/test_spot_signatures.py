@@ -114,3 +114,23 @@ def test_prefixes_of_near_copies_meet():
         like = len(set(a) & set(b)) / len(set(a) | set(b))
         rare = [set(sl.ordered(sl.np.array(s, sl.np.uint32), levels)[:sl.prefix_length(len(s), .8)].tolist()) for s in (a, b)]
         assert like < .8 or rare[0] & rare[1]
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 500_000])
+def test_only_rows_of_equal_ids_travel_with_their_plain_text(spark, make_docs, monkeypatch, tmp_path, broadcast_rows):
+    """Texts are unpacked by the worker that compares them: no second Python step, and few rows in Python at a time."""
+    monkeypatch.setattr(ss, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(ss, "BUCKET", 40)
+    monkeypatch.setattr(ss, "ROWS_AT_ONCE", 7)
+    rng = random.Random(2)
+    pairs = [(i, f"the text of {i} and the é {rng.random()}") for i in range(200)]
+    pairs += [(7, "a second text of the id"), (7, None), (None, "the last"), (None, "and the very last"), (199, "the first of all")]
+    docs = make_docs(pairs)
+    rows = ss.with_next(docs)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan.split("RepartitionByExpression")[0]
+    texts = {r.doc_id for r in rows.collect() if r.text is not None}
+    assert texts == ({7, 199, None} if broadcast_rows else {i for i, _ in pairs})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = ss.op1_spot_signatures(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), *tuple(r)[1:7]) for r in got) == brute(pairs)
