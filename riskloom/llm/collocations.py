@@ -290,6 +290,17 @@ def exact_rows(lang: str, vocabulary: Vocabulary, numbers: np.ndarray, pair_bits
 HELD_PHRASES = 400_000
 
 
+#: Splits of the input that one task may count, where there are more splits than cores.
+SPLITS = 8
+
+
+def few_tasks(rows: DataFrame) -> DataFrame:
+    """``rows`` read by one task a core, or by one task for SPLITS splits if those are more.  Every task sends its own
+    counts of nearly all survivors, whose number grows with the input as the number of splits does."""
+    splits = rows.rdd.getNumPartitions()
+    return rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-splits // SPLITS)))
+
+
 def exact_counts(docs: DataFrame, word_bits, pair_bits, long_bits, longest: int) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("words", pa.int32()), ("f", pa.int64())])
 
@@ -311,7 +322,7 @@ def exact_counts(docs: DataFrame, word_bits, pair_bits, long_bits, longest: int)
         if held:
             yield rows()
 
-    local = texts(docs).mapInArrow(run, "lang string, phrase binary, words int, f long")
+    local = few_tasks(texts(docs)).mapInArrow(run, "lang string, phrase binary, words int, f long")
     return local.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
 
 

@@ -127,3 +127,13 @@ def test_score_is_exact_beyond_64_bits(spark):
     n = big + big + 2 + 10 ** 12
     row = C.scored(words, phrases).first()
     assert row["score"] == 1000 * (big - 5) * n // (big * (big + 2)) and row["n"] == n
+
+
+def test_partial_counts_are_merged_over_many_splits(spark):
+    docs = spark.range(400).select(F.lit("en").alias("lang"), F.lit("new york city").alias("text")).repartition(40)
+    sc = spark.sparkContext
+    every = [sc.broadcast(b"\xff" * (1 << (C.FILTER_BITS - 3)))] * 3
+    counted = C.exact_counts(docs, *every, 5)
+    assert {(r.phrase.decode(), r.words, r.f) for r in counted.collect()} == {
+        ("new york", 2, 400), ("york city", 2, 400), ("new york city", 3, 400)}
+    assert C.few_tasks(docs).rdd.getNumPartitions() == max(sc.defaultParallelism, 40 // C.SPLITS) < 40
