@@ -5,7 +5,8 @@
    first: the result does not depend on them.
 2. Inverted lists: two sets that reach the threshold share one of the first n - ceil(threshold * n) + 1 spots of each.
    Lists of one set go.  Lists with the same smallest member are joined, so near copies, which share many rare
-   spots, are sent about once and not once a spot.
+   spots, are sent about once and not once a spot.  Before they are shuffled, spots of one set and sets without a
+   list are dropped by bitmaps of 16 MB whatever the corpus; what passes them by chance finds no partner in the join.
 3. A list of more than ``BLOCK`` sets is cut by length partition and then by hash into blocks; a pair of blocks is one
    task's work, and only blocks of the same or of neighbouring length partitions meet.  No group, however hot, is
    held by one task, and no pair of texts is sent anywhere: blocks return sums per set.
@@ -25,6 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.collocations import bitmap, holds
 from riskloom.llm.common import attach_groups, hot_floor, stored
 
 #: Two sets are near copies from this Jaccard likeness on.
@@ -194,6 +196,13 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.select("home", "sid", "part", "layout").mapInArrow(run, "home long, sid long, lo long, hi long, block long")
 
 
+def _held_by(bits):
+    """Condition on 64-bit keys: false only for keys that are not in the bitmap."""
+    def among(keys: pa.Array) -> pa.Array:
+        return pa.array(holds(np.frombuffer(bits.value, np.uint8), keys.to_numpy(zero_copy_only=False).view(np.uint64)))
+    return F.arrow_udf(among, "boolean")
+
+
 # the join ----------------------------------------------------------------------------------------------------
 
 def near_copies(fingerprints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -206,40 +215,53 @@ def near_copies(fingerprints: DataFrame, threshold: float = THRESHOLD) -> DataFr
     same = stored(given.groupBy("digest").agg(F.min("sid").alias("sid"), F.count("*").alias("copies")), "spot-digests")
     n = max(1, same.count())
     sets = given.join(broadcast_if_small(same.select("sid", "copies"), n), "sid")        # one row of every set
-    levels = fingerprints.sparkSession.sparkContext.broadcast(spot_levels(given))
-
-    def listed(batches):
-        for batch in batches:
-            sid, spot, part = [], [], []
-            for s, found in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rare = ordered(np.frombuffer(found.as_buffer(), "<u4"), levels.value)
-                k = prefix_length(len(rare), threshold)
-                sid += [s] * k
-                spot += rare[:k].tolist()
-                part += [length_partition(len(rare), threshold)] * k
-            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(np.array(spot, np.uint32).view(np.int32), pa.int32()),
-                                              pa.array(part, pa.int32())], ["sid", "spot", "part"])
-
-    postings = sets.filter(F.length("spots") > 0).select("sid", "spots").mapInArrow(listed, "sid long, spot int, part int")
-    lists = stored(postings.groupBy("spot").agg(F.min("sid").alias("home"), F.count("*").alias("size")).filter("size > 1"), "spot-lists")
-    homes = attach_groups(postings, lists, "spot", "size", n).select("home", "sid", "part").distinct()
+    sc = fingerprints.sparkSession.sparkContext
+    levels = sc.broadcast(spot_levels(given))
+
+    def postings(bits=None):
+        """sid, spot, part of the spots that sets list; with ``bits`` only of spots that several sets may list."""
+        def listed(batches):
+            shared = None if bits is None else np.frombuffer(bits.value, np.uint8)
+            for batch in batches:
+                sid, spot, part = [], [], []
+                for s, found in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    rare = ordered(np.frombuffer(found.as_buffer(), "<u4"), levels.value)
+                    listing = rare[:prefix_length(len(rare), threshold)]
+                    if shared is not None:
+                        listing = listing[holds(shared, listing.astype(np.uint64) << np.uint64(32))]
+                    sid += [s] * len(listing)
+                    spot += listing.tolist()
+                    part += [length_partition(len(rare), threshold)] * len(listing)
+                yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(np.array(spot, np.uint32).view(np.int32), pa.int32()),
+                                                  pa.array(part, pa.int32())], ["sid", "spot", "part"])
+
+        return sets.filter(F.length("spots") > 0).select("sid", "spots").mapInArrow(listed, "sid long, spot int, part int")
+
+    lists = stored(postings().groupBy("spot").agg(F.min("sid").alias("home"), F.count("*").alias("size")).filter("size > 1"), "spot-lists")
+    bits = sc.broadcast(bitmap(lists.select(F.shiftleft(F.col("spot").cast("long"), 32).alias("key"))))
+    homes = attach_groups(postings(bits), lists, "spot", "size", n).select("home", "sid", "part").distinct()
     homes = stored(homes, "spot-homes")
+    bits.destroy()                                                                       # its files on every machine go
     layout = (homes.groupBy("home", "part").agg(F.count("*").alias("size"))
               .groupBy("home").agg(F.sum("size").alias("members"), F.collect_list(F.struct("part", "size")).alias("layout")))
     members = stored(attach_groups(homes, stored(layout, "spot-layouts"), "home", "members", n), "spot-members")
     whole = members.filter(F.col("members") <= BLOCK).select("home", "sid", *[F.lit(0).cast("long").alias(c) for c in ("lo", "hi", "block")])
     meetings = whole.unionByName(_dealt(members.filter(F.col("members") > BLOCK)))
     per = meetings.groupBy("sid").agg(F.collect_list(F.struct("home", "lo", "hi", "block")).alias("at"))
-    rows = (sets.select("sid", "spots", "copies").join(per, "sid")
+    members_of = sc.broadcast(bitmap(homes.select(F.xxhash64("sid").alias("key"))))
+    rows = (sets.select("sid", "spots", "copies").filter(_held_by(members_of)(F.xxhash64("sid"))).join(per, "sid")
             .select("sid", "copies", "spots", (F.length("spots") / 4).cast("long").alias("n"),
                     F.array_distinct(F.col("at.home")).alias("homes"), F.explode("at").alias("a"))
             .select("sid", "copies", "spots", "n", "homes", "a.*"))
     linked = (rows.groupBy("home", "lo", "hi").applyInArrow(_compare_blocks(threshold, levels), "sid long, near long, texts long")
               .groupBy("sid").agg(F.sum("near").alias("near"), F.sum("texts").alias("texts")))
     none = F.lit(0).cast("long")
-    return stored(same.join(linked, "sid", "left").filter("copies > 1 OR texts > 0")
+    links = stored(same.join(linked, "sid", "left").filter("copies > 1 OR texts > 0")
                   .select("digest", "copies", (F.coalesce("near", none) + F.col("copies") - 1).alias("near_copies"),
                           F.coalesce("texts", none).alias("near_texts")), "spot-links")
+    levels.destroy()
+    members_of.destroy()
+    return links
 
 
 def with_near_copies(rows: DataFrame, near: DataFrame, n_rows: int) -> DataFrame:

@@ -134,3 +134,11 @@ def test_only_rows_of_equal_ids_travel_with_their_plain_text(spark, make_docs, m
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = ss.op1_spot_signatures(spark, str(tmp_path)).collect()
     assert sorted((str(r.doc_id), *tuple(r)[1:7]) for r in got) == brute(pairs)
+
+
+def test_sets_without_a_list_are_dropped_before_the_join(spark):
+    keys = sl.np.array([3 << 40, -5 << 41, 7 << 42], sl.np.int64)
+    bits = sl.bitmap(spark.createDataFrame([(int(k),) for k in keys[:2]], "key long"))
+    held = sl._held_by(spark.sparkContext.broadcast(bits))
+    got = spark.createDataFrame([(int(k),) for k in keys], "key long").filter(held(sl.F.col("key"))).collect()
+    assert [r.key for r in got] == keys[:2].tolist()
