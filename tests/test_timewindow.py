@@ -80,3 +80,19 @@ def test_rank_of_a_few_rows_equals_the_window(spark):
     few = df.where("id in (0, 2, 3, 5, 20, 30)")
     got = {r["id"]: r["r"] for r in rank_of(few, df, "k", "v", "r", "id").collect()}
     assert got == {i: want[i] for i in (0, 2, 3, 5, 20, 30)}
+
+
+def test_trailing_stats_deals_a_known_number_of_rows_to_bounded_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from riskloom.operators import timewindow as tw
+
+    monkeypatch.setattr(tw, "ROWS_PER_TASK", 100)
+    df = spark.range(500).select((F.col("id") % 7).alias("k"), F.timestamp_seconds(F.col("id") * 977).alias("t"),
+                                 F.col("id").cast("decimal(18,2)").alias("v"))
+    widths = {"a": 3600, "b": 86400}
+    plain = tw.trailing_stats(df, "k", "t", "v", widths)
+    dealt = tw.trailing_stats(df, "k", "t", "v", widths, rows=500)
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") > 1 and all(
+        line.rstrip().endswith(", 15") for line in plan.splitlines() if "RepartitionByExpression" in line)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
