@@ -61,10 +61,16 @@ def quantile_edges_exact(df: DataFrame, value: str, n_bins: int, by: list[str] |
     return q.select(*(by or []), F.array_sort(F.array_distinct(F.array(*[F.col(k) for k in probs]))).alias("edges"))
 
 
-def bin_index(x, edges_col: str = "edges"):
-    """K2: right-closed bin (0-based) with the lowest edge included; NULL outside the range."""
+def bin_index(x, edges_col: str = "edges", most: int | None = None):
+    """K2: right-closed bin (0-based) with the lowest edge included; NULL outside the range.  With at most ``most`` edges
+    the edges below ``x`` are counted by that many plain comparisons, which Spark compiles."""
     e = F.col(edges_col)
-    idx = F.size(F.filter(F.slice(e, 2, F.greatest(F.size(e) - 1, F.lit(0))), lambda v: v < x))
+    if most is not None:
+        idx = F.lit(0)
+        for i in range(1, most):
+            idx = idx + F.when(F.get(e, F.lit(i)) < x, 1).otherwise(0)
+    else:
+        idx = F.size(F.filter(F.slice(e, 2, F.greatest(F.size(e) - 1, F.lit(0))), lambda v: v < x))
     inside = (x >= F.element_at(e, 1)) & (x <= F.element_at(e, -1))
     return F.when(inside, idx)
 

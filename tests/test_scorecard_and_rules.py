@@ -34,3 +34,16 @@ def test_feature_names():
     class D:
         columns = ["V1", "V2", "amount"]
     assert FE.feature_names(D()) == ["V1", "V2", "amount"]
+
+
+def test_bins_by_plain_comparisons_equal_bins_by_filter(spark):
+    from pyspark.sql import functions as F
+    from riskloom.operators.eda import bin_index
+
+    nan = float("nan")
+    edges = [[0.0, 1.0, 2.5], [0.0], [-1.0, 0.0, 1.0, 3.0, 9.0], None, [0.0, nan]]
+    rows = [(e, x) for e in edges for x in (-2.0, -1.0, 0.0, .5, 1.0, 2.5, 2.6, 9.0, 10.0, nan, None)]
+    got = spark.createDataFrame(rows, "edges array<double>, x double").select(
+        bin_index(F.col("x")).alias("a"), bin_index(F.col("x"), most=5).alias("b"))
+    assert "lambda" not in got.select("b")._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r.a == r.b for r in got.collect())
